@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_files
+from . import byte_bpe, pii, secret_scan, token_files
 from .common import scratch_dir, table
 from .ngram_join import similar_groups
 
@@ -28,16 +28,26 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op6_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), path)
     return token_files.with_crc32(token_files.read_tokens(spark, path))
 
 
+def op10_pii_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_byte_bpe": op3_byte_bpe,
+    "op4_secret_scan": op4_secret_scan,
     "op6_orc_token_files": op6_orc_token_files,
+    "op10_pii_chain_field": op10_pii_chain_field,
 }
 
 #: DuckDB SQL where SQL can express a query and is fast enough over the whole tables.
