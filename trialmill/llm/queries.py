@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, pii, secret_scan, token_files
+from . import byte_bpe, html_text, pii, secret_scan, token_files
 from .common import scratch_dir, table
 from .ngram_join import similar_groups
 
@@ -38,6 +38,11 @@ def op6_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.read_tokens(spark, path))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_text.extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_pii_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal(table(spark, sf_dir, "documents")))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
     "op6_orc_token_files": op6_orc_token_files,
+    "op8_html_extraction": op8_html_extraction,
     "op10_pii_chain_field": op10_pii_chain_field,
 }
 
