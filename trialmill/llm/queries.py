@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, pii, secret_scan, token_files
+from . import byte_bpe, decontaminate, html_text, line_dedup, nearest, pii, quality, secret_scan, token_files
 from .common import scratch_dir, table
 from .ngram_join import similar_groups
 
@@ -36,17 +36,31 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op6_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
     token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), path)
     return token_files.with_crc32(token_files.read_tokens(spark, path))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_text.extract_main_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "label", "score", (F.col("score") >= quality.BOUND).alias("kept"))
+
+
 def op10_pii_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal(table(spark, sf_dir, "documents")))
 
@@ -56,10 +70,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_secret_scan": op4_secret_scan,
+    "op5_line_dedup": op5_line_dedup,
     "op6_orc_token_files": op6_orc_token_files,
+    "op7_nearest_neighbours": op7_nearest_neighbours,
     "op8_html_extraction": op8_html_extraction,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_pii_chain_field": op10_pii_chain_field,
 }
 
 #: DuckDB SQL where SQL can express a query and is fast enough over the whole tables.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}
