@@ -10,15 +10,17 @@ filters let a reader of some documents skip stripes; stripes are read in paralle
 from __future__ import annotations
 
 import os
+import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, slices, text_buffer
-from .byte_bpe import _RARE_SPACE, CACHE_SIZE
 
 ORC_OPTIONS = {
     "compression": "zstd",
@@ -28,33 +30,102 @@ ORC_OPTIONS = {
     "orc.row.index.stride": "10000",
     "orc.stripe.size": str(32 << 20),
 }
-#: Document ids are dealt to as many ranges as Spark has shuffle partitions.
+#: Words whose ids a worker keeps; all are dropped when there are more.
+CACHE_SIZE = 400_000
+#: White space beyond ASCII's, or what only one of the engines takes for it.
+_RARE_SPACE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200b\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: Letters of Latin-1, which normalisation only lower-cases, then signs: the tokenizer cuts such a word between the two.
+_PLAIN = r"^(?P<letters>[A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{ff}]+)(?P<signs>[.,;:!?*#$&%|]*)$"
 
 
 class WordEncoder:
-    """Ids of whole texts by a tokenizers file. Its splitting drops white space, so words are encoded apart and kept."""
+    """Ids of whole texts by a tokenizers file.
+
+    Its splitting drops white space, so words are encoded apart, each distinct one once, and its ids are kept. Words of
+    plain letters go straight to the file's BPE model, others through its normaliser and splitting as well.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.byte_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        self.words: dict[str, bytes] = {"": b""}
+        self.letters: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, np.uint32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text, its ids as 32-bit integers."""
-        if len(self.words) > CACHE_SIZE:
-            self.words.clear()
+        return [np.array(x.ids, np.int32).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of lower-case letters."""
+        known, tokenize, out = self.letters, self.model.tokenize, []
+        for word in words:
+            ids = known.get(word)
+            if ids is None:
+                tokens = tokenize(word if word.isascii() else word.translate(self.byte_level)) if word else ()
+                ids = known[word] = array("i", [x.id for x in tokens]).tobytes()
+            out.append(ids)
+        return out
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of any words."""
         known = self.words
-        split = [None if _RARE_SPACE.search(x) else x.split() for x in texts]
-        new = list(set().union(*(x for x in split if x)).difference(known))
+        new = [x for x in words if x not in known]
         for i in range(0, len(new), 4096):
             known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
-        return [self._encode([x])[0] if words is None else b"".join(map(known.__getitem__, words)) for x, words in zip(texts, split)]
+        return [known[x] for x in words]
+
+    def _parts(self, words: pa.Array) -> tuple[list[bytes], np.ndarray]:
+        """Ids of parts of words, and of each word the numbers of its two parts: letters and signs, or all and nothing."""
+        cut = pc.extract_regex(words, _PLAIN)
+        other = pc.fill_null(pc.if_else(cut.is_valid(), None, words), "").dictionary_encode()
+        letters = pc.utf8_lower(pc.fill_null(pc.struct_field(cut, "letters"), "")).dictionary_encode()
+        signs = pc.fill_null(pc.struct_field(cut, "signs"), "").dictionary_encode()
+        parts = self._letters(letters.dictionary.to_pylist()) + self._words([*signs.dictionary.to_pylist(), *other.dictionary.to_pylist()])
+        first, second = len(letters.dictionary), len(signs.dictionary)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        tail = signs.indices.to_numpy() + first
+        return parts, np.stack([np.where(plain, letters.indices.to_numpy(), other.indices.to_numpy() + first + second), tail], axis=1)
+
+    def encode(self, column: pa.Array, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each text, the end's included, and all ids one after the other."""
+        for kept in (self.words, self.letters):
+            if len(kept) > CACHE_SIZE:
+                kept.clear()
+        self.words[""] = b""
+        rows = len(column)
+        rare = [k for k, x in enumerate(column.to_pylist()) if _RARE_SPACE.search(x)]
+        if rare:
+            keep = np.ones(rows, bool)
+            keep[rare] = False
+            split = pc.ascii_split_whitespace(pc.if_else(pa.array(keep), column, ""))
+        else:
+            split = pc.ascii_split_whitespace(column)
+        flat = split.flatten().dictionary_encode()
+        parts, pairs = self._parts(flat.dictionary)
+        whole = self._encode([column[k].as_py() for k in rare])
+        parts += [*whole, array("i", end).tobytes()]
+        # numbers of the parts in text order, two of each word, each text's end after its words
+        words = 2 * np.diff(split.offsets.to_numpy())
+        last = np.cumsum(words + 1) - 1
+        number = np.empty(2 * len(flat) + rows, np.int64)
+        inner = np.ones(len(number), bool)
+        inner[last] = False
+        number[inner] = pairs[flat.indices.to_numpy()].reshape(-1)
+        number[last] = len(parts) - 1
+        for n, k in enumerate(rare):  # such a text has the one word "", in whose first part's place its ids go
+            number[last[k] - 2] = len(parts) - 1 - len(rare) + n
+        size = np.array([len(x) // 4 for x in parts], np.int64)
+        start = np.cumsum(size) - size
+        each = size[number]
+        at = np.arange(int(each.sum())) + np.repeat(start[number] - (np.cumsum(each) - each), each)
+        ids = np.frombuffer(b"".join(parts), np.int32)[at]
+        return np.add.reduceat(each, last - words) if rows else np.zeros(0, np.int64), ids
 
 
 _loaded: dict[str, WordEncoder] = {}
@@ -81,13 +152,11 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     schema = "doc_id long, part int, before long, n_tokens int, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before, end = loaded(tokenizer_path), 0, np.array([end_id], np.uint32).tobytes()
+        encoder, before = loaded(tokenizer_path), 0
         for b in batches:
-            for i, j in slices(text_buffer(b.column(1))[0], 4 * SLICE_BYTES):
-                found = encoder.encode(b.column(1).slice(i, j - i).to_pylist())
-                count = np.array([len(x) // 4 + 1 for x in found], np.int64)
+            for i, j in slices(text_buffer(b.column(1))[0], 8 * SLICE_BYTES):
+                count, flat = encoder.encode(b.column(1).slice(i, j - i), [end_id])
                 starts = np.concatenate([[0], np.cumsum(count)])
-                flat = np.frombuffer(b"".join(x + end for x in found), np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(i, j - i), b.column(2).slice(i, j - i), pa.array(before + starts[:-1]), pa.array(count.astype(np.int32)), ids],
