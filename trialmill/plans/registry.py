@@ -19,9 +19,16 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: st
         _ORACLE[name] = sql
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from . import behaviour, gaze, maps, signals, similarity, stats  # noqa: F401
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_ORACLE)
