@@ -8,9 +8,10 @@ the first n - ceil(4n/5) + 1 tokens of each, under *any* order that all sets use
   those tokens are counted in turn. The order only steers cost; links are the same under any.
 * Orders 2 and 3, two more hash orders, are tested on every candidate pair before the sets are compared.
 
-Texts of equal words are one node from the start. Within the texts that share a token, each is first compared with a
-few leaders only; texts that are thereby in one component need no more comparison, and the pairs that remain, of
-different components, are compared in full. Thus large groups of copies cost about as many pairs as they have members,
+Texts of equal words are one node from the start. A pair is only a candidate if what follows its shared token in both
+orders is long enough for the bound (the first token that two linked sets share always allows it). Within the texts that
+share a token, each is first compared with a leader only, the text with the fewest tokens that aren't frequent; texts that are
+thereby in one component need no more comparison, and the pairs that remain, of different components, are compared in full. Thus large groups of copies cost about as many pairs as they have members,
 and no link between components is lost.
 """
 
@@ -28,12 +29,12 @@ from .components import components
 
 WIDTH = 5
 #: A token that more texts than this have in their prefixes counts as frequent.
-FREQUENT = 24
+FREQUENT = 4
 #: Frequent tokens that are broadcast, 8 bytes each; the most frequent if there are more.
-MAX_FREQUENT = 1 << 20
+MAX_FREQUENT = 1 << 21
 #: Keys that are broadcast to pick texts; above, a join picks them.
 MAX_KEYS = 1 << 20
-ORDER_ROUNDS, LEADER_ROUNDS = 3, 2
+ORDER_ROUNDS, LEADER_ROUNDS = 3, 1
 
 
 def prefix_size(n: int) -> int:
@@ -58,11 +59,15 @@ def _members(docs: DataFrame) -> DataFrame:
 
 
 def _prefixes(docs: DataFrame, frequent: np.ndarray, only_moved: bool) -> DataFrame:
-    """(tok, key, n): the prefix tokens of each text under order 1; equal texts of a task give theirs once.
+    """(tok, key, at, light): the prefix tokens of each text under order 1; equal texts of a task give theirs once.
 
-    only_moved: only texts with frequent tokens among their first, and only the tokens that these have moved forward.
+    at holds the size of the set in its upper and the token's place, from 1, in its lower 32 bits; light is the number of
+    tokens of the text's prefix that aren't frequent, which is small for the middle of a group of copies.
+
+    only_moved: only texts with frequent tokens among their first, and only the tokens that these have moved forward; all
+    that aren't known as frequent from a text that has half its prefix of frequent ones, as large groups of copies do.
     """
-    schema = pa.schema([("tok", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+    schema = pa.schema([("tok", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("light", pa.int32())])
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,27 +81,34 @@ def _prefixes(docs: DataFrame, frequent: np.ndarray, only_moved: bool) -> DataFr
                 if len(last) and len(h):
                     late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
                 any_late = np.add.reduceat(np.append(late, False), at[:-1]) * (sizes > 0) > 0 if len(at) > 1 else np.zeros(0, bool)
-                toks, own, ns = [], [], []
+                toks, own, ns, lights = [], [], [], []
                 for r, (a, n, key) in enumerate(zip(at[:-1].tolist(), sizes.tolist(), keys.tolist())):
                     if not n or key in seen:
                         continue
                     seen.add(key)
                     p = prefix_size(n)
-                    first = h[a : a + p]
+                    first, few = h[a : a + p], p
                     if any_late[r]:
                         own_late, mine = late[a : a + n], h[a : a + n]
                         light = mine[~own_late]
+                        few = min(len(light), p)
                         chosen = light[:p] if len(light) >= p else np.concatenate([light, mine[own_late][: p - len(light)]])
-                        first = chosen[~np.isin(chosen, first)] if only_moved else chosen
+                        if not only_moved:
+                            first = chosen
+                        elif 2 * own_late[:p].sum() >= p:
+                            first = light
+                        else:
+                            first = light[:p][~np.isin(light[:p], first)]
                     elif only_moved:
                         continue
                     toks.append(first)
                     own.append(np.full(len(first), key, np.int64))
-                    ns.append(np.full(len(first), n, np.int32))
+                    lights.append(np.full(len(first), few, np.int32))
+                    ns.append((n << 32) + np.arange(1, len(first) + 1))
                 if toks:
-                    yield batch(schema, tok=signed(np.concatenate(toks)), key=np.concatenate(own), n=np.concatenate(ns))
+                    yield batch(schema, tok=signed(np.concatenate(toks)), key=np.concatenate(own), at=np.concatenate(ns), light=np.concatenate(lights))
 
-    return docs.select("text").mapInArrow(run, "tok long, key long, n int")
+    return docs.select("text").mapInArrow(run, "tok long, key long, at long, light int")
 
 
 def frequent_tokens(docs: DataFrame) -> np.ndarray:
@@ -116,23 +128,24 @@ def _runs(rows: DataFrame) -> DataFrame:
 
     A text is paired with the first of its token in the sort order. Only the token's first row is held.
     """
-    schema = pa.schema([("kind", pa.int8()), ("tok", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("other", pa.int64())])
+    schema = pa.schema([("kind", pa.int8()), ("tok", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
 
-        def out(tok: np.ndarray, key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        def out(tok: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
-            tok, key, n = tok[new], key[new], n[new]
+            tok, key, at = tok[new], key[new], at[new]
             first = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             size = np.diff(np.append(first, len(tok)))
             head, size = np.repeat(first, size), np.repeat(size, size)
-            star = (head != np.arange(len(tok))) & (5 * np.minimum(n, n[head]).astype(np.int64) >= 4 * np.maximum(n, n[head]))
+            n, rest = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
+            star = (head != np.arange(len(tok))) & (9 * (1 + np.minimum(rest, rest[head])) >= 4 * (n + n[head])) & (5 * np.minimum(n, n[head]) >= 4 * np.maximum(n, n[head]))
             wide = size >= 3
             kind = np.concatenate([np.zeros(star.sum(), np.int8), np.ones(wide.sum(), np.int8)])
             other = np.concatenate([key[head][star], np.zeros(wide.sum(), np.int64)])
-            return batch(schema, kind=kind, tok=np.concatenate([tok[star], tok[wide]]), key=np.concatenate([key[star], key[wide]]), n=np.concatenate([n[star], n[wide]]), other=other)
+            return batch(schema, kind=kind, tok=np.concatenate([tok[star], tok[wide]]), key=np.concatenate([key[star], key[wide]]), at=np.concatenate([at[star], at[wide]]), other=other)
 
         for b in batches:
             cols = [b.column(k).to_numpy() for k in range(3)]
@@ -153,7 +166,7 @@ def _runs(rows: DataFrame) -> DataFrame:
         if held is not None and len(held[0]):
             yield out(*held)
 
-    return rows.mapInArrow(run, "kind tinyint, tok long, key long, n int, other long")
+    return rows.mapInArrow(run, "kind tinyint, tok long, key long, at long, other long")
 
 
 def _texts(docs: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
@@ -223,25 +236,25 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     members = materialize(_members(docs), "members")
     rows = _prefixes(docs, frequent_tokens(docs), False)
-    spread = F.xxhash64("key", F.pmod("tok", F.lit(3)))
-    rows = rows.repartition("tok").withColumn("spread", spread).sortWithinPartitions("tok", "spread", "key").select("tok", "key", "n")
+    rows = rows.repartition("tok").sortWithinPartitions("tok", "light", "key").select("tok", "key", "at")
     runs = materialize(_runs(rows), "runs")
 
     tried = materialize(_ordered(runs.where("kind = 0"), "key", "other"), "pairs")
     comp = components(_verify(docs, members, tried))
-    open_rows = runs.where("kind = 1").select("tok", "key", "n")
+    open_rows = runs.where("kind = 1").select("tok", "key", F.shiftright("at", 32).alias("n"), (F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("rest"))
+    fits = "least(n, m) * 5 >= greatest(n, m) * 4 and 9 * (1 + least(rest, after)) >= 4 * (n + m)"
     for k in range(LEADER_ROUNDS + 1):
         left = open_rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        mixed = left.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "n", "root")).alias("lead")).where("lo <> hi")
+        lead = F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "n", "rest", "root")).alias("lead")
+        mixed = left.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead).where("lo <> hi")
         open_rows = left.join(mixed, "tok")
-        apart = "least(n, m) * 5 >= greatest(n, m) * 4"
         if k < LEADER_ROUNDS:
-            pairs = open_rows.where("root <> lead.root").select("key", "n", F.col("lead.key").alias("other"), F.col("lead.n").alias("m")).where(apart)
-            open_rows = open_rows.select("tok", "key", "n")
+            pairs = open_rows.where("root <> lead.root").select("key", "n", "rest", F.col("lead.key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.rest").alias("after")).where(fits)
+            open_rows = open_rows.select("tok", "key", "n", "rest")
         else:
-            x = open_rows.select("tok", "key", "n", "root")
-            y = x.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("root").alias("to"))
-            pairs = x.join(y, "tok").where("key < other and root <> to").where(apart)
+            x = open_rows.select("tok", "key", "n", "rest", "root")
+            y = x.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("root").alias("to"))
+            pairs = x.join(y, "tok").where("key < other and root <> to").where(fits)
         pairs = materialize(_ordered(pairs, "key", "other").join(tried, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             found = _verify(docs, members, pairs)
@@ -261,13 +274,12 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One row of each group of near-duplicates stays, that of the smallest doc_id (one of them, if it is repeated).
+    """One row of each group of near-duplicates stays, that of the smallest doc_id.
 
-    Texts without words are in no group and stay. All columns of docs are returned as they were.
+    Texts without words are in no group and stay. Of rows that repeat a doc_id one stays; rows without a doc_id all stay,
+    as nothing tells which came first. All columns of docs are returned as they were.
     """
-    if not docs.columns:
-        return docs
-    out = similar_groups(docs)
-    out = out.where("component_id <=> doc_id").groupBy("doc_id").agg(F.max("n_shingles").alias("most"))
-    kept = docs.join(out.select(F.col("doc_id").alias("_kept"), "most"), F.col("doc_id").eqNullSafe(F.col("_kept")))
-    return kept.drop("_kept", "most")
+    groups = similar_groups(docs.where("doc_id is not null"))
+    first = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(first, docs["doc_id"] == first["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id is null"))
