@@ -25,8 +25,8 @@ def within_between(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.groupBy(*keys).agg(w.alias("within"), b.alias("between"), (b - w).alias("score"))
 
 
-def centroid_accuracy(items: DataFrame, fold: str, key: str = "id", label: str = "label", x: str = "x") -> DataFrame:
-    """Leave-one-fold-out accuracy of nearest centroids. A fold's centroids are the totals of all items less its own."""
+def centroid_guesses(items: DataFrame, fold: str, key: str = "id", label: str = "label", x: str = "x") -> DataFrame:
+    """The label of the nearest centroid for each item. A fold's centroids are the totals of all items less its own."""
     long = items.select(key, label, fold, F.posexplode(x).alias("f", "v"))
     own = long.groupBy(label, fold, "f").agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n"))
     total = own.groupBy(label, "f").agg(F.sum("s").alias("all_s"), F.sum("n").alias("all_n"))
@@ -34,8 +34,12 @@ def centroid_accuracy(items: DataFrame, fold: str, key: str = "id", label: str =
     centre = total.crossJoin(F.broadcast(folds)).join(own, [label, fold, "f"], "left").fillna(0, ["s", "n"])
     centre = centre.where("all_n > n").select(F.col(label).alias("guess"), fold, "f", ((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n"))).alias("c"))
     far = long.join(centre, [fold, "f"]).groupBy(key, label, fold, "guess").agg(F.sum((F.col("v") - F.col("c")) ** 2).alias("d"))
-    best = far.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.round("d", 9), "guess"))).where("_n = 1")
-    return best.groupBy(fold).agg(F.avg((F.col("guess") == F.col(label)).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+    return far.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.round("d", 9), "guess"))).where("_n = 1").drop("_n")
+
+
+def centroid_accuracy(items: DataFrame, fold: str, key: str = "id", label: str = "label", x: str = "x") -> DataFrame:
+    """Leave-one-fold-out accuracy of nearest centroids."""
+    return centroid_guesses(items, fold, key, label, x).groupBy(fold).agg(F.avg((F.col("guess") == F.col(label)).cast("int")).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
 
 def pseudo_trials(items: DataFrame, keys: Sequence[str], tie: str, n: int, value: str, seed: int = 0) -> DataFrame:
