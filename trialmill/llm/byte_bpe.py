@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, slices, text_buffer
 
-#: Pieces and words whose ids a worker keeps; all are dropped when there are more.
-CACHE_SIZE = 400_000
+#: Pieces, and words with their space, whose ids a worker keeps; all are dropped when there are more. About 80 MB.
+MAX_PIECES, MAX_CHUNKS = 250_000, 120_000
 #: White space other than the space and the line feed, in any of the two engines' sense.
 #: Bytes of the longest piece that is merged together with others, and pieces of a batch.
 MAX_SHORT, BATCH = 64, 8192
@@ -166,9 +166,9 @@ class ByteBPE:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Of each text, its ids."""
-        if len(self.pieces) > CACHE_SIZE:
+        if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
-        if len(self.chunks) > CACHE_SIZE:
+        if len(self.chunks) > MAX_CHUNKS:
             self.chunks.clear()
         known = self.chunks
         chunks = [[x] if _RARE_SPACE.search(x) else _CHUNK.findall(x) for x in texts]
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
         coder = loaded(path, pattern)
         for b in batches:
             column = b.column(len(rest))
-            for i, j in slices(text_buffer(column)[0], 4 * SLICE_BYTES):
+            for i, j in slices(text_buffer(column)[0], 2 * SLICE_BYTES):
                 found = coder.encode_many([x or "" for x in column.slice(i, j - i).to_pylist()])
                 bounds = np.cumsum([0, *map(len, found)]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate(found)))
