@@ -164,36 +164,53 @@ def partial_correlation(df: DataFrame, keys: Sequence[str], x: str, y: str, z: s
     return g.select(*keys, F.col("xy").alias("pearson"), F.try_divide(top, F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2))).alias("partial"), F.try_divide(top, F.sqrt(1 - F.col("yz") ** 2)).alias("semi_partial"))
 
 
-def random_intercept_models(df: DataFrame, keys: Sequence[str], subject: str, value: str, predictors: Sequence[str]) -> DataFrame:
-    """A linear model with a random intercept per subject, for each group: coefficients, standard errors, logLik, AIC, BIC.
+def sums_by_size(df: DataFrame, keys: Sequence[str], subject: str, value: str, predictors: Sequence[str]) -> DataFrame:
+    """For each group and number of rows n of a subject: how many such subjects, and what a random intercept model needs of them.
 
-    Subjects are first summed up by sufficient statistics; the solver sees those few rows of a group only and searches the
-    variance ratio on a grid and then around its best point. Crossed effects and random slopes aren't built.
+    a|b, y|a and yy sum the products of rows; s|a|b, sy|a and syy sum the products of the subjects' own sums. "one" is the intercept.
     """
     names = ["one", *predictors]
+    products = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     rows = df.withColumn("one", F.lit(1.0)).where(F.col(value).isNotNull())
-    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for i, a in enumerate(names) for b in names[i:]]
+    sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}|{b}") for a, b in products]
     stats = rows.groupBy(*keys, subject).agg(F.sum(F.col(value) * F.col(value)).alias("yy"), *[F.sum(F.col(a) * F.col(value)).alias(f"y|{a}") for a in names], *sums)
+    total, own = lambda c: F.sum(F.col(c)).alias(c), lambda a: F.col(f"one|{a}")
+    return stats.withColumn("n", own("one")).groupBy(*keys, "n").agg(
+        F.count(F.lit(1)).alias("subjects"), total("yy"), F.sum(F.col("y|one") * F.col("y|one")).alias("syy"),
+        *[total(f"y|{a}") for a in names], *[F.sum(F.col("y|one") * own(a)).alias(f"sy|{a}") for a in names],
+        *[total(f"{a}|{b}") for a, b in products], *[F.sum(own(a) * own(b)).alias(f"s|{a}|{b}") for a, b in products],
+    )
+
+
+def random_intercept_models(df: DataFrame, keys: Sequence[str], subject: str, value: str, predictors: Sequence[str]) -> DataFrame:
+    """A linear model with a random intercept per subject, for each group: coefficients, standard errors, logLik, AIC, BIC.
+
+    The likelihood depends on a subject by sums alone, weighted by a factor of its number of rows and the variance ratio. So
+    subjects of equally many rows are summed up in Spark and the solver sees a row for each such number: of N rows of a group
+    at most sqrt(2 N), however many subjects there are. It searches the ratio on a grid and then around its best point.
+    Crossed effects and random slopes aren't built.
+    """
+    names = ["one", *predictors]
     k = len(names)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        xx = np.zeros((len(pdf), k, k))
+        xx, ss = np.zeros((len(pdf), k, k)), np.zeros((len(pdf), k, k))
         for i, a in enumerate(names):
             for j in range(i, k):
                 xx[:, i, j] = xx[:, j, i] = pdf[f"{a}|{names[j]}"]
-        xy = pdf[[f"y|{a}" for a in names]].to_numpy(float)
-        yy, n = pdf["yy"].to_numpy(float), xx[:, 0, 0]
-        total = n.sum()
+                ss[:, i, j] = ss[:, j, i] = pdf[f"s|{a}|{names[j]}"]
+        xy, sy = (pdf[[f"{p}|{a}" for a in names]].to_numpy(float) for p in ("y", "sy"))
+        yy, syy, n, subjects = (pdf[c].to_numpy(float) for c in ("yy", "syy", "n", "subjects"))
+        total = (n * subjects).sum()
 
         def fit(ratio: float) -> tuple[float, np.ndarray, np.ndarray, float]:
             c = ratio / (1 + n * ratio)
-            sx, sy = xx[:, 0, :], xy[:, 0]
-            a = (xx - c[:, None, None] * sx[:, :, None] * sx[:, None, :]).sum(axis=0)
-            b = (xy - (c * sy)[:, None] * sx).sum(axis=0)
+            a = (xx - c[:, None, None] * ss).sum(axis=0)
+            b = (xy - c[:, None] * sy).sum(axis=0)
             inverse = np.linalg.pinv(a)
             beta = inverse @ b
-            rss = max(float((yy - c * sy * sy).sum() - beta @ b), 1e-12)
-            return -0.5 * (total * np.log(2 * np.pi * rss / total) + np.log1p(n * ratio).sum() + total), beta, inverse, rss / total
+            rss = max(float((yy - c * syy).sum() - beta @ b), 1e-12)
+            return -0.5 * (total * np.log(2 * np.pi * rss / total) + (subjects * np.log1p(n * ratio)).sum() + total), beta, inverse, rss / total
 
         grid = [0.0, *np.exp(np.linspace(-9, 5, 57))]
         best = max(range(len(grid)), key=lambda i: fit(grid[i])[0])
@@ -207,9 +224,9 @@ def random_intercept_models(df: DataFrame, keys: Sequence[str], subject: str, va
         for key in keys:
             out[key] = pdf[key].iloc[0]
         out["log_lik"], out["aic"], out["bic"] = ll, 2 * (k + 2) - 2 * ll, np.log(total) * (k + 2) - 2 * ll
-        out["subject_variance"], out["subjects"] = ratio * sigma2, len(pdf)
+        out["subject_variance"], out["subjects"] = ratio * sigma2, int(subjects.sum())
         return out[[*keys, "coefficient", "estimate", "se", "log_lik", "aic", "bic", "subject_variance", "subjects"]]
 
     kinds = dict(df.dtypes)
     schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "coefficient string, estimate double, se double, log_lik double, aic double, bic double, subject_variance double, subjects long"])
-    return stats.groupBy(*keys).applyInPandas(solve, schema)
+    return sums_by_size(df, keys, subject, value, predictors).groupBy(*keys).applyInPandas(solve, schema)
