@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, content_keys, materialize, mix, shingle_sets, signed, small, words_of
+from .common import batch, content_keys, materialize, mix, shingle_sets, signed, words_of
 from .components import components
 
 WIDTH = 5
@@ -126,14 +126,16 @@ def frequent_tokens(docs: DataFrame) -> np.ndarray:
 def _runs(rows: DataFrame) -> DataFrame:
     """From rows sorted by tok: (kind 0) a star of candidates per token, (kind 1) the rows of tokens of three or more texts.
 
-    A text is paired with the first of its token in the sort order. Only the token's first row is held.
+    A text is paired with the first of its token in the sort order. Only the token's first row is held. A token that is
+    passed on in pieces has all its rows in kind 1, whatever the size of a piece.
     """
     schema = pa.schema([("kind", pa.int8()), ("tok", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
+        continued = False  # the first token held had rows before
 
-        def out(tok: np.ndarray, key: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+        def out(tok: np.ndarray, key: np.ndarray, at: np.ndarray, pieces: bool) -> pa.RecordBatch:
             new = np.ones(len(tok), bool)
             new[1:] = (tok[1:] != tok[:-1]) | (key[1:] != key[:-1])
             tok, key, at = tok[new], key[new], at[new]
@@ -142,7 +144,7 @@ def _runs(rows: DataFrame) -> DataFrame:
             head, size = np.repeat(first, size), np.repeat(size, size)
             n, rest = at >> 32, (at >> 32) - (at & 0xFFFFFFFF)
             star = (head != np.arange(len(tok))) & (9 * (1 + np.minimum(rest, rest[head])) >= 4 * (n + n[head])) & (5 * np.minimum(n, n[head]) >= 4 * np.maximum(n, n[head]))
-            wide = size >= 3
+            wide = (size >= 3) | (pieces & (head == 0))
             kind = np.concatenate([np.zeros(star.sum(), np.int8), np.ones(wide.sum(), np.int8)])
             other = np.concatenate([key[head][star], np.zeros(wide.sum(), np.int64)])
             return batch(schema, kind=kind, tok=np.concatenate([tok[star], tok[wide]]), key=np.concatenate([key[star], key[wide]]), at=np.concatenate([at[star], at[wide]]), other=other)
@@ -157,35 +159,54 @@ def _runs(rows: DataFrame) -> DataFrame:
             cut = int(np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))[-1])
             if cut == 0 and len(tok) > 1 << 16:
                 # a very large token: pass on what there is, and keep its first row as the leader of the rest
-                yield out(*cols)
-                held = [x[:1] for x in cols]
+                yield out(*cols, True)
+                held, continued = [x[:1] for x in cols], True
                 continue
             if cut:
-                yield out(*[x[:cut] for x in cols])
+                yield out(*[x[:cut] for x in cols], continued)
+                continued = False
             held = [x[cut:] for x in cols]
         if held is not None and len(held[0]):
-            yield out(*held)
+            yield out(*held, continued)
 
     return rows.mapInArrow(run, "kind tinyint, tok long, key long, at long, other long")
 
 
-def _texts(docs: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, text): one text of each of the keys."""
-    spark = docs.sparkSession
-    one = members.join(keys, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("doc_id"))
-    one = materialize(one, "keys")
-    if small(one, MAX_KEYS):
-        wanted = spark.sparkContext.broadcast(np.sort(one.select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)))
+def _keyed(docs: DataFrame, ids: np.ndarray | None = None, none: bool = True) -> DataFrame:
+    """docs (doc_id, text and others) with the hash of a row's words as _key, 0 without words.
+
+    ids, in order and few enough to be broadcast: only rows of these, and with none those without a doc_id.
+    """
+    names = docs.columns
+    own, at = names.index("doc_id"), names.index("text")
+    wanted = None if ids is None else docs.sparkSession.sparkContext.broadcast(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if wanted is not None:
+                of, known = wanted.value, b.column(own).is_valid().to_numpy(zero_copy_only=False)
+                mine = b.column(own).fill_null(0).to_numpy()
+                near = of[np.minimum(np.searchsorted(of, mine), len(of) - 1)] == mine if len(of) else np.zeros(len(mine), bool)
+                b = b.filter(pa.array(np.where(known, near, none)))
+            keys = np.concatenate([np.zeros(0, np.int64), *[signed(content_keys(w)) for _, _, w in words_of(b.column(at))]])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys)], names=[*names, "_key"])
+
+    return docs.mapInArrow(run, docs.withColumn("_key", F.lit(None).cast("long")).schema)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                ids = b.column(0).to_numpy(zero_copy_only=False)
-                near = wanted.value[np.minimum(np.searchsorted(wanted.value, ids), len(wanted.value) - 1)] if len(wanted.value) else ids[:0]
-                if len(near):
-                    yield b.filter(pa.array(near == ids))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return one.join(docs, "doc_id").select("key", "text")
+def _texts(docs: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, text): one text of each of the keys, that of its least doc_id if it has any."""
+    one = members.join(keys, "key", "left_semi").groupBy("key", "doc_id").count().groupBy("key")
+    one = materialize(one.agg(F.min("doc_id").alias("doc_id"), (F.coalesce(F.min_by("count", "doc_id"), F.max("count")) > 1).alias("again")), "keys")
+    n, none, again = one.agg(F.count(F.lit(1)), F.coalesce(F.max(F.isnull("doc_id")), F.lit(False)), F.coalesce(F.max("again"), F.lit(False))).first()
+    if n <= MAX_KEYS:
+        rows = _keyed(docs, np.sort(one.where("doc_id is not null").select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)), none)
+    else:
+        rows = _keyed(docs)
+    if again:  # rows of one doc_id and the same words
+        rows = rows.dropDuplicates(["doc_id", "_key"])
+    same = (rows["_key"] == one["key"]) & rows["doc_id"].eqNullSafe(one["doc_id"])
+    return rows.join(one, same).select("key", "text")
 
 
 def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -225,15 +246,8 @@ def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
 
 
-def similar_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; other columns are ignored).
-
-    component_id is the smallest doc_id that is reached by links of Jaccard similarity 0.8 or more, the row's own included.
-    A null or blank text has no shingles and is linked with nothing: its component_id is its doc_id. Rows that repeat a
-    doc_id each give a row. A null doc_id stays null, and a group of such rows only has a null component_id. Texts are
-    compared by 64-bit hashes of shingles and of whole texts. An empty table gives an empty result.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of docs (doc_id, text): the members, and (key, doc_id, root) of each text with words, its least doc_id and its group."""
     members = materialize(_members(docs), "members")
     rows = _prefixes(docs, frequent_tokens(docs), False)
     rows = rows.repartition("tok").sortWithinPartitions("tok", "light", "key").select("tok", "key", "at")
@@ -266,7 +280,19 @@ def similar_groups(docs: DataFrame) -> DataFrame:
                 break
     comp = comp.withColumnRenamed("node", "key")
     least = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(comp, "key", "left")
-    least = materialize(least.select("key", "doc_id", F.coalesce("root", "key").alias("root")), "least")
+    return members, materialize(least.select("key", "doc_id", F.coalesce("root", "key").alias("root")), "least")
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; other columns are ignored).
+
+    component_id is the smallest doc_id that is reached by links of Jaccard similarity 0.8 or more, the row's own included.
+    A null or blank text has no shingles and is linked with nothing: its component_id is its doc_id. Rows that repeat a
+    doc_id each give a row. A null doc_id stays null, and a group of such rows only has a null component_id. Texts are
+    compared by 64-bit hashes of shingles and of whole texts. An empty table gives an empty result.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    members, least = _groups(docs)
     roots = least.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     keyed = least.join(roots, "root").select("key", "component_id")
     out = members.join(keyed, "key", "left")
@@ -276,10 +302,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each group of near-duplicates stays, that of the smallest doc_id.
 
-    Texts without words are in no group and stay. Of rows that repeat a doc_id one stays; rows without a doc_id all stay,
-    as nothing tells which came first. All columns of docs are returned as they were.
+    Texts without words are in no group and stay. Of rows that repeat a doc_id and its words one stays; other texts under
+    that doc_id are judged by their own group, and a group's smallest doc_id with several of its texts keeps that of the
+    least hash. Rows without a doc_id all stay, as nothing tells which came first. All columns of docs are returned as they were.
     """
-    groups = similar_groups(docs.where("doc_id is not null"))
-    first = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"] == first["_kept"]).drop("_kept").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = docs.where("doc_id is not null")
+    members, least = _groups(named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
+    first = least.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first")).select("first.doc_id", "first.key")
+    first = first.unionByName(members.where("n = 0").select("doc_id", "key").distinct()).select(F.col("doc_id").alias("_kept"), F.col("key").alias("_words"))
+    rows = _keyed(named)
+    kept = rows.join(first, (rows["doc_id"] == first["_kept"]) & (rows["_key"] == first["_words"])).dropDuplicates(["doc_id", "_key"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
