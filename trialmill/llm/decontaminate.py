@@ -14,6 +14,7 @@ shares of their question's and of their answer's word triples that the text has.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -22,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch, slices, text_buffer, window_hashes
+from .common import Words, batch, materialize, signed, slices, text_buffer, window_hashes
 
 STRIDE = 32
 K1, B = 1.2, 0.75
@@ -51,10 +52,21 @@ def _terms_of(texts: list[str]) -> Words:
     return terms(*text_buffer(pc.utf8_lower(pa.array(texts, pa.string()))))
 
 
+class Statistics(NamedTuple):
+    """Of all items: their number, mean and largest length; and in how many each term of a shard is, terms in order."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    counts: np.ndarray
+
+
 class Index:
     """Postings by term number, in arrays: items, impacts, and per block its last item and largest impact."""
 
-    def __init__(self, ids: list[int], questions: list[str], answers: list[str]) -> None:
+    def __init__(self, ids: list[int], questions: list[str], answers: list[str], over: Statistics | None = None) -> None:
+        """over: the statistics of all items, of which these are a shard; without it these are all."""
         w = _terms_of([f"{q} {a}" for q, a in zip(questions, answers)])
         self.ids = np.array(ids, np.int64)
         length = np.diff(w.first)
@@ -62,8 +74,12 @@ class Index:
         pair, tf = np.unique(code.astype(np.int64) * max(len(ids), 1) + w.row, return_counts=True)
         term, item = pair // max(len(ids), 1), pair % max(len(ids), 1)
         df = np.bincount(term, minlength=len(self.vocabulary))
-        idf = np.log1p((len(ids) - df + 0.5) / (df + 0.5))
-        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(length.mean(), 1e-9))) if len(pair) else np.zeros(0)
+        items, mean, longest = len(ids), length.mean() if len(ids) else 0.0, int(length.max(initial=0))
+        if over is not None:
+            items, mean, longest = over.items, over.mean, over.longest
+            df = over.counts[np.searchsorted(over.terms, self.vocabulary)]
+        idf = np.log1p((items - df + 0.5) / (df + 0.5))
+        impact = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[item] / max(mean, 1e-9))) if len(pair) else np.zeros(0)
         own = np.bincount(item, impact, len(ids)) if len(pair) else np.zeros(len(ids))
         impact = impact / np.maximum(RETRIEVE * own[item], 1e-12)
         self.first = np.searchsorted(term, np.arange(len(self.vocabulary) + 1))
@@ -72,7 +88,7 @@ class Index:
             starts = np.arange(a, b, BLOCK)
             last = item[np.minimum(starts + BLOCK, b) - 1].tolist()
             self.lists.append((item[a:b].tolist(), impact[a:b].tolist(), last, np.maximum.reduceat(impact, starts).tolist()))
-        self.width = int(length.max(initial=0)) + STRIDE
+        self.width = longest + STRIDE
         self.most = np.array([max(x[1]) for x in self.lists]) if self.lists else np.zeros(0)
         letters = np.zeros(len(df), np.int64)
         letters[code] = w.end - w.start
@@ -218,7 +234,8 @@ def split_item(text: str) -> tuple[str, str]:
 def build_indexes(items: DataFrame) -> Iterator[Index]:
     """An index for each SHARD items (item_id, and question and answer or text); items without words are in none.
 
-    The item table is read shard by shard, so that what is broadcast has a fixed bound. Statistics are those of a shard.
+    The item table is read shard by shard, so that what is broadcast has a fixed bound. Statistics are those of all items, so
+    that shards only split the postings and scores don't depend on SHARD.
     """
     if {"question", "answer"} <= set(items.columns):
         items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("question", F.lit("")).alias("q"), F.coalesce("answer", F.lit("")).alias("a"))
@@ -226,10 +243,39 @@ def build_indexes(items: DataFrame) -> Iterator[Index]:
         items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("q"), F.lit(None).cast("string").alias("a"))
     items = items.where(F.col("item_id").isNotNull())
     shards = -(-items.count() // SHARD)
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards)).cast("int"))
+    found = _statistics(items) if shards > 1 else None
     for k in range(shards):
-        part: pd.DataFrame = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "q").toPandas()
+        part: pd.DataFrame = items.where(F.col("shard") == k).drop("shard").orderBy("item_id", "q").toPandas()
         both = [split_item(q) if a is None else (q, a) for q, a in zip(part["q"], part["a"])]
-        yield Index(part["item_id"].tolist(), [q for q, _ in both], [a for _, a in both])
+        over = None
+        if found is not None:
+            counts = found[1].where(F.col("shard") == k).select("term", "n").toPandas()
+            term, n = counts["term"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64)
+            order = np.argsort(term)
+            over = Statistics(*found[0], term[order], n[order])
+        yield Index(part["item_id"].tolist(), [q for q, _ in both], [a for _, a in both], over)
+
+
+def _statistics(items: DataFrame) -> tuple[tuple[int, float, int], DataFrame]:
+    """Number, mean and largest length of items (q, a, shard), and (shard, term, n): in how many of all items each term of a shard is."""
+    schema = pa.schema([("shard", pa.int32()), ("term", pa.int64()), ("tokens", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = [split_item(q) if a is None else (q, a) for q, a in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            w = _terms_of([f"{q} {a}" for q, a in both])
+            shard = b.column(2).to_numpy()
+            once = np.unique(np.stack([w.row.astype(np.uint64), w.hash]), axis=1)
+            yield batch(schema, shard=shard[once[0].astype(np.int64)], term=signed(once[1].copy()), tokens=np.zeros(once.shape[1], np.int64))
+            # an item's length, in a row without a term
+            yield batch(schema, shard=shard, term=pa.nulls(len(shard), pa.int64()), tokens=np.diff(w.first))
+
+    rows = materialize(items.select("q", "a", "shard").mapInArrow(run, "shard int, term long, tokens long"), "item-terms")
+    n, total, longest = rows.where("term is null").agg(F.count(F.lit(1)), F.sum("tokens"), F.max("tokens")).first()
+    own = rows.where("term is not null").groupBy("shard", "term").agg(F.count(F.lit(1)).alias("own"))
+    counts = own.groupBy("term").agg(F.sum("own").alias("n"))
+    return (n, total / n, longest), materialize(own.join(counts, "term").select("shard", "term", "n"), "item-counts")
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, overlap: float = OVERLAP) -> DataFrame:
