@@ -42,7 +42,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_orc_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "token-files")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), path)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), path, special_as_text=False)
     return token_files.with_crc32(token_files.read_tokens(spark, path))
 
 

@@ -42,16 +42,19 @@ class WordEncoder:
     """Ids of whole texts by a tokenizers file.
 
     Its splitting drops white space, so words are encoded apart, each distinct one once, and its ids are kept. Words of
-    plain letters go straight to the file's BPE model, others through its normaliser and splitting as well.
+    plain letters go straight to the file's BPE model, others through its normaliser and splitting as well. Texts that
+    quote an added token go through the tokenizer whole, unless such strings are to be ordinary text (special_as_text).
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special_as_text: bool = True) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [] if special_as_text else [re.escape(x.content) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_RARE_SPACE.pattern, *added]))
         self.model = self.tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.byte_level = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
@@ -99,7 +102,7 @@ class WordEncoder:
                 kept.clear()
         self.words[""] = b""
         rows = len(column)
-        rare = [k for k, x in enumerate(column.to_pylist()) if _RARE_SPACE.search(x)]
+        rare = [k for k, x in enumerate(column.to_pylist()) if self.whole.search(x)]
         if rare:
             keep = np.ones(rows, bool)
             keep[rare] = False
@@ -128,21 +131,22 @@ class WordEncoder:
         return np.add.reduceat(each, last - words) if rows else np.zeros(0, np.int64), ids
 
 
-_loaded: dict[str, WordEncoder] = {}
+_loaded: dict[tuple[str, bool], WordEncoder] = {}
 
 
-def loaded(path: str) -> WordEncoder:
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+def loaded(path: str, special_as_text: bool = True) -> WordEncoder:
+    if (path, special_as_text) not in _loaded:
+        _loaded[path, special_as_text] = WordEncoder(path, special_as_text)
+    return _loaded[path, special_as_text]
 
 
-def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1) -> None:
+def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 1, special_as_text: bool = True) -> None:
     """Encode docs (doc_id, text; other columns are ignored) and write the token files to path.
 
     end_id follows each document's ids; a null or empty text gives end_id alone. Rows of one doc_id are in order of
     their text, null ids come first. Texts are dealt by ranges of doc_id before they are encoded, as ids take more
-    room than texts do. Very large documents stay one row.
+    room than texts do. Very large documents stay one row. special_as_text=False is the library's default: the string of
+    an added token in a text becomes that token.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -152,7 +156,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     schema = "doc_id long, part int, before long, n_tokens int, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, before = loaded(tokenizer_path), 0
+        encoder, before = loaded(tokenizer_path, special_as_text), 0
         for b in batches:
             for i, j in slices(text_buffer(b.column(1))[0], 8 * SLICE_BYTES):
                 count, flat = encoder.encode(b.column(1).slice(i, j - i), [end_id])
