@@ -31,7 +31,7 @@ def test_texts_of_odd_ids(spark, monkeypatch, bound):
 def test_texts_belong_to_their_keys(spark, monkeypatch, bound):
     monkeypatch.setattr(ngram_join, "MAX_KEYS", bound)
     docs = spark.createDataFrame([(1, A), (1, OTHER), (1, OTHER), (None, B), (None, B)], "doc_id long, text string")
-    members = ngram_join._members(docs)
+    members = ngram_join._sets(docs).select("doc_id", "key", "n")
     got = ngram_join._texts(docs, members, members.select("key").distinct()).collect()
     assert sorted(r.text for r in got) == sorted([A, B, OTHER]) and len({r.key for r in got}) == 3
 

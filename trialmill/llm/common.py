@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -26,16 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one that the cluster names in spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    """A new folder below the shared one that the cluster names in spark.checkpoint.dir.
+
+    Where that is unset, a folder of this machine will do for a local master only; on a cluster it is an error.
+    """
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = "file:///tmp/checkpoints"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and any executor can read it."""
     path = scratch_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.options(**{"compression": "zstd"} | options).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete what materialize wrote for these tables; only for tables whose readers have all been materialized."""
+    for table in tables:
+        path = getattr(table, "_written_to", None) if table is not None else None
+        if path:
+            at = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -52,7 +71,7 @@ _powers: dict[int, np.ndarray] = {}
 
 def _power_table(base: int, n: int) -> np.ndarray:
     if len(_powers.get(base, ())) < n:
-        steps = np.full(max(n, 2 * SLICE_BYTES), base & _MASK, np.uint64)
+        steps = np.full(max(n, SLICE_BYTES), base & _MASK, np.uint64)
         steps[0] = 1
         _powers[base] = np.cumprod(steps)
     return _powers[base]

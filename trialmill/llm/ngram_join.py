@@ -1,18 +1,21 @@
 """Set-similarity self join of texts on word shingles, with several global token orders.
 
-Every text becomes its set of distinct shingles. For a Jaccard bound of 4/5 two linked sets must share a token among
-the first n - ceil(4n/5) + 1 tokens of each, under *any* order that all sets use. The join uses several:
+Every text becomes its set of distinct shingles, kept as a sorted array in a table that is written once. For a Jaccard
+bound of 4/5 two linked sets must share a token among the first n - ceil(4n/5) + 1 tokens of each, under *any* order that
+all sets use. The join uses three:
 
 * Order 1 brings candidates together: a hash order with the most frequent tokens moved to the end. Frequencies come from
   all texts, in rounds: the tokens that many texts have in their prefixes go last, the prefixes then reach further, and
   those tokens are counted in turn. The order only steers cost; links are the same under any.
-* Orders 2 and 3, two more hash orders, are tested on every candidate pair before the sets are compared.
+* Orders 2 and 3 are two more hash orders. The sets of candidate pairs give their prefixes under these. Up to where the
+  shorter prefix ends all common tokens are known, so that a pair goes on only if these, and as many as may follow, reach
+  the bound under both orders. Texts are fetched for the pairs that are left, and their sets compared exactly.
 
 Texts of equal words are one node from the start. A pair is only a candidate if what follows its shared token in both
-orders is long enough for the bound (the first token that two linked sets share always allows it). Within the texts that
+texts is long enough for the bound (the first token that two linked sets share always allows it). Within the texts that
 share a token, each is first compared with a leader only, the text with the fewest tokens that aren't frequent; texts that are
-thereby in one component need no more comparison, and the pairs that remain, of different components, are compared in full. Thus large groups of copies cost about as many pairs as they have members,
-and no link between components is lost.
+thereby in one component need no more comparison, and the pairs that remain, of different components, are compared in
+full. Thus large groups of copies cost about as many pairs as they have members, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -24,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, content_keys, materialize, mix, shingle_sets, signed, words_of
+from .common import batch, content_keys, discard, materialize, mix, shingle_sets, signed, small, words_of
 from .components import components
 
 WIDTH = 5
 #: A token that more texts than this have in their prefixes counts as frequent.
 FREQUENT = 4
-#: Frequent tokens that are broadcast, 8 bytes each; the most frequent if there are more.
-MAX_FREQUENT = 1 << 21
-#: Keys that are broadcast to pick texts; above, a join picks them.
-MAX_KEYS = 1 << 20
+#: Frequent tokens that are told apart, as at most 32 bits of a bitmap each; the most frequent if there are more.
+MAX_FREQUENT = 1 << 22
+#: Rows that are broadcast to pick sets and texts; above, a join picks them.
+MAX_KEYS = 1 << 18
+#: Bits of a token in the table of sets. Tokens that share them only bring more candidates.
+TOKEN_BITS = 48
 ORDER_ROUNDS, LEADER_ROUNDS = 3, 1
 
 
@@ -41,86 +46,138 @@ def prefix_size(n: int) -> int:
     return n - (4 * n + 4) // 5 + 1 if n else 0
 
 
-def linked(common: int, n: int, m: int) -> bool:
-    return 100 * common >= 80 * (n + m - common)
+def _sets(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, key, n, toks) of every row: the hash of its words, its number of shingles, and their tokens in order.
 
-
-def _members(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n): the hash of a text's words and its number of shingles, of every row."""
-    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32())])
+    toks is null for no words, and where the same task has given the key's before.
+    """
+    docs = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int32()), ("toks", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(0, np.int64)
         for b in batches:
-            for i, j, w in words_of(b.column(1)):
-                at, _ = shingle_sets(w, WIDTH)
-                yield batch(schema, doc_id=b.column(0).slice(i, j - i), key=signed(content_keys(w)), n=np.diff(at))
+            for i, j, w in words_of(b.column(2)):
+                at, h = shingle_sets(w, WIDTH)
+                key, size = signed(content_keys(w)), np.diff(at)
+                first = np.zeros(len(key), bool)
+                first[np.unique(key, return_index=True)[1]] = True
+                first &= ~np.isin(key, seen) & (size > 0)
+                seen = np.union1d(seen, key[first])
+                bounds = np.concatenate([[0], np.cumsum(np.where(first, size, 0))]).astype(np.int32)
+                toks = pa.ListArray.from_arrays(pa.array(bounds), pa.array(signed(h[np.repeat(first, size)] >> np.uint64(64 - TOKEN_BITS))), mask=pa.array(~first))
+                rest = [b.column(k).slice(i, j - i) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(key), pa.array(size.astype(np.int32)), toks], schema=schema)
+
+    # tokens are random numbers in order: their differences take fewer bits, no dictionary or compression makes them smaller
+    packed = {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "none"}
+    return materialize(docs.mapInArrow(run, "row long, doc_id long, key long, n int, toks array<long>"), "sets", **packed)
+
+
+class _Ordered:
+    """The sets of a batch under order 1: of each token its row, place in hash order, place in order 1, and if it is frequent."""
+
+    def __init__(self, toks: pa.ListArray, bits: np.ndarray | None) -> None:
+        at = toks.offsets.to_numpy().astype(np.int64)
+        self.h = toks.values.to_numpy()[at[0] : at[-1]].view(np.uint64)
+        at = at - at[0]
+        self.n = np.diff(at)
+        self.size = self.n - (4 * self.n + 4) // 5 + 1
+        self.row = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = np.arange(len(self.h)) - at[self.row]
+        self.late = np.zeros(len(self.h), bool)
+        if bits is not None:
+            x = self.h & np.uint64(8 * len(bits) - 1)
+            self.late = (bits[(x >> np.uint64(3)).astype(np.int64)] >> (x & np.uint64(7)).astype(np.uint8)) & 1 > 0
+        before = np.concatenate([[0], np.cumsum(~self.late)])
+        self.light = np.diff(before[at])
+        ahead = before[:-1] - before[at[:-1]][self.row]
+        self.order = np.where(self.late, self.light[self.row] + self.place - ahead, ahead)
+
+
+def _prefixes(sets: DataFrame, bits: np.ndarray | None) -> DataFrame:
+    """(tok, key, at, light): the prefix tokens of each text under order 1.
+
+    at holds the size of the set in its upper and the token's place, from 1, in its lower 32 bits; light is the number of
+    tokens of the text's prefix that aren't frequent, which is small for the middle of a group of copies.
+    """
+    schema = pa.schema([("tok", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("light", pa.int32())])
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, n int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _parts(whole):
+                o = _Ordered(b.column(1), shared.value)
+                on = o.order < o.size[o.row]
+                row = o.row[on]
+                key, light = b.column(0).to_numpy()[row], np.minimum(o.light, o.size)[row]
+                yield batch(schema, tok=signed(o.h[on]), key=key, at=(o.n[row] << 32) + o.order[on] + 1, light=light.astype(np.int32))
 
+    return sets.where("toks is not null").select("key", "toks").mapInArrow(run, "tok long, key long, at long, light int")
 
-def _prefixes(docs: DataFrame, frequent: np.ndarray, only_moved: bool) -> DataFrame:
-    """(tok, key, at, light): the prefix tokens of each text under order 1; equal texts of a task give theirs once.
 
-    at holds the size of the set in its upper and the token's place, from 1, in its lower 32 bits; light is the number of
-    tokens of the text's prefix that aren't frequent, which is small for the middle of a group of copies.
+def _parts(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
+    for i in range(0, b.num_rows, rows):
+        yield b.slice(i, rows)
 
-    only_moved: only texts with frequent tokens among their first, and only the tokens that these have moved forward; all
-    that aren't known as frequent from a text that has half its prefix of frequent ones, as large groups of copies do.
+
+def _moved(sets: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(tok): of texts with frequent tokens among their first in hash order, the other tokens that come forward for them.
+
+    A text that has half its prefix of frequent ones, as large groups of copies do, gives all its others.
     """
-    schema = pa.schema([("tok", pa.int64()), ("key", pa.int64()), ("at", pa.int64()), ("light", pa.int32())])
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    schema = pa.schema([("tok", pa.int64())])
+    shared = sets.sparkSession.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = shared.value
-        for b in batches:
-            seen: set[int] = set()
-            for _, _, w in words_of(b.column(0)):
-                at, h = shingle_sets(w, WIDTH)
-                keys, sizes = signed(content_keys(w)), np.diff(at)
-                late = np.zeros(len(h), bool)
-                if len(last) and len(h):
-                    late = last[np.minimum(np.searchsorted(last, h), len(last) - 1)] == h
-                any_late = np.add.reduceat(np.append(late, False), at[:-1]) * (sizes > 0) > 0 if len(at) > 1 else np.zeros(0, bool)
-                toks, own, ns, lights = [], [], [], []
-                for r, (a, n, key) in enumerate(zip(at[:-1].tolist(), sizes.tolist(), keys.tolist())):
-                    if not n or key in seen:
-                        continue
-                    seen.add(key)
-                    p = prefix_size(n)
-                    first, few = h[a : a + p], p
-                    if any_late[r]:
-                        own_late, mine = late[a : a + n], h[a : a + n]
-                        light = mine[~own_late]
-                        few = min(len(light), p)
-                        chosen = light[:p] if len(light) >= p else np.concatenate([light, mine[own_late][: p - len(light)]])
-                        if not only_moved:
-                            first = chosen
-                        elif 2 * own_late[:p].sum() >= p:
-                            first = light
-                        else:
-                            first = light[:p][~np.isin(light[:p], first)]
-                    elif only_moved:
-                        continue
-                    toks.append(first)
-                    own.append(np.full(len(first), key, np.int64))
-                    lights.append(np.full(len(first), few, np.int32))
-                    ns.append((n << 32) + np.arange(1, len(first) + 1))
-                if toks:
-                    yield batch(schema, tok=signed(np.concatenate(toks)), key=np.concatenate(own), at=np.concatenate(ns), light=np.concatenate(lights))
-
-    return docs.select("text").mapInArrow(run, "tok long, key long, at long, light int")
-
-
-def frequent_tokens(docs: DataFrame) -> np.ndarray:
-    """The tokens that order 1 moves to the end, counted over all texts in a few rounds; at most MAX_FREQUENT."""
-    found = np.zeros(0, np.uint64)
-    for k in range(ORDER_ROUNDS):
-        counts = _prefixes(docs, found, k > 0).groupBy("tok").count().where(F.col("count") > FREQUENT)
-        top = counts.orderBy(F.desc("count"), "tok").limit(MAX_FREQUENT - len(found)).toPandas()
-        if not len(top):
+        for whole in batches:
+            for b in _parts(whole):
+                o = _Ordered(b.column(0), shared.value)
+                head = o.place < o.size[o.row]
+                hit = np.bincount(o.row[head & o.late], minlength=len(o.n))
+                half = 2 * hit >= o.size
+                on = ~o.late & (half[o.row] | ~head & (o.order < o.size[o.row]) & (hit[o.row] > 0))
+                yield batch(schema, tok=signed(o.h[on]))
+
+    return sets.where("toks is not null").select("toks").mapInArrow(run, "tok long")
+
+
+def _bitmap(frequent: DataFrame) -> np.ndarray:
+    """Bits of tokens (tok, count), by their lower bits: 32 bits a token or more, 16 MB at most."""
+    octave = F.floor(F.log2("count") * 4).cast("int")
+    sizes = frequent.groupBy(octave.alias("octave")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("octave")).collect()  # some 250 rows at most
+    total, least = 0, 0
+    for x in sizes:
+        if total + x.n > MAX_FREQUENT:
+            least = x.octave + 1
             break
-        found = np.union1d(found, top["tok"].to_numpy(np.int64).view(np.uint64))
-    return found
+        total += x.n
+    size = min(1 << 27, max(1 << 15, 1 << (32 * total).bit_length()))
+    at = F.col("tok").bitwiseAND(size - 1) + 1  # Spark counts bits of a bitmap from 1
+    kept = frequent.where(octave >= least)
+    rows = kept.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).toPandas()
+    out = np.zeros((size >> 15, 4096), np.uint8)
+    for bucket, bits in zip(rows["bucket"], rows["bits"]):
+        out[bucket - 1] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def frequent_tokens(sets: DataFrame) -> np.ndarray | None:
+    """A bitmap of the tokens that order 1 moves to the end, counted over all texts in a few rounds. Others may share a bit."""
+    found: DataFrame | None = None
+    bits = None
+    for _ in range(ORDER_ROUNDS):
+        if bits is None:
+            size = F.expr("n - (4 * n + 4) div 5 + 1").cast("int")
+            toks = sets.where("toks is not null").select(F.explode(F.slice("toks", F.lit(1), size)).alias("tok"))
+        else:
+            toks = _moved(sets, bits)
+        more = materialize(toks.groupBy("tok").count().where(F.col("count") > FREQUENT), "frequent")
+        if more.isEmpty():
+            break
+        found = more if found is None else found.unionByName(more)
+        bits = _bitmap(found)
+    return bits
 
 
 def _runs(rows: DataFrame) -> DataFrame:
@@ -172,115 +229,194 @@ def _runs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "kind tinyint, tok long, key long, at long, other long")
 
 
-def _keyed(docs: DataFrame, ids: np.ndarray | None = None, none: bool = True) -> DataFrame:
-    """docs (doc_id, text and others) with the hash of a row's words as _key, 0 without words.
-
-    ids, in order and few enough to be broadcast: only rows of these, and with none those without a doc_id.
-    """
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs (text and others) with the hash of a row's words as _key, 0 without words."""
     names = docs.columns
-    own, at = names.index("doc_id"), names.index("text")
-    wanted = None if ids is None else docs.sparkSession.sparkContext.broadcast(ids)
+    at = names.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if wanted is not None:
-                of, known = wanted.value, b.column(own).is_valid().to_numpy(zero_copy_only=False)
-                mine = b.column(own).fill_null(0).to_numpy()
-                near = of[np.minimum(np.searchsorted(of, mine), len(of) - 1)] == mine if len(of) else np.zeros(len(mine), bool)
-                b = b.filter(pa.array(np.where(known, near, none)))
             keys = np.concatenate([np.zeros(0, np.int64), *[signed(content_keys(w)) for _, _, w in words_of(b.column(at))]])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys)], names=[*names, "_key"])
 
     return docs.mapInArrow(run, docs.withColumn("_key", F.lit(None).cast("long")).schema)
 
 
+def _second_prefixes(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, n, second, third, twice) of each of the keys: its prefixes under orders 2 and 3, as 32-bit numbers in order.
+
+    twice tells that a number comes twice in a prefix, which then shows no bound.
+    """
+    one = sets.where("toks is not null").select("key", "row").join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    one = materialize(one, "keys")
+    wanted = F.broadcast(one) if small(one, MAX_KEYS) else one
+    rows = sets.where("toks is not null").join(wanted, ["key", "row"], "left_semi").select("key", "n", "toks")
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("second", pa.list_(pa.int64())), ("third", pa.list_(pa.int64())), ("twice", pa.bool_())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _parts(whole):
+                o, firsts, twice = _Ordered(b.column(2), None), [], np.zeros(b.num_rows, bool)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(o.size)]).astype(np.int32))
+                on = o.place < o.size[o.row]
+                row = o.row[on]
+                for seed in (21, 22):
+                    h = mix(o.h, seed) >> np.uint64(32)
+                    h = h[np.lexsort((h, o.row))][on]
+                    twice[row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])]] = True
+                    firsts.append(pa.ListArray.from_arrays(bounds, pa.array(signed(h))))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *firsts, pa.array(twice)], schema=schema)
+
+    packed = {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "none"}
+    return materialize(rows.mapInArrow(run, "key long, n int, second array<long>, third array<long>, twice boolean"), "prefixes", **packed)
+
+
+def _reaches(x: pa.Array, y: pa.Array, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether the sets of n and m tokens with prefixes x and y under one order can have Jaccard similarity 4/5."""
+    tagged, sizes, last = [], [], []
+    for side in (x, y):
+        at = side.offsets.to_numpy().astype(np.int64)
+        row = np.repeat(np.arange(len(side)), np.diff(at))
+        value = side.values.to_numpy()[at[0] : at[-1]]
+        last.append(value[at[1:] - at[0] - 1])
+        tagged.append((row, value))
+    known = np.minimum(*last)  # all tokens below are in both prefixes
+    for k, (row, value) in enumerate(tagged):
+        below = value < known[row]
+        sizes.append(np.bincount(row[below], minlength=len(n)))
+        tagged[k] = (row[below] << 32) | value[below]
+    common = np.bincount(np.intersect1d(*tagged, assume_unique=True) >> 32, minlength=len(n))
+    most = common + np.minimum(n - sizes[0], m - sizes[1])
+    return 9 * most >= 4 * (n + m)
+
+
+def _filtered(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys that both orders 2 and 3 let pass."""
+    nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    nodes = _second_prefixes(sets, nodes)
+    for end in "ab":
+        pairs = pairs.join(nodes.select(F.col("key").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in nodes.columns[1:]]), end)
+    pairs = pairs.select("a", "b", *[f"{c}_{end}" for c in nodes.columns[1:] for end in "ab"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _parts(whole, 256):
+                n, m = (b.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+                unsure = b.column(8).to_numpy(zero_copy_only=False) | b.column(9).to_numpy(zero_copy_only=False)
+                keep = _reaches(b.column(4), b.column(5), n, m) & _reaches(b.column(6), b.column(7), n, m) | unsure
+                yield b.select([0, 1]).filter(pa.array(keep))
+
+    left = materialize(pairs.mapInArrow(run, "a long, b long"), "filtered")
+    discard(nodes)
+    return left
+
+
 def _texts(docs: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, text): one text of each of the keys, that of its least doc_id if it has any."""
     one = members.join(keys, "key", "left_semi").groupBy("key", "doc_id").count().groupBy("key")
     one = materialize(one.agg(F.min("doc_id").alias("doc_id"), (F.coalesce(F.min_by("count", "doc_id"), F.max("count")) > 1).alias("again")), "keys")
-    n, none, again = one.agg(F.count(F.lit(1)), F.coalesce(F.max(F.isnull("doc_id")), F.lit(False)), F.coalesce(F.max("again"), F.lit(False))).first()
-    if n <= MAX_KEYS:
-        rows = _keyed(docs, np.sort(one.where("doc_id is not null").select("doc_id").toPandas()["doc_id"].to_numpy(np.int64)), none)
-    else:
-        rows = _keyed(docs)
+    again = one.agg(F.coalesce(F.max("again"), F.lit(False))).first()[0]
+    ids = one.select("doc_id").distinct().withColumnRenamed("doc_id", "_id")
+    rows = _keyed(docs.join(F.broadcast(ids) if small(ids, MAX_KEYS) else ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_semi"))
     if again:  # rows of one doc_id and the same words
         rows = rows.dropDuplicates(["doc_id", "_key"])
     same = (rows["_key"] == one["key"]) & rows["doc_id"].eqNullSafe(one["doc_id"])
     return rows.join(one, same).select("key", "text")
 
 
-def _verify(docs: DataFrame, members: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose sets pass every order's filter and then the exact bound."""
+def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys that every order lets pass, and whose sets then pass the exact bound.
+
+    b may stand in very many pairs with other a, as a leader does: its side is joined last, so that a leader's text isn't
+    sent along with each of its pairs.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    pairs = _filtered(sets, pairs)
     nodes = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
-    texts = materialize(_texts(docs, members, nodes), "texts")
-    both = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    texts = materialize(_texts(docs, sets.select("doc_id", "key"), nodes), "texts")
+    both = pairs.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
+    def sets_of(column: pa.Array) -> list[np.ndarray]:
         found = []
         for _, _, w in words_of(column):
             at, h = shingle_sets(w, WIDTH)
             found += [h[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
         return found
 
-    def firsts(h: np.ndarray, seed: int) -> np.ndarray:
-        order, p = mix(h, seed), prefix_size(len(h))
-        return np.partition(order, p - 1)[:p]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
+            for b in _parts(whole, 256):
                 keep = []
-                for x, y in zip(sets(b.column(2)), sets(b.column(3))):
-                    ok = min(len(x), len(y)) > 0 and 5 * min(len(x), len(y)) >= 4 * max(len(x), len(y))
-                    ok = ok and all(len(np.intersect1d(firsts(x, seed), firsts(y, seed))) for seed in (21, 22))
-                    keep.append(ok and linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+                for x, y in zip(sets_of(b.column(2)), sets_of(b.column(3))):
+                    # 100 common >= 80 (n + m - common)
+                    keep.append(180 * len(np.intersect1d(x, y, assume_unique=True)) >= 80 * (len(x) + len(y)))
                 yield b.select([0, 1]).filter(pa.array(keep, pa.bool_())).cast(schema)
 
-    return both.mapInArrow(run, "a long, b long")
+    links = materialize(both.mapInArrow(run, "a long, b long"), "links")
+    discard(texts, pairs)
+    return links
+
+
+def _ordered(df: DataFrame, key: str, leader: str) -> DataFrame:
+    """Each pair of different keys once, as (a, b), with b its leader in one of its rows."""
+    return df.where(F.col(key) != F.col(leader)).groupBy(F.least(key, leader).alias("lo"), F.greatest(key, leader).alias("hi")).agg(F.max(leader).alias("b")).select(F.when(F.col("b") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("a"), "b")
 
 
-def _ordered(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+def _same(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs of a that aren't in b in either direction."""
+    seen = b.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    return a.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(seen, ["lo", "hi"], "left_anti").select("a", "b")
+
+
+def _across(rows: DataFrame) -> DataFrame:
+    """(key, other): pairs of rows (tok, key, n, rest, root) of one token, with different roots and sizes that allow a link.
+
+    Sizes of linked sets differ by a factor of 1.25 at most, so rows meet only within a band of sizes and the next one.
+    """
+    x = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int"))
+    y = x.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("root").alias("to"), F.col("band").alias("of"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    return x.join(y, ["tok", "band"]).where("(of <> band or key < other) and root <> to").where(FITS)
+
+
+FITS = "least(n, m) * 5 >= greatest(n, m) * 4 and 9 * (1 + least(rest, after)) >= 4 * (n + m)"
 
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc_id, text): the members, and (key, doc_id, root) of each text with words, its least doc_id and its group."""
-    members = materialize(_members(docs), "members")
-    rows = _prefixes(docs, frequent_tokens(docs), False)
+    sets = _sets(docs)
+    members = sets.select("doc_id", "key", "n")
+    rows = _prefixes(sets, frequent_tokens(sets))
     rows = rows.repartition("tok").sortWithinPartitions("tok", "light", "key").select("tok", "key", "at")
     runs = materialize(_runs(rows), "runs")
 
     tried = materialize(_ordered(runs.where("kind = 0"), "key", "other"), "pairs")
-    comp = components(_verify(docs, members, tried))
+    comp = components(_verify(docs, sets, tried))
     open_rows = runs.where("kind = 1").select("tok", "key", F.shiftright("at", 32).alias("n"), (F.shiftright("at", 32) - F.col("at").bitwiseAND(0xFFFFFFFF)).alias("rest"))
-    fits = "least(n, m) * 5 >= greatest(n, m) * 4 and 9 * (1 + least(rest, after)) >= 4 * (n + m)"
     for k in range(LEADER_ROUNDS + 1):
         left = open_rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         lead = F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "n", "rest", "root")).alias("lead")
         mixed = left.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead).where("lo <> hi")
         open_rows = left.join(mixed, "tok")
         if k < LEADER_ROUNDS:
-            pairs = open_rows.where("root <> lead.root").select("key", "n", "rest", F.col("lead.key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.rest").alias("after")).where(fits)
+            # the rows of tokens that have several components still, for both uses below
+            open_rows = materialize(open_rows.select("tok", "key", "n", "rest", "root", "lead"), "open")
+            pairs = open_rows.where("root <> lead.root").select("key", "n", "rest", F.col("lead.key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.rest").alias("after")).where(FITS)
             open_rows = open_rows.select("tok", "key", "n", "rest")
         else:
-            x = open_rows.select("tok", "key", "n", "rest", "root")
-            y = x.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("root").alias("to"))
-            pairs = x.join(y, "tok").where("key < other and root <> to").where(fits)
-        pairs = materialize(_ordered(pairs, "key", "other").join(tried, ["a", "b"], "left_anti"), "pairs")
+            pairs = _across(open_rows.select("tok", "key", "n", "rest", "root"))
+        pairs = materialize(_same(_ordered(pairs, "key", "other"), tried), "pairs")
         if not pairs.isEmpty():
-            found = _verify(docs, members, pairs)
+            found = _verify(docs, sets, pairs)
             tried = tried.unionByName(pairs)
             comp = components(found.unionByName(comp.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))))
-        if k < LEADER_ROUNDS:
-            open_rows = materialize(open_rows, "open")
-            if open_rows.isEmpty():
-                break
+        if k < LEADER_ROUNDS and open_rows.isEmpty():
+            break
     comp = comp.withColumnRenamed("node", "key")
     least = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id")).join(comp, "key", "left")
-    return members, materialize(least.select("key", "doc_id", F.coalesce("root", "key").alias("root")), "least")
+    least = materialize(least.select("key", "doc_id", F.coalesce("root", "key").alias("root")), "least")
+    discard(runs)
+    return members, least
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
