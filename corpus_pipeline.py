@@ -12,30 +12,39 @@ from trialmill.llm.queries import BYTE_BPE
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, null and blank texts with them; rows that repeat are judged alike.
+
+    As for all stages, other columns pass through, an empty table gives an empty one, and texts of any length are judged whole.
+    """
     return quality.keep_good(docs)
 
 
 def without_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of many sites stay at their first place only; a document that loses all its words goes. n_chars follows."""
+    """Lines of many sites stay at their first place only; a document that loses all its words goes. n_chars follows.
+
+    Null texts and texts without such lines stay as they are; a null source counts for no site.
+    """
     left = line_dedup.dedup_lines(docs).where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
+    """One document of each group of near-duplicates stays, that of the least doc_id; of rows that repeat, one.
+
+    Texts without words and rows without a doc_id stay.
+    """
     return ngram_join.keep_first(docs)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that give away a benchmark item go."""
+    """Documents that give away a benchmark item go; null and empty texts give none away and stay."""
     return decontaminate.drop_leaking(docs, table(spark, sf_dir, "benchmark"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Byte-level BPE ids of each document, and whether decoding them gives its text back."""
+    """Byte-level BPE ids of each document, and whether decoding them gives its text back; none for null and empty texts."""
     path, pattern = public_tokenizers.path(BYTE_BPE), public_tokenizers.PATTERN
-    both = byte_bpe.decode(byte_bpe.encode(docs, path, pattern), path, pattern)
+    both = byte_bpe.encode(docs, path, pattern, decoded="decoded")
     same = F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")
     return both.select("doc_id", "lang", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
