@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import batch, content_keys, discard, materialize, mix, shingle_sets, signed, small, words_of
@@ -373,10 +373,13 @@ def _across(rows: DataFrame) -> DataFrame:
     """(key, other): pairs of rows (tok, key, n, rest, root) of one token, with different roots and sizes that allow a link.
 
     Sizes of linked sets differ by a factor of 1.25 at most, so rows meet only within a band of sizes and the next one.
+    Two texts whose tokens before this one are the same have met there already, with more of each to follow, and don't
+    meet again: texts that share a run of tokens give one pair for it.
     """
-    x = rows.withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int"))
-    y = x.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("root").alias("to"), F.col("band").alias("of"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    return x.join(y, ["tok", "band"]).where("(of <> band or key < other) and root <> to").where(FITS)
+    before = F.lag("tok").over(Window.partitionBy("key").orderBy(F.desc("rest")))  # at most a text's prefix
+    x = rows.withColumns({"before": before, "band": F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")})
+    y = x.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("root").alias("to"), F.col("before").alias("first"), F.col("band").alias("of"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
+    return x.join(y, ["tok", "band"]).where("(of <> band or key < other) and root <> to and coalesce(before <> first, true)").where(FITS)
 
 
 FITS = "least(n, m) * 5 >= greatest(n, m) * 4 and 9 * (1 + least(rest, after)) >= 4 * (n + m)"
