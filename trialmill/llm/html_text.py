@@ -23,9 +23,12 @@ from .boosting import BoostedTrees
 from .common import SLICE_BYTES, slices, text_buffer
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?", re.S)
+#: A tag whose quotes don't pair up, which ends at its first bracket.
+_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?/][^>]*>?", re.S)
+_OPEN = re.compile(r"<(?:/?[A-Za-z]|[!?/])")
 _ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-_RAW = {k: re.compile(rf"</{k}\b[^>]*>?", re.I) for k in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "object", "canvas", "math")}
+_RAW = {k: re.compile(rf"</{k}\b[^>]*>?", re.I) for k in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "canvas")}
 BLOCKS = set(
     "address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -54,9 +57,15 @@ class Page:
                 self._add("#text", stack[-1], 0, 0, text, min(run_links, len(text)))
             run, run_links = [], 0
 
-        n = len(source)
+        n, last, paired = len(source), source.rfind(">"), True
         while at < n:
-            m = _TAG.search(source, at)
+            first = _OPEN.search(source, at)
+            m = None
+            if first and (first.start() <= last or source[first.end() - 1] in "!?/"):
+                m = _TAG.match(source, first.start()) if paired else None
+                if m is None:
+                    # a quote that is open till the page's end: from here on tags end at their first bracket
+                    paired, m = False, _PLAIN_TAG.match(source, first.start())
             piece = source[at : m.start()] if m else source[at:]
             if piece:
                 run.append(piece)
@@ -249,7 +258,9 @@ def train_extractor(pages: Iterator[tuple[str, set[str]]] | None = None) -> Boos
 def extract_main_text(pages: DataFrame, model: BoostedTrees | None = None, column: str = "html", into: str = "text") -> DataFrame:
     """pages with the main text of each in place of its html; other columns pass through, one named like the new one does not.
 
-    Null and empty html, and pages without content, give an empty text. Every page is parsed whole; references are decoded,
+    Null and empty html, and pages without content, give an empty text; rows that repeat are treated alike, an empty table
+    stays empty. Every page is parsed whole in one forward pass; where a quote in a tag stays open till the page's end,
+    this tag and those after it end at their first bracket. References are decoded,
     white space inside a block becomes one space, and blocks are joined in page order by a line feed. Rows are independent,
     so there is no shuffle; the model is a few kilobytes. model: by default one trained on training_pages().
     """

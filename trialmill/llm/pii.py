@@ -19,11 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Covered
+
 KINDS = ["email", "ip", "card", "phone"]
 # Fixed patterns of the contract.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: A match starts where its first run of digits does: further on in the run it would fail as well.
+IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -208,7 +211,7 @@ class ChainField:
 REACH = 8
 #: What an added span must hold.
 CHECKS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     "ip": IP,
     "card": re.compile(r"[0-9]{4}(?:[ .-]?[0-9]{4}){3}"),
     "phone": re.compile(r"\+?[0-9]{0,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"),
@@ -245,6 +248,7 @@ def added_spans(field: ChainField, texts: list[str], base: list[list[tuple[str,
     windows = [(k, w) for k, text in enumerate(texts) for w in _windows(text)]
     labels = field.decode([[m[0] for m in w] for _, w in windows])
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
+    taken = {k: Covered((a, b) for _, a, b in base[k]) for k in {k for k, _ in windows}}
     for (k, words), got in zip(windows, labels):
         i = 0
         while i < len(words):
@@ -257,7 +261,7 @@ def added_spans(field: ChainField, texts: list[str], base: list[list[tuple[str,
                     digits = _NOT_DIGIT.sub("", m[0])
                     sure = {"card": len(digits) == 16 and luhn(digits), "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" and len(m[0]) <= 15 else False, "phone": 9 <= len(digits) <= 15}.get(kind, True)
                     edge = (m.start() == 0 or not texts[k][m.start() - 1].isalnum()) and (m.end() == len(texts[k]) or not texts[k][m.end()].isalnum())
-                    if sure and edge and not any(a < m.end() and m.start() < b for _, a, b in base[k]):
+                    if sure and edge and not taken[k].meets(*m.span()):
                         out[k].append((kind, *m.span()))
             i = j
     return out
@@ -267,7 +271,8 @@ def find_personal(docs: DataFrame, field: ChainField | None = None) -> DataFrame
     """(doc_id, spans) for every row: an array of structs (kind, start, end, added), by kind, then start.
 
     start and end count code points; added tells spans of the field from base spans. Null and empty texts have none,
-    rows that repeat a doc_id give a row each, other columns are ignored. field: by default one trained on training_table().
+    rows that repeat a doc_id give a row each, an empty table gives none, other columns are ignored. Texts of any length are
+    searched whole. field: by default one trained on training_table().
     """
     field = field or ChainField.train(training_table())
     shared = docs.sparkSession.sparkContext.broadcast(field)
