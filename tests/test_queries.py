@@ -13,7 +13,7 @@ import __spark_entry__
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLE = {k: v for k, v in __spark_entry__.oracle_sql().items() if not k.startswith(("op", "pipeline"))}
 #: A spread of shapes; the driver compares all of them.
-PICKED = ["a9_last_restart", "b25_p_and_z", "c5_samples_in_intervals", "c9_saccades_outside_blinks", "c20_laplacian", "d1_subject_quality", "d2_d_prime", "d4_stats_by_combination", "d10_gaze_density", "d37_conjunctions", "e1_baseline_zscore", "e10_extended_blinks", "f1_decoding_roi", "g5_overlapping_regions", "u3_signed_rank", "u17_false_discovery", "u23_centroid_accuracy"]
+PICKED = ["a9_last_restart", "b25_p_and_z", "c5_samples_in_intervals", "c9_saccades_outside_blinks", "c20_laplacian", "d1_subject_quality", "d2_d_prime", "d4_stats_by_combination", "d10_gaze_density", "d37_conjunctions", "e1_baseline_zscore", "e10_extended_blinks", "f1_decoding_roi", "g5_overlapping_regions", "u3_signed_rank", "u17_false_discovery", "u23_centroid_accuracy", "u24_train_test_generalisation", "u25_combined_features", "u30_permuted_decoding", "u32_group_cluster_test", "u35_theory_correlation"]
 
 
 @pytest.fixture(scope="module")
