@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -108,7 +109,10 @@ def grid_clusters(cells: DataFrame, keys: Sequence[str], x: str, y: str, value:
     """
     spark = cells.sparkSession
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints")
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(shared or "file:///tmp/checkpoints")
     number = F.col(x).cast("long") * (1 << 31) + F.col(y).cast("long")
     on = cells.where(F.col(value) > threshold).withColumn("cell", number).withColumn("label", F.col("cell")).checkpoint()
     near = F.explode(F.array(*[F.col("cell") + F.lit(step) for step in (1 << 31, -(1 << 31), 1, -1)]))
