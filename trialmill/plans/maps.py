@@ -88,12 +88,12 @@ def f6(s: SparkSession, d: str) -> DataFrame:
     return ops.equal_label_counts(events(s, d), "kind", "id", 7).select("id", "kind", "rank")
 
 
-@query("f7_super_subject", "SELECT k, rank, n, r(m) AS m FROM (SELECT k, rank, count(*) AS n, avg(value) AS m FROM (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY md5('3:' || id), id) AS rank FROM (SELECT *, subject % 4 AS g FROM {ev}) WHERE k IN (SELECT k FROM {ev} GROUP BY k HAVING count(DISTINCT subject % 4) = 4)) WHERE rank <= 5 GROUP BY ALL)")
+@query("f7_super_subject", "SELECT k, rank, n, r(m) AS m FROM (SELECT k, rank, count(*) AS n, avg(value) AS m FROM (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY md5('3:' || id), id) AS rank FROM (SELECT *, subject % 4 AS g FROM {ev}) WHERE k IN (SELECT k FROM {ev} GROUP BY k HAVING count(DISTINCT subject % 4) = 4)) JOIN (SELECT k, min(n) AS least FROM (SELECT k, subject % 4 AS g, count(*) AS n FROM {ev} GROUP BY ALL) GROUP BY 1) USING (k) WHERE rank <= least GROUP BY ALL)")
 def f7(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d).withColumn("g", F.col("subject") % 4)
-    common = e.groupBy("k").agg(F.count_distinct("g").alias("groups")).where("groups = 4")
+    common = e.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("least")).where("groups = 4").select("k", "least")
     rank = F.row_number().over(Window.partitionBy("g", "k").orderBy(F.md5(F.concat_ws(":", F.lit(3), "id")), "id"))
-    rows = e.join(common, "k", "left_semi").withColumn("rank", rank.cast("long")).where("rank <= 5")
+    rows = e.join(common, "k").withColumn("rank", rank.cast("long")).where("rank <= least")
     return rows.groupBy("k", "rank").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
 
 

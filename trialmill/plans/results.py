@@ -19,11 +19,11 @@ def b10(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("subject", "trial", "line", "predictor").agg(F.count(F.lit(1)).alias("n"))
 
 
-_RDM = "(SELECT a.channel, a.t AS x, b.t AS y, avg(abs(a.value - b.value)) AS v FROM {sg} a JOIN {sg} b ON a.channel = b.channel AND a.epoch = b.epoch WHERE a.t <= 14 AND b.t <= 14 AND a.channel < 5 GROUP BY ALL)"
+_RDM = "(SELECT a.channel, a.t AS x, b.t AS y, avg(abs(a.value - b.value)) AS v FROM {sg} a JOIN {sg} b ON a.channel = b.channel AND a.epoch = b.epoch GROUP BY ALL)"
 
 
 def matrices(s: SparkSession, d: str) -> DataFrame:
-    x = signal(s, d).where("t <= 14 and channel < 5")
+    x = signal(s, d)
     a, b = x.select("channel", "epoch", F.col("t").alias("x"), F.col("value").alias("p")), x.select("channel", "epoch", F.col("t").alias("y"), F.col("value").alias("q"))
     return a.join(b, ["channel", "epoch"]).groupBy("channel", "x", "y").agg(F.avg(F.abs(F.col("p") - F.col("q"))).alias("v"))
 

@@ -53,9 +53,9 @@ def d27(s: SparkSession, d: str) -> DataFrame:
     return ops.average_reference(signal(s, d), ["epoch", "t"], F.col("channel").isin(1, 3, 5), F.col("channel") < 10)
 
 
-@query("d28_divided_by_average", "SELECT channel, epoch, t, r(value / avg(value) OVER (PARTITION BY channel, epoch < 50)) AS value FROM {sg}")
+@query("d28_divided_by_average", "SELECT channel, epoch, t, r(value / avg(value) OVER (PARTITION BY channel, epoch % 2 = 0)) AS value FROM {sg}")
 def d28(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("channel", F.col("epoch") < 50)
+    w = Window.partitionBy("channel", F.col("epoch") % 2 == 0)
     return signal(s, d).select(*KEY, "t", (F.col("value") / F.avg("value").over(w)).alias("value"))
 
 

@@ -45,11 +45,11 @@ def d40(s: SparkSession, d: str) -> DataFrame:
     return ops.pseudo_trials(events(s, d), ["kind"], "id", 10, "value", 5)
 
 
-@query("d41_label_covariance", f"SELECT label, i, j, r(covar_samp(x, y)) AS cov FROM (SELECT a.label, a.f AS i, b.f AS j, a.v AS x, b.v AS y FROM {_LONG} a JOIN {_LONG} b USING (id) WHERE a.f <= 6 AND b.f <= 6 AND a.f <= b.f) GROUP BY ALL")
+@query("d41_label_covariance", f"SELECT label, i, j, r(covar_samp(x, y)) AS cov FROM (SELECT a.label, a.f AS i, b.f AS j, a.v AS x, b.v AS y FROM {_LONG} a JOIN {_LONG} b USING (id) WHERE a.f <= b.f) GROUP BY ALL")
 def d41(s: SparkSession, d: str) -> DataFrame:
-    long = features(s, d).select("id", "label", F.posexplode(F.slice("x", 1, 6)).alias("f", "v"))
-    a, b = long.select("id", "label", (F.col("f") + 1).cast("long").alias("i"), F.col("v").alias("p")), long.select("id", (F.col("f") + 1).cast("long").alias("j"), F.col("v").alias("q"))
-    return a.join(b, "id").where("i <= j").groupBy("label", "i", "j").agg(F.covar_samp("p", "q").alias("cov"))
+    one = features(s, d).select("label", "x", F.posexplode("x").alias("i", "p"))
+    both = one.select("label", (F.col("i") + 1).cast("long").alias("i"), "p", F.posexplode("x").alias("j", "q")).withColumn("j", (F.col("j") + 1).cast("long"))
+    return both.where("i <= j").groupBy("label", "i", "j").agg(F.covar_samp("p", "q").alias("cov"))
 
 
 @query("d42_reliability_curve", "SELECT CAST(least(floor(p * 10), 9) AS BIGINT) AS bin, r(avg(p)) AS predicted, r(avg(quality)) AS observed, count(*) AS n FROM (SELECT quality, least(n_chars / 5000, 1) AS p FROM labels JOIN documents USING (doc_id)) GROUP BY 1")
@@ -58,22 +58,24 @@ def d42(s: SparkSession, d: str) -> DataFrame:
     return ops.reliability_curve(rows, F.least(F.col("n_chars") / 5000, F.lit(1.0)), "quality", 10)
 
 
-_PH = "(SELECT channel, epoch, t, value * 0.06 AS phase FROM {sg} WHERE t <= 14 AND channel < 4)"
+#: Channels of a probe; pairs are formed within one, as all pairs of channels would grow with the square of the suppliers.
+PROBE = 10
+_PH = f"(SELECT channel, channel // {PROBE} AS probe, epoch, t, value * 0.06 AS phase FROM {{sg}})"
 
 
-@query("d43_phase_consistency", f"SELECT x, y, t, r((c * c + s * s - n) / nullif(n * (n - 1), 0)) AS ppc FROM (SELECT a.channel AS x, b.channel AS y, a.t, sum(cos(a.phase - b.phase)) AS c, sum(sin(a.phase - b.phase)) AS s, count(*) AS n FROM {_PH} a JOIN {_PH} b ON a.epoch = b.epoch AND a.t = b.t AND a.channel < b.channel GROUP BY ALL)")
+@query("d43_phase_consistency", f"SELECT x, y, t, r((c * c + s * s - n) / nullif(n * (n - 1), 0)) AS ppc FROM (SELECT a.channel AS x, b.channel AS y, a.t, sum(cos(a.phase - b.phase)) AS c, sum(sin(a.phase - b.phase)) AS s, count(*) AS n FROM {_PH} a JOIN {_PH} b ON a.probe = b.probe AND a.epoch = b.epoch AND a.t = b.t AND a.channel < b.channel GROUP BY ALL)")
 def d43(s: SparkSession, d: str) -> DataFrame:
-    p = signal(s, d).where("t <= 14 and channel < 4").withColumn("phase", F.col("value") * 0.06)
-    a, b = p.select("epoch", "t", F.col("channel").alias("x"), F.col("phase").alias("p")), p.select("epoch", "t", F.col("channel").alias("y"), F.col("phase").alias("q"))
-    return ops.phase_consistency(a.join(b, ["epoch", "t"]).where("x < y"), ["x", "y", "t"], "epoch", F.col("p") - F.col("q"))
+    p = signal(s, d).select((F.floor(F.col("channel") / PROBE)).alias("probe"), "channel", "epoch", "t", (F.col("value") * 0.06).alias("phase"))
+    a, b = p.select("probe", "epoch", "t", F.col("channel").alias("x"), F.col("phase").alias("p")), p.select("probe", "epoch", "t", F.col("channel").alias("y"), F.col("phase").alias("q"))
+    return ops.phase_consistency(a.join(b, ["probe", "epoch", "t"]).where("x < y"), ["x", "y", "t"], "epoch", F.col("p") - F.col("q"))
 
 
-@query("d44_sliding_correlation", "SELECT w, r(avg(c)) AS mean FROM (SELECT a.epoch, w, corr(a.value, b.value) AS c, count(*) AS n FROM {sg} a JOIN {sg} b ON a.epoch = b.epoch AND a.t = b.t, (SELECT unnest(range(0, 5)) AS w) WHERE a.channel = 1 AND b.channel = 2 AND a.t BETWEEN 5 * w + 1 AND 5 * w + 8 GROUP BY 1, 2) WHERE n >= 4 GROUP BY 1")
+@query("d44_sliding_correlation", "SELECT w, r(avg(c)) AS mean FROM (SELECT a.channel, a.epoch, w, corr(a.value, b.value) AS c, count(*) AS n FROM {sg} a JOIN {sg} b ON a.epoch = b.epoch AND a.t = b.t AND a.channel + 1 = b.channel, (SELECT unnest(range(0, 5)) AS w) WHERE a.t BETWEEN 5 * w + 1 AND 5 * w + 8 GROUP BY 1, 2, 3) WHERE n >= 4 GROUP BY 1")
 def d44(s: SparkSession, d: str) -> DataFrame:
     x = signal(s, d)
-    both = x.where("channel = 1").select("epoch", "t", F.col("value").alias("p")).join(x.where("channel = 2").select("epoch", "t", F.col("value").alias("q")), ["epoch", "t"])
+    both = x.select("channel", "epoch", "t", F.col("value").alias("p")).join(x.select((F.col("channel") - 1).alias("channel"), "epoch", "t", F.col("value").alias("q")), ["channel", "epoch", "t"])
     wins = F.filter(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long")), lambda w: (F.col("t") >= 5 * w + 1) & (F.col("t") <= 5 * w + 8))
-    c = both.select("epoch", "p", "q", F.explode(wins).alias("w")).groupBy("epoch", "w").agg(F.corr("p", "q").alias("c"), F.count(F.lit(1)).alias("n"))
+    c = both.select("channel", "epoch", "p", "q", F.explode(wins).alias("w")).groupBy("channel", "epoch", "w").agg(F.corr("p", "q").alias("c"), F.count(F.lit(1)).alias("n"))
     return c.where("n >= 4").groupBy("w").agg(F.avg("c").alias("mean"))
 
 

@@ -41,9 +41,9 @@ def trials(s: SparkSession, d: str) -> DataFrame:
 
 
 def signal(s: SparkSession, d: str) -> DataFrame:
-    """(channel, epoch, t, value): repeated cells are averaged."""
+    """(channel, epoch, t, value): a channel for each supplier, so that channels grow with the table and each keeps about one line item a cell; repeated cells are averaged."""
     li = table(s, d, "lineitem")
-    keys = [(F.col("l_suppkey") % 20).cast("int").alias("channel"), (F.col("l_orderkey") % 100).cast("int").alias("epoch"), (F.col("l_linenumber") + 7 * (F.col("l_partkey") % 4)).cast("int").alias("t")]
+    keys = [F.col("l_suppkey").cast("long").alias("channel"), (F.col("l_orderkey") % 20).cast("int").alias("epoch"), (F.col("l_linenumber") + 7 * (F.col("l_partkey") % 4)).cast("int").alias("t")]
     return li.groupBy(*keys).agg(F.avg(F.col("l_extendedprice") / 1000).alias("value"))
 
 
@@ -67,7 +67,7 @@ def features(s: SparkSession, d: str) -> DataFrame:
 SQL = {
     "ev": "(SELECT event_id AS id, user_id AS subject, event_type AS kind, epoch_us(ts) / 1e6 AS t, value, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM events)",
     "tr": "(SELECT o_custkey AS subject, l_orderkey AS trial, l_linenumber AS line, l_partkey AS item, l_returnflag AS flag, l_linestatus AS status, o_orderpriority AS priority, l_extendedprice / 1000 AS value, l_quantity AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
-    "sg": "(SELECT CAST(l_suppkey % 20 AS INT) AS channel, CAST(l_orderkey % 100 AS INT) AS epoch, CAST(l_linenumber + 7 * (l_partkey % 4) AS INT) AS t, avg(l_extendedprice / 1000) AS value FROM lineitem GROUP BY 1, 2, 3)",
+    "sg": "(SELECT CAST(l_suppkey AS BIGINT) AS channel, CAST(l_orderkey % 20 AS INT) AS epoch, CAST(l_linenumber + 7 * (l_partkey % 4) AS INT) AS t, avg(l_extendedprice / 1000) AS value FROM lineitem GROUP BY 1, 2, 3)",
     "vx": "(SELECT l_returnflag AS map, l_partkey AS voxel, avg(l_quantity) - 25 AS value FROM lineitem GROUP BY 1, 2)",
     "rg": "(SELECT p_type AS roi, p_partkey AS voxel FROM part UNION ALL SELECT p_brand, p_partkey FROM part)",
     "ft": "(SELECT vec_id AS id, label, CAST(vec_id % 8 AS INT) AS run, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)",

@@ -34,9 +34,9 @@ def u1_rows(s: SparkSession, d: str) -> DataFrame:
     return ops.one_sample_t(epochs(s, d), ["channel"], F.col("diff"))
 
 
-@query("u2_two_sample_t", f"SELECT channel, r((m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 0)) AS t, n1 + n2 - 2 AS df FROM (SELECT channel, avg(value) FILTER (WHERE epoch < 50) AS m1, avg(value) FILTER (WHERE epoch >= 50) AS m2, var_samp(value) FILTER (WHERE epoch < 50) AS v1, var_samp(value) FILTER (WHERE epoch >= 50) AS v2, count(value) FILTER (WHERE epoch < 50) AS n1, count(value) FILTER (WHERE epoch >= 50) AS n2 FROM {_EP} GROUP BY 1)")
+@query("u2_two_sample_t", f"SELECT channel, r((m1 - m2) / nullif(sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2)), 0)) AS t, n1 + n2 - 2 AS df FROM (SELECT channel, avg(value) FILTER (WHERE epoch % 2 = 0) AS m1, avg(value) FILTER (WHERE epoch % 2 <> 0) AS m2, var_samp(value) FILTER (WHERE epoch % 2 = 0) AS v1, var_samp(value) FILTER (WHERE epoch % 2 <> 0) AS v2, count(value) FILTER (WHERE epoch % 2 = 0) AS n1, count(value) FILTER (WHERE epoch % 2 <> 0) AS n2 FROM {_EP} GROUP BY 1)")
 def u2(s: SparkSession, d: str) -> DataFrame:
-    return ops.two_sample_t(epochs(s, d), ["channel"], "value", F.col("epoch") < 50)
+    return ops.two_sample_t(epochs(s, d), ["channel"], "value", F.col("epoch") % 2 == 0)
 
 
 _RK = "rank() OVER (PARTITION BY channel ORDER BY {v}) + (count(*) OVER (PARTITION BY channel, {v}) - 1) / 2"
@@ -47,9 +47,9 @@ def u3(s: SparkSession, d: str) -> DataFrame:
     return ops.signed_rank(epochs(s, d), ["channel"], F.col("diff"))
 
 
-@query("u4_rank_sum", f"SELECT channel, r(w) AS w, n1, n2, r((w - n1 * (n1 + n2 + 1) / 2) / nullif(sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 0)) AS z FROM (SELECT channel, sum(CASE WHEN epoch < 50 THEN rk END) AS w, count(*) FILTER (WHERE epoch < 50) AS n1, count(*) FILTER (WHERE epoch >= 50) AS n2 FROM (SELECT *, {_RK.replace('{v}', 'value')} AS rk FROM {_EP}) GROUP BY 1)")
+@query("u4_rank_sum", f"SELECT channel, r(w) AS w, n1, n2, r((w - n1 * (n1 + n2 + 1) / 2) / nullif(sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 0)) AS z FROM (SELECT channel, sum(CASE WHEN epoch % 2 = 0 THEN rk END) AS w, count(*) FILTER (WHERE epoch % 2 = 0) AS n1, count(*) FILTER (WHERE epoch % 2 <> 0) AS n2 FROM (SELECT *, {_RK.replace('{v}', 'value')} AS rk FROM {_EP}) GROUP BY 1)")
 def u4(s: SparkSession, d: str) -> DataFrame:
-    return ops.rank_sum(epochs(s, d), ["channel"], "value", F.col("epoch") < 50)
+    return ops.rank_sum(epochs(s, d), ["channel"], "value", F.col("epoch") % 2 == 0)
 
 
 @query("u5_sign_flip_test", f"SELECT channel, r(max(t) FILTER (WHERE perm = 0)) AS t, r(avg(CASE WHEN abs(t) >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN abs(t) END) OVER (PARTITION BY channel) AS o FROM (SELECT channel, perm, avg(x) / nullif(stddev_samp(x) / sqrt(count(x)), 0) AS t FROM (SELECT channel, perm, diff * {_MD.replace('{k}', 'epoch')} AS x FROM {_EP}, {_P}) GROUP BY 1, 2)) GROUP BY 1")
@@ -179,9 +179,9 @@ def u19(s: SparkSession, d: str) -> DataFrame:
     return ops.without_regressor(rows, ["channel", "epoch"], "value", F.col("e")).select("channel", "epoch", "t", "residual")
 
 
-@query("u20_groups_regressed_out", "SELECT channel, epoch, t, r(value - CASE WHEN epoch < 50 THEN avg(CASE WHEN epoch < 50 THEN value END) OVER (PARTITION BY channel) ELSE 0 END) AS residual FROM {sg}")
+@query("u20_groups_regressed_out", "SELECT channel, epoch, t, r(value - CASE WHEN epoch % 2 = 0 THEN avg(CASE WHEN epoch % 2 = 0 THEN value END) OVER (PARTITION BY channel) ELSE 0 END) AS residual FROM {sg}")
 def u20(s: SparkSession, d: str) -> DataFrame:
-    member = F.when(F.col("epoch") < 50, 1.0).otherwise(0.0)
+    member = F.when(F.col("epoch") % 2 == 0, 1.0).otherwise(0.0)
     return ops.without_regressor(signal(s, d), ["channel"], "value", member).select("channel", "epoch", "t", "residual")
 
 
