@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .intervals import mark_runs
@@ -102,34 +102,71 @@ def cluster_test(scores: DataFrame, keys: Sequence[str], threshold: float, t: st
     return seen.join(largest, list(keys)).groupBy(*keys, "lo", "hi", "mass").agg(F.avg((F.col("top") >= F.col("mass") - 1e-9).cast("int")).alias("p"))
 
 
-def grid_clusters(cells: DataFrame, keys: Sequence[str], x: str, y: str, value: str, threshold: float) -> DataFrame:
-    """Connected sets of cells above a threshold on a grid (four neighbours): each cell with the least cell number of its set.
-
-    Labels spread to neighbours and then to the label of their label, each round written out, until none changes.
-    """
-    spark = cells.sparkSession
+def _checkpoint_folder(spark: SparkSession) -> None:
+    """Use the folder that spark.checkpoint.dir names; a local one only for a local master."""
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         if not shared and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(shared or "file:///tmp/checkpoints")
-    number = F.col(x).cast("long") * (1 << 31) + F.col(y).cast("long")
-    on = cells.where(F.col(value) > threshold).withColumn("cell", number).withColumn("label", F.col("cell")).checkpoint()
-    near = F.explode(F.array(*[F.col("cell") + F.lit(step) for step in (1 << 31, -(1 << 31), 1, -1)]))
-    links = on.select(*keys, "cell", near.alias("to"))
-    links = links.join(on.select(*keys, F.col("cell").alias("to")), [*keys, "to"], "left_semi").checkpoint()
+
+
+def connected_cells(cells: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """cells with label, the least cell that links reach within a group of keys; links are rows (keys, cell, to), given in both directions.
+
+    Links that leave the cells are passed over; a cell without links is its own label. Labels spread to neighbours and then
+    to the label of their label, each round written out, until none changes.
+    """
+    _checkpoint_folder(cells.sparkSession)
+    on = cells.withColumn("label", F.col("cell")).checkpoint()
+    ends = on.select(*keys, F.col("cell").alias("to"))
+    links = links.select(*keys, "cell", "to").join(ends, [*keys, "to"], "left_semi").checkpoint()
     before = None
     while True:
         least = links.join(on.select(*keys, F.col("cell").alias("to"), "label"), [*keys, "to"]).groupBy(*keys, "cell").agg(F.min("label").alias("_l"))
         new = on.join(least, [*keys, "cell"], "left").withColumn("label", F.least("label", F.coalesce("_l", "label"))).drop("_l").checkpoint()
         jump = new.select(*keys, F.col("cell").alias("label"), F.col("label").alias("_j"))
-        on = new.join(jump, [*keys, "label"]).withColumn("label", F.least("label", "_j")).select(*cells.columns, "cell", "label").checkpoint()
+        on = new.join(jump, [*keys, "label"]).withColumn("label", F.least("label", "_j")).select(*cells.columns, "label").checkpoint()
         total = on.agg(F.sum(F.col("label") - F.col("cell")).cast("string")).first()[0]  # labels only ever get smaller
         if total == before:
-            return on.drop("cell")
+            return on
         before = total
 
 
+def grid_clusters(cells: DataFrame, keys: Sequence[str], x: str, y: str, value: str, threshold: float) -> DataFrame:
+    """Connected sets of cells above a threshold on a grid (four neighbours): each cell with the least cell number of its set."""
+    number = F.col(x).cast("long") * (1 << 31) + F.col(y).cast("long")
+    on = cells.where(F.col(value) > threshold).withColumn("cell", number)
+    near = F.explode(F.array(*[F.col("cell") + F.lit(step) for step in (1 << 31, -(1 << 31), 1, -1)]))
+    return connected_cells(on, on.select(*keys, "cell", near.alias("to")), keys).drop("cell")
+
+
+def cluster_size_test(values: DataFrame, keys: Sequence[str], subject: str, voxel: str, value: str, adjacency: DataFrame, threshold: float, count: int) -> DataFrame:
+    """Group test of maps by sign flips of subjects: (keys, voxel, t, label, size, p, p_size), a row for each voxel.
+
+    values has one row (keys, subject, voxel, value) for each subject and voxel; nulls take no part. adjacency has rows
+    (voxel, to) in both directions. Voxels with t above the threshold that touch form a cluster, named by its least voxel. p is
+    the share of perms, the observed one included, whose largest t in any voxel reaches the voxel's; p_size the share
+    whose largest cluster reaches its cluster's size. label, size and p_size are null outside clusters, t without spread.
+    """
+    rows = permutations(values.where(F.col(value).isNotNull()).select(*keys, subject, F.col(voxel).alias("cell"), value), count)
+    scores = one_sample_t(rows.withColumn("_x", F.col(value) * sign_of(F.col("perm"), F.col(subject))), [*keys, "perm", "cell"], F.col("_x"))
+    scores = scores.select(*keys, "perm", "cell", F.round("t", 9).alias("t"))
+    _checkpoint_folder(values.sparkSession)
+    scores = scores.checkpoint()  # flips are summed once
+    by = [*keys, "perm"]
+    on = scores.where(F.col("t") > threshold)
+    found = connected_cells(on, on.join(adjacency.select(F.col(voxel).alias("cell"), "to"), "cell"), by)
+    sizes = found.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("size"))
+    top_t = scores.groupBy(*by).agg(F.max("t").alias("top_t"))
+    top = top_t.join(sizes.groupBy(*by).agg(F.max("size").alias("top_size")), by, "left").fillna(0, ["top_size"])
+    tops = top.groupBy(*keys).agg(F.collect_list("top_t").alias("_tt"), F.collect_list("top_size").alias("_ts"), F.count(F.lit(1)).alias("_n"))  # a number for each perm
+    seen = scores.where("perm = 0").join(found.where("perm = 0").select(*keys, "cell", "label"), [*keys, "cell"], "left").join(sizes.where("perm = 0").drop("perm"), [*keys, "label"], "left")
+    seen = seen.join(tops, list(keys)) if keys else seen.crossJoin(F.broadcast(tops))  # without keys one row
+    share = lambda tops, own: F.size(F.filter(tops, lambda x: x >= F.col(own))) / F.col("_n")
+    return seen.select(*keys, F.col("cell").alias(voxel), "t", "label", "size", F.when(F.col("t").isNotNull(), share("_tt", "t")).alias("p"), F.when(F.col("size").isNotNull(), share("_ts", "size")).alias("p_size"))
+
+
 def false_discovery(df: DataFrame, family: Sequence[str], p: str, tie: Sequence[str]) -> DataFrame:
     """Benjamini-Hochberg adjusted p and Bonferroni's, within each family; a family's rows are one window."""
     w = Window.partitionBy(*family) if family else Window.partitionBy(F.lit(1))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import decoding as ops
 from ..operators import stats
 from .results import matrices
-from .standins import features, query, signal
+from .standins import features, query, signal, table
 from .stats import PERMS
 
 _LONG = "(SELECT id, label, run, unnest(x) AS v, generate_subscripts(x, 1) AS f FROM {ft})"
@@ -90,3 +90,56 @@ def u35(s: SparkSession, d: str) -> DataFrame:
     inside = F.col("x").between(F.col("w.lo"), F.col("w.hi")) & F.col("y").between(F.col("w.lo"), F.col("w.hi"))
     predicted = cells.select("x", "y").distinct().select("x", "y", spans).select("w.theory", "x", "y", inside.cast("double").alias("predicted"))
     return ops.theory_correlation(cells, predicted, "channel")
+
+
+_LAWS = f"(SELECT guess, run, f, s / n AS c, greatest(q / n - (s / n) * (s / n), 0) + 1e-9 AS var FROM (SELECT l.label AS guess, q.run, l.f, sum(v) AS s, sum(v * v) AS q, count(*) AS n FROM {_LONG} l JOIN (SELECT DISTINCT run FROM {{ft}}) q ON l.run <> q.run GROUP BY ALL))"
+_SHARES = "(SELECT l.label AS guess, q.run, ln(count(*)) AS prior FROM {ft} l JOIN (SELECT DISTINCT run FROM {ft}) q ON l.run <> q.run GROUP BY ALL)"
+
+
+@query("u23_naive_bayes", f"SELECT run, r(avg(CASE WHEN guess = label THEN 1.0 ELSE 0 END)) AS accuracy, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(d - 2 * prior, 6), guess) AS i FROM (SELECT l.id, l.label, l.run, guess, sum(ln(var) + (v - c) ** 2 / var) AS d FROM {_LONG} l JOIN {_LAWS} USING (run, f) GROUP BY ALL) JOIN {_SHARES} USING (run, guess)) WHERE i = 1 GROUP BY 1")
+def u23_bayes(s: SparkSession, d: str) -> DataFrame:
+    return ops.naive_bayes(long(s, d), [], "run")
+
+
+ROUNDS = 12
+_SCORED = "SELECT CAST(doc_id % 8 AS INT) AS fold, ln(n_chars + 1) AS x, quality AS y, count(*) AS k FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL GROUP BY 1, 2, 3"
+_START = "SELECT fold, sum(k) AS n, sum(k * y) AS n1, sum(k * x) / sum(k) AS m, sqrt(greatest(sum(k * x * x) / sum(k) - (sum(k * x) / sum(k)) ** 2, 0)) AS sd, CAST(0 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b FROM rows GROUP BY 1"
+_NEWTON = "SELECT fold, n, n1, m, sd, a - (h00 * g1 - h01 * g0) / (h11 * h00 - h01 * h01) AS a, b - (h11 * g0 - h01 * g1) / (h11 * h00 - h01 * h01) AS b FROM (SELECT fold, n, n1, m, sd, a, b, sum(g * u) AS g1, sum(g) AS g0, sum(w * u * u) + 1e-12 AS h11, sum(w * u) AS h01, sum(w) + 1e-12 AS h00 FROM (SELECT *, k * (goal - p) AS g, k * p * (1 - p) AS w FROM (SELECT *, 1 / (1 + exp(a * u + b)) AS p FROM (SELECT *, coalesce((x - m) / nullif(sd, 0), 0) AS u, CASE WHEN y = 1 THEN (n1 + 1) / (n1 + 2) ELSE 1 / (n - n1 + 2) END AS goal FROM rows JOIN fit{k} USING (fold)))) GROUP BY ALL)"
+_FITS = f"WITH rows AS ({_SCORED}), fit0 AS ({_START}), " + ", ".join(f"fit{k + 1} AS MATERIALIZED ({_NEWTON.replace('{k}', str(k))})" for k in range(ROUNDS)) + f", fits AS (SELECT fold, n, coalesce(a / nullif(sd, 0), 0) AS a, b - coalesce(a / nullif(sd, 0), 0) * m AS b FROM fit{ROUNDS})"
+
+
+@query("u27_calibration_by_fold", f"{_FITS} SELECT fold, r(a) AS a, r(b) AS b, CAST(n AS BIGINT) AS n, r(brier) AS brier FROM fits JOIN (SELECT fold, sum(k * (p - y) ** 2) / sum(k) AS brier FROM (SELECT w.fold, w.x, w.y, w.k, avg(1 / (1 + exp(c.a * w.x + c.b))) AS p FROM rows w CROSS JOIN fits c GROUP BY 1, 2, 3, 4) GROUP BY 1) USING (fold)")
+def u27(s: SparkSession, d: str) -> DataFrame:
+    rows = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("doc_id") % 8).cast("int").alias("fold"), F.log(F.col("n_chars") + 1).alias("score"), "quality")
+    fits = ops.sigmoid_calibration(rows, "fold", "score", "quality", ROUNDS)
+    judged = ops.calibrated(rows.where("score IS NOT NULL AND quality IS NOT NULL"), fits, "score")
+    return fits.join(judged.groupBy("fold").agg(F.avg((F.col("probability") - F.col("quality")) ** 2).alias("brier")), "fold")
+
+
+_TRIAL = f"(SELECT id, label, (f - 1) // 8 AS channel, (f - 1) % 8 AS t, v FROM {_LONG})"
+_COVS = f"SELECT a.label, a.id, CAST(a.channel AS INT) AS i, CAST(b.channel AS INT) AS j, covar_samp(a.v, b.v) AS cov FROM {_TRIAL} a JOIN {_TRIAL} b ON a.id = b.id AND a.t = b.t AND a.channel <= b.channel GROUP BY ALL"
+_FAR = "SELECT c.label, c.id, round(sqrt(sum(CASE WHEN i = j THEN 1 ELSE 2 END * (c.cov - m.cov) ** 2)), 9) AS d FROM covs c JOIN (SELECT label, i, j, avg(cov) AS cov FROM covs GROUP BY 1, 2, 3) m USING (label, i, j) GROUP BY 1, 2"
+_LEFT = "SELECT c.label, i, j, avg(cov) AS cov, count(*) AS kept FROM covs c JOIN (SELECT label, id, coalesce((d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w, 0), 0) AS z FROM far WINDOW w AS (PARTITION BY label)) USING (label, id) WHERE z < 3 GROUP BY 1, 2, 3"
+
+
+@query("d41_cleaned_covariance", f"WITH covs AS MATERIALIZED ({_COVS}), far AS MATERIALIZED ({_FAR}), kept AS ({_LEFT}) SELECT label, i, j, r(0.99 * cov + CASE WHEN i = j THEN 0.01 * e ELSE 0 END) AS cov, kept.kept FROM kept JOIN (SELECT label, avg(cov) AS e FROM kept WHERE i = j GROUP BY 1) USING (label)")
+def d41(s: SparkSession, d: str) -> DataFrame:
+    cells = long(s, d).select("id", "label", F.floor(F.col("f") / 8).cast("int").alias("channel"), (F.col("f") % 8).alias("t"), "v")
+    return ops.cleaned_covariance(ops.trial_covariances(cells, ["label"], "id", "channel", "t", "v"), ["label"], "id")
+
+
+_BRAIN = "SELECT l_linestatus AS map, CAST(l_orderkey % 12 AS INT) AS subject, CAST(l_partkey AS BIGINT) AS voxel, avg(l_quantity) - 25 AS value FROM lineitem GROUP BY 1, 2, 3"
+_FLIPPED = f"SELECT map, perm, voxel, round(avg(x) / nullif(stddev_samp(x) / sqrt(count(x)), 0), 9) AS t FROM (SELECT map, perm, voxel, value * {_SIGN} AS x FROM brain, (SELECT unnest(range({PERMS + 1})) AS perm)) GROUP BY 1, 2, 3"
+
+
+@query("u9_map_cluster_size", f"WITH RECURSIVE brain AS ({_BRAIN}), scores AS MATERIALIZED ({_FLIPPED}), lit AS MATERIALIZED (SELECT map, perm, voxel FROM scores WHERE t > 1.8), steps AS (SELECT unnest([1, -1, 10, -10, 100, -100]) AS step), links AS MATERIALIZED (SELECT a.map, a.perm, a.voxel, b.voxel AS near FROM lit a CROSS JOIN steps JOIN lit b ON b.map = a.map AND b.perm = a.perm AND b.voxel = a.voxel + step WHERE abs(step) = 100 OR (abs(step) = 10 AND a.voxel // 100 = b.voxel // 100) OR (abs(step) = 1 AND a.voxel // 10 = b.voxel // 10)), reach(map, perm, voxel, seen) AS (SELECT map, perm, voxel, voxel FROM lit UNION SELECT r.map, r.perm, r.voxel, l.near FROM reach r JOIN links l ON l.map = r.map AND l.perm = r.perm AND l.voxel = r.seen), named AS MATERIALIZED (SELECT map, perm, voxel, min(seen) AS label FROM reach GROUP BY 1, 2, 3), sizes AS MATERIALIZED (SELECT map, perm, label, count(*) AS size FROM named GROUP BY 1, 2, 3), tops AS MATERIALIZED (SELECT map, perm, tt, coalesce(ts, 0) AS ts FROM (SELECT map, perm, max(t) AS tt FROM scores GROUP BY 1, 2) LEFT JOIN (SELECT map, perm, max(size) AS ts FROM sizes GROUP BY 1, 2) USING (map, perm)), seen AS (SELECT s.map, s.voxel, s.t, n.label, z.size FROM scores s LEFT JOIN named n ON n.map = s.map AND n.perm = 0 AND n.voxel = s.voxel LEFT JOIN sizes z ON z.map = n.map AND z.perm = 0 AND z.label = n.label WHERE s.perm = 0) SELECT map, voxel, r(t) AS t, label, size, r(CASE WHEN t IS NOT NULL THEN count(*) FILTER (WHERE tt >= t) / count(*) END) AS p, r(CASE WHEN size IS NOT NULL THEN count(*) FILTER (WHERE ts >= size) / count(*) END) AS p_size FROM seen JOIN tops USING (map) GROUP BY map, voxel, t, label, size")
+def u9(s: SparkSession, d: str) -> DataFrame:
+    values = table(s, d, "lineitem").groupBy(F.col("l_linestatus").alias("map"), (F.col("l_orderkey") % 12).cast("int").alias("subject"), F.col("l_partkey").cast("long").alias("voxel")).agg((F.avg("l_quantity") - 25).alias("value"))
+    return stats.cluster_size_test(values, ["map"], "subject", "voxel", "value", neighbours(s, d), 1.8, PERMS)
+
+
+def neighbours(s: SparkSession, d: str) -> DataFrame:
+    """(voxel, to): items as cells of a grid of 10 by 10 by as many as there are, each with up to six neighbours."""
+    v = F.col("p_partkey").cast("long")
+    cell = lambda side, within: F.when(F.floor((v + side) / within) == F.floor(v / within), v + side)
+    return table(s, d, "part").select(v.alias("voxel"), F.explode(F.array(cell(1, 10), cell(-1, 10), cell(10, 100), cell(-10, 100), v + 100, v - 100)).alias("to")).where("to IS NOT NULL")
