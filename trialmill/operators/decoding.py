@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import cluster_test, grid_clusters, one_sample_t, permutations, shuffled_labels, sign_of
+from .stats import cluster_test, flipped_t, grid_clusters, one_sample_t, shuffled_labels
 
 
 def _nearest(long: DataFrame, centres: DataFrame, on: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -90,9 +90,8 @@ def permuted(items: DataFrame, long: DataFrame, within: Sequence[str], fold: str
 
 def group_cluster_test(curves: DataFrame, keys: Sequence[str], subject: str, t: str, value: Column, chance: float, threshold: float, count: int) -> DataFrame:
     """1-D cluster test of subjects' curves against chance: signs flip by subject, t by time point, clusters above a t."""
-    rows = permutations(curves.withColumn("_v", value - chance).select(*keys, subject, t, "_v"), count)
-    rows = rows.withColumn("_x", F.col("_v") * sign_of(F.col("perm"), F.col(subject)))
-    scores = one_sample_t(rows.withColumnRenamed(t, "_at"), [*keys, "_at", "perm"], F.col("_x"))
+    rows = curves.select(*keys, subject, F.col(t).alias("_at"), (value - chance).alias("_v"))
+    scores = flipped_t(rows, [*keys, "_at"], subject, "_v", count)
     scores = scores.select(*keys, F.col("_at").alias(t), "perm", F.coalesce("t", F.lit(0.0)).alias("value"))
     return cluster_test(scores, keys, threshold, t)
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,22 +60,74 @@ def sign_of(perm: Column, key: Column, seed: str = "") -> Column:
     return F.when((perm == 0) | (digit % 2 == 0), 1).otherwise(-1)
 
 
+def flipped_sums(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
+    """(keys, perm, n, s, q): per group and perm the number, the sum of signed values and the sum of squares; perm 0 is unsigned.
+
+    Signs are those of sign_of. A row is never repeated for its perms: rows lie by range of (keys, subject), so that a group
+    of any size is spread over tasks, and a task sums the rows of a group that follow each other for all perms by one
+    product. Null values take no part, a group with no other has n = 0. Keys have other names than the result's own columns.
+    """
+    keys = list(keys)
+
+    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs: dict[str | None, np.ndarray] = {}
+
+        def of(name: str | None) -> np.ndarray:
+            if name not in signs:
+                if len(signs) >= 10_000:
+                    signs.clear()
+                tail = "" if name is None else f":{name}"
+                odd = [hashlib.md5(f":{perm}{tail}".encode()).digest()[0] >> 4 & 1 for perm in range(1, count + 1)]
+                signs[name] = np.array([1, *(1 - 2 * np.array(odd, np.int8))], np.int8)
+            return signs[name]
+
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1000):
+                rows = whole.slice(at, 1000)
+                new = np.zeros(rows.num_rows, bool)
+                new[0] = True
+                for k in keys:
+                    code = rows.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                    new[1:] |= code[1:] != code[:-1]
+                first = np.flatnonzero(new)
+                there = rows.column("_x").is_valid().to_numpy(zero_copy_only=False)
+                x = np.where(there, rows.column("_x").to_numpy(zero_copy_only=False), 0.0)
+                signed = np.add.reduceat(x[:, None] * np.stack([of(v) for v in rows.column("_s").to_pylist()]), first, axis=0)
+                lists = pa.ListArray.from_arrays(np.arange(len(first) + 1, dtype=np.int32) * (count + 1), signed.ravel())
+                n, q = np.add.reduceat(there.astype(np.int64), first), np.add.reduceat(x * x, first)
+                yield pa.RecordBatch.from_arrays([*[rows.column(k).take(pa.array(first)) for k in keys], pa.array(n), pa.array(q), lists], names=[*keys, "n", "q", "s"])
+
+    kinds = dict(df.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, q double, s array<double>"])
+    rows = df.select(*keys, F.col(subject).cast("string").alias("_s"), F.col(value).cast("double").alias("_x"))
+    rows = rows.repartitionByRange(*keys, "_s").sortWithinPartitions(*keys, "_s")
+    sums = rows.mapInArrow(partial_sums, schema).select(*keys, "n", "q", F.posexplode("s").alias("perm", "s"))
+    return sums.groupBy(*keys, "perm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+
+
+def flipped_t(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
+    """(keys, perm, t): one-sample t of each group under sign flips of subjects; null where values have no spread."""
+    n, s, q = F.col("n"), F.col("s"), F.col("q")
+    left = q - s * s / n  # squares about the mean; below rounding error there is no spread
+    var = F.when((n > 1) & ~(left <= 1e-12 * q), left / (n - 1))
+    return flipped_sums(df, keys, subject, value, count).select(*keys, "perm", F.try_divide(s / n, F.sqrt(var / n)).alias("t"))
+
+
 def sign_flip_test(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
     """One-sample permutation t per group: share of sign flips whose absolute t reaches the observed one, which counts as one of them."""
-    rows = permutations(df.select(*keys, subject, value), count).withColumn("_x", F.col(value) * sign_of(F.col("perm"), F.col(subject)))
-    t = one_sample_t(rows, [*keys, "perm"], F.col("_x"))
+    t = flipped_t(df, keys, subject, value, count)
     seen = F.max(F.when(F.col("perm") == 0, F.abs("t"))).over(Window.partitionBy(*keys))
     return t.withColumn("_o", seen).groupBy(*keys).agg(F.max(F.when(F.col("perm") == 0, F.col("t"))).alias("t"), F.avg((F.abs("t") >= F.col("_o") - 1e-9).cast("int")).alias("p"))
 
 
 def shuffled_labels(df: DataFrame, within: Sequence[str], key: str, label: str, count: int) -> DataFrame:
     """Every row for each perm with a label of its group: ids in order meet labels in order of an md5 of perm and id."""
-    rows = permutations(df, count)
-    w = Window.partitionBy("perm", *within)
-    order = F.when(F.col("perm") == 0, F.lpad(F.col(key).cast("string"), 20, "0")).otherwise(F.md5(F.concat_ws(":", "perm", key)))
-    left = rows.withColumn("_i", F.row_number().over(w.orderBy(F.lpad(F.col(key).cast("string"), 20, "0"))))
-    right = rows.select("perm", *within, F.row_number().over(w.orderBy(order)).alias("_i"), F.col(label).alias("_l"))
-    return left.drop(label).join(right, ["perm", *within, "_i"]).withColumnRenamed("_l", label).drop("_i")
+    by_id = F.lpad(F.col(key).cast("string"), 20, "0")
+    order = F.when(F.col("perm") == 0, by_id).otherwise(F.md5(F.concat_ws(":", "perm", key)))
+    left = df.withColumn("_i", F.row_number().over(Window.partitionBy(*within).orderBy(by_id)))  # the same for every perm
+    rows = permutations(df.select(*within, key, F.col(label).alias("_l")), count)
+    right = rows.select("perm", *within, F.row_number().over(Window.partitionBy("perm", *within).orderBy(order)).alias("_i"), "_l")
+    return left.drop(label).join(right, [*within, "_i"]).withColumnRenamed("_l", label).drop("_i")
 
 
 def category_d_prime(df: DataFrame, keys: Sequence[str], label: str, value: str) -> DataFrame:
@@ -149,9 +203,8 @@ def cluster_size_test(values: DataFrame, keys: Sequence[str], subject: str, voxe
     the share of perms, the observed one included, whose largest t in any voxel reaches the voxel's; p_size the share
     whose largest cluster reaches its cluster's size. label, size and p_size are null outside clusters, t without spread.
     """
-    rows = permutations(values.where(F.col(value).isNotNull()).select(*keys, subject, F.col(voxel).alias("cell"), value), count)
-    scores = one_sample_t(rows.withColumn("_x", F.col(value) * sign_of(F.col("perm"), F.col(subject))), [*keys, "perm", "cell"], F.col("_x"))
-    scores = scores.select(*keys, "perm", "cell", F.round("t", 9).alias("t"))
+    rows = values.where(F.col(value).isNotNull()).withColumn("cell", F.col(voxel))
+    scores = flipped_t(rows, [*keys, "cell"], subject, value, count).withColumn("t", F.round("t", 9))
     _checkpoint_folder(values.sparkSession)
     scores = scores.checkpoint()  # flips are summed once
     by = [*keys, "perm"]

@@ -9,7 +9,8 @@ from ..operators import decoding as ops
 from ..operators import stats
 from .results import matrices
 from .standins import features, query, signal, table
-from .stats import PERMS
+
+PERMS = 50
 
 _LONG = "(SELECT id, label, run, unnest(x) AS v, generate_subscripts(x, 1) AS f FROM {ft})"
 

@@ -9,7 +9,7 @@ from ..functions import distributions as dist
 from ..operators import signals, stats as ops
 from .standins import query, signal, trials
 
-PERMS = 50
+PERMS = 1000
 _EP = "(SELECT channel, epoch, avg(CASE WHEN t > 7 THEN value END) - avg(CASE WHEN t <= 7 THEN value END) AS diff, avg(value) AS value FROM {sg} GROUP BY 1, 2)"
 _P = f"(SELECT unnest(range(0, {PERMS + 1})) AS perm)"
 _MD = "CASE WHEN perm = 0 OR CAST('0x' || substr(md5(concat_ws(':', '', perm, {k})), 1, 1) AS INT) % 2 = 0 THEN 1 ELSE -1 END"
@@ -74,8 +74,8 @@ def u6(s: SparkSession, d: str) -> DataFrame:
 
 @query("u7_histogram_p_two_sided", f"SELECT channel, r(max(m) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN abs(m) >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN abs(m) END) OVER (PARTITION BY channel) AS o FROM (SELECT channel, perm, avg(diff * {_MD.replace('{k}', 'epoch')}) AS m FROM {_EP}, {_P} GROUP BY 1, 2)) GROUP BY 1")
 def u7(s: SparkSession, d: str) -> DataFrame:
-    rows = ops.permutations(epochs(s, d), PERMS).withColumn("x", F.col("diff") * ops.sign_of(F.col("perm"), F.col("epoch")))
-    return ops.histogram_p(rows.groupBy("channel", "perm").agg(F.avg("x").alias("m")), ["channel"], "m")
+    sums = ops.flipped_sums(epochs(s, d), ["channel"], "epoch", "diff", PERMS)
+    return ops.histogram_p(sums.select("channel", "perm", F.try_divide("s", "n").alias("m")), ["channel"], "m")
 
 
 _TT = f"(SELECT channel, t, perm, coalesce(avg(x) / nullif(stddev_samp(x) / sqrt(count(x)), 0), 0) AS value FROM (SELECT channel, t, perm, (value - 50) * {_MD.replace('{k}', 'epoch')} AS x FROM {{sg}}, {_P}) GROUP BY 1, 2, 3)"
@@ -88,9 +88,8 @@ def u8(s: SparkSession, d: str) -> DataFrame:
 
 
 def scores(s: SparkSession, d: str) -> DataFrame:
-    rows = ops.permutations(signal(s, d), PERMS).withColumn("x", (F.col("value") - 50) * ops.sign_of(F.col("perm"), F.col("epoch")))
-    g = rows.groupBy("channel", "t", "perm").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n"))
-    return g.select("channel", "t", "perm", F.coalesce(F.try_divide("m", F.col("sd") / F.sqrt("n")), F.lit(0.0)).alias("value"))
+    rows = signal(s, d).select("channel", "epoch", F.col("t").alias("at"), (F.col("value") - 50).alias("x"))
+    return ops.flipped_t(rows, ["channel", "at"], "epoch", "x", PERMS).select("channel", F.col("at").alias("t"), "perm", F.coalesce("t", F.lit(0.0)).alias("value"))
 
 
 @query("u8_grid_clusters")
