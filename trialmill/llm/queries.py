@@ -8,12 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, html_text, line_dedup, nearest, pii, quality, secret_scan, token_files
-from .common import scratch_dir, table
+from . import byte_bpe, centroids, decontaminate, html_text, line_dedup, nearest, packing, pii, quality, secret_scan, token_alignment, token_files
+from .common import materialize, scratch_dir, table
 from .ngram_join import similar_groups
 
 BYTE_BPE = "byte_bpe_50k.tiktoken"
 WORD_BPE = "word_bpe_49k.json"
+BYTE_BPE_FILE, PIECE_BPE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,25 @@ def op10_pii_chain_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.find_personal(table(spark, sf_dir, "documents")))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of all usable vectors of embeddings; see centroids.cluster for odd rows."""
+    return centroids.digest(*centroids.cluster(table(spark, sf_dir, "embeddings")))
+
+
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each piece of every document; see packing.cut_pieces and packing.pack for odd rows."""
+    pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+    return packing.pack(token_files.with_crc32(pieces))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of both tokenizers' tokens in every document; see token_alignment.align for odd rows."""
+    docs = table(spark, sf_dir, "documents")
+    measured, _ = token_alignment.align(docs, public_tokenizers.path(BYTE_BPE_FILE), public_tokenizers.path(PIECE_BPE), public_tokenizers.PATTERN)
+    texts = materialize(token_alignment.digest_groups(measured), "alignment-measures")
+    return token_alignment.to_documents(docs, texts).withColumn("groups_sha256", F.coalesce("groups_sha256", F.lit("")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_decontamination": op2_decontamination,
@@ -75,7 +95,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_pii_chain_field": op10_pii_chain_field,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_best_fit_packing": op12_best_fit_packing,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: DuckDB SQL where SQL can express a query and is fast enough over the whole tables.
-ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE}
+ORACLE: dict[str, str] = {"op5_line_dedup": line_dedup.ORACLE, "op11_centroid_clustering": centroids.oracle()}
