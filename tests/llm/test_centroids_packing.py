@@ -127,9 +127,9 @@ def test_sequences_hold_the_ids(spark):
     docs = spark.createDataFrame([(k, f"text {k} " * (k % 40)) for k in range(200)], "doc_id long, text string")
     pieces = packing.cut_pieces(docs, WORDS, capacity=64)
     packed = packing.pack(pieces, 64)
-    ids = {r.sequence_id: r.ids for r in packing.sequences(packed).collect()}
+    ids = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(packed).collect()}
     assert sum(map(len, ids.values())) == pieces.selectExpr("sum(length)").first()[0] and max(map(len, ids.values())) <= 64
-    assert all(ids[r.sequence_id][r.offset : r.offset + r.length] == r.ids for r in packed.collect())
+    assert all(ids[r.sequence_id][r.offset : r.offset + r.length].tobytes() == bytes(r.ids) for r in packed.collect())
 
 
 def histogram(lengths, capacity):

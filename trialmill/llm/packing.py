@@ -207,10 +207,11 @@ class Places:
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: int = CAPACITY, special_as_text: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids): the ids of each text and end_id after them, cut every `capacity` ids.
 
-    docs has doc_id and text, other columns are ignored. A null or empty text is end_id alone; a null doc_id and rows
-    that repeat are pieces like any other. Texts are encoded whole; start counts the document's ids before the piece.
+    ids (binary) holds little-endian unsigned 32-bit integers. docs has doc_id and text, other columns are ignored. A null
+    or empty text is end_id alone; a null doc_id and rows that repeat are pieces like any other. Texts are encoded whole;
+    start counts the document's ids before the piece.
     """
-    schema = "doc_id long, piece int, start long, length long, ids array<int>"
+    schema = "doc_id long, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(tokenizer_path, special_as_text)
@@ -221,57 +222,34 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity:
                 doc = np.repeat(np.arange(j - i), pieces)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 length = np.minimum(count[doc] - piece * capacity, capacity)
-                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(flat))
+                at = np.concatenate([[0], 4 * np.cumsum(length)]).astype(np.int32)
+                ids = pa.BinaryArray.from_buffers(pa.binary(), len(length), [None, pa.py_buffer(at), pa.py_buffer(flat.astype("<u4"))])
                 columns = [b.column(0).slice(i, j - i).take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(length), ids]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def _numbered(pieces: DataFrame) -> DataFrame:
-    """pieces with task_ (number of the task) and rank_ (count of that task's earlier pieces of the same length)."""
-    from pyspark.sql.types import IntegerType, LongType, StructType
-
-    schema = StructType([*pieces.schema.fields]).add("task_", IntegerType()).add("rank_", LongType())
-    at = pieces.columns.index("length")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task, seen = TaskContext.get().partitionId(), {}
-        for b in batches:
-            length = b.column(at).to_numpy()
-            values, group = np.unique(length, return_inverse=True)
-            order = np.argsort(group, kind="stable")
-            sizes = np.bincount(group, minlength=len(values))
-            rank = np.empty(len(length), np.int64)
-            rank[order] = np.arange(len(length)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            rank += np.array([seen.get(v, 0) for v in values.tolist()], np.int64)[group]
-            for v, n in zip(values.tolist(), sizes.tolist()):
-                seen[v] = seen.get(v, 0) + n
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(length), task, np.int32)), pa.array(rank)], names=schema.names)
-
-    return pieces.mapInArrow(run, schema)
-
-
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset (long) of each: pieces of a sequence follow each other from 0 without gaps.
 
     pieces has length (1 to capacity; others are an error) and any other columns, which pass through, but for
-    sequence_id, offset, task_ and rank_, which are replaced. An empty table gives an empty one. Rows are written once,
-    with their number, so that numbers stay when an executor is lost; the driver sees the histogram only.
+    sequence_id, offset, task_, row_ and rank_, which are replaced. An empty table gives an empty one. Rows are written
+    once, with their task, so that numbers stay when an executor is lost; the driver sees the histogram only.
     """
-    pieces = pieces.drop("sequence_id", "offset", "task_", "rank_").withColumn("length", F.col("length").cast("long"))
-    numbered = materialize(_numbered(pieces), "pieces")
-    by_task = numbered.groupBy("task_", "length").agg(F.count(F.lit(1)).alias("n_"))
+    pieces = pieces.drop("sequence_id", "offset", "task_", "row_", "rank_").withColumn("length", F.col("length").cast("long"))
+    rows = materialize(pieces.withColumns({"task_": F.spark_partition_id(), "row_": F.monotonically_increasing_id()}), "pieces")
+    by_task = rows.groupBy("task_", "length").agg(F.count(F.lit(1)).alias("n_"))
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in by_task.groupBy("length").agg(F.sum("n_")).collect():
         if length is None or not 1 <= length <= capacity:
             raise ValueError(f"a piece of length {length} doesn't fit a sequence of {capacity}")
         counts[length] = n
-    places = numbered.sparkSession.sparkContext.broadcast(Places(configurations(counts, capacity)[0]))
+    places = rows.sparkSession.sparkContext.broadcast(Places(configurations(counts, capacity)[0]))
+    # a piece's number: the pieces of its length in earlier tasks, and in earlier rows of its own
     before = F.coalesce(F.sum("n_").over(Window.partitionBy("length").orderBy("task_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = numbered.join(by_task.select("task_", "length", before.alias("before_")), ["task_", "length"])
+    own = F.row_number().over(Window.partitionBy("task_", "length").orderBy("row_")) - 1
+    placed = rows.withColumn("rank_", own).join(by_task.select("task_", "length", before.alias("before_")), ["task_", "length"])
     rest = pieces.columns
     out = pieces.withColumn("sequence_id", F.lit(None).cast("long")).withColumn("offset", F.lit(None).cast("long")).schema
     at = rest.index("length")
@@ -285,6 +263,6 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """(sequence_id, ids): the packed sequences themselves, at most `capacity` ids each; packed has ids."""
+    """(sequence_id, ids): the packed sequences themselves, at most `capacity` ids each, in binary as packed has them."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
-    return packed.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda x: x["ids"])).alias("ids"))
+    return packed.groupBy("sequence_id").agg(F.aggregate(parts, F.lit(b""), lambda all_, x: F.concat(all_, x["ids"])).alias("ids"))

@@ -73,7 +73,7 @@ def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of each piece of every document; see packing.cut_pieces and packing.pack for odd rows."""
     pieces = packing.cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
-    return packing.pack(token_files.with_crc32(pieces))
+    return packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
