@@ -79,7 +79,7 @@ def test_odd_texts_equal_the_loop(spark, tmp_path, monkeypatch, frequent, copies
     """Nulls, empty and very long texts, special strings, repeats and clashing names; with few pairs broadcast, and hot texts."""
     monkeypatch.setattr(token_alignment, "COPIES", copies)
     measures = token_alignment.measures
-    monkeypatch.setattr(token_alignment, "measures", lambda a, c: measures(a, c, frequent))
+    monkeypatch.setattr(token_alignment, "measures", lambda a, c, **more: measures(a, c, frequent, **more))
     r = random.Random(5)
     signs = "".join(chr(c) for c in [*range(32, 127), 0xE9, 0x416, 0x5B57, 0x1F600, 0x301, 0xA0, 0x2028])
     texts = [*ODD, *ODD[8:12], "abc", *["hot text, twice"] * 9, *("".join(r.choices(signs, k=r.randint(1, 60))) for _ in range(200))]

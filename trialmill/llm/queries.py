@@ -79,8 +79,9 @@ def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of both tokenizers' tokens in every document; see token_alignment.align for odd rows."""
     docs = table(spark, sf_dir, "documents")
-    measured, _ = token_alignment.align(docs, public_tokenizers.path(BYTE_BPE_FILE), public_tokenizers.path(PIECE_BPE), public_tokenizers.PATTERN)
-    texts = materialize(token_alignment.digest_groups(measured), "alignment-measures")
+    aligned, counts = token_alignment.align(docs, public_tokenizers.path(BYTE_BPE_FILE), public_tokenizers.path(PIECE_BPE), public_tokenizers.PATTERN)
+    measured = token_alignment.measures(aligned, counts, extra=("groups_sha256", token_alignment.group_digests))
+    texts = materialize(measured, "alignment-measures")
     return token_alignment.to_documents(docs, texts).withColumn("groups_sha256", F.coalesce("groups_sha256", F.lit("")))
 
 

@@ -11,8 +11,10 @@ So no frequent pair is a join key, and the broadcast doesn't grow with the corpu
 
 from __future__ import annotations
 
+import hashlib
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,8 @@ from .common import SLICE_BYTES, materialize, slices, text_buffer
 BITS = 15
 #: Pairs that are broadcast at most, 13 bytes each.
 FREQUENT = 1 << 20
+#: Tokens of A whose links are handled together, or those of one longer text.
+TOKENS = 1 << 17
 #: Texts that are in more documents than this, and in more than a 2^-14th of all, are joined by broadcast: fewer than 2^14.
 COPIES = 1000
 _MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
@@ -39,19 +43,14 @@ class Encoders:
     """
 
     def __init__(self, path_a: str, path_b: str, pattern: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.plain = Tokenizer.from_file(path_a)
-        self.plain.encode_special_tokens = True
+        self.path_a = path_a
         with open(path_a, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        letters = byte_letters()
-        special = {x.content for x in self.plain.get_added_tokens_decoder().values()}
+            whole = json.load(f)
+        model, letters = whole["model"], byte_letters()
+        special = {x["content"] for x in whole["added_tokens"]}
         ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         for at, merge in enumerate(model["merges"]):
             if model["vocab"]["".join(merge if isinstance(merge, list) else merge.split(" "))] != at + 256:
@@ -66,6 +65,18 @@ class Encoders:
             raise ValueError(f"the second tokenizer has more than {1 << BITS} ids")
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
 
+    @cached_property
+    def plain(self):
+        """The library's own tokenizer; few texts need it."""
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(self.path_a)
+        found.encode_special_tokens = True
+        return found
+
     def _piece(self, i: int) -> bytes:
         if self.pieces.is_byte(i):
             return bytes([int(self.pieces.id_to_piece(i)[3:5], 16)])
@@ -191,7 +202,7 @@ class Links:
 def _linked(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, Links]]:
     """Links of runs of rows, by the columns from `at` on."""
     offsets = b.column(at).offsets.to_numpy().astype(np.int64)
-    for i, j in slices(offsets, SLICE_BYTES):
+    for i, j in slices(offsets, TOKENS):
         yield i, j, Links(*(b.column(at + n).slice(i, j - i) for n in range(4)))
 
 
@@ -229,20 +240,17 @@ def _frequent(counts: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarra
     return tuple(rows.column(c).to_numpy() for c in ("pair", "docs", "best")), least
 
 
-def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT) -> DataFrame:
-    """aligned with n_a, n_b, n_groups, n_links, n_best and count_sum (long) of each text.
+def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT, extra: tuple[str, Callable[..., list[str]]] | None = None) -> DataFrame:
+    """(key, copies, n_a, n_b, n_groups, n_links, n_best, count_sum) of each text, all measures long, and one more column.
 
     n_links counts links; n_best those whose pair is the most frequent of its A id, ties included; count_sum adds up the
-    documents of the links' pairs. aligned and counts are read several times and should be written tables.
+    documents of the links' pairs. extra names a string column, and what makes it of some rows' ids_a, ids_b, sizes_a and
+    sizes_b. aligned and counts are read several times and should be written tables.
     """
-    from pyspark.sql.types import LongType, StructType
-
     known, least = _frequent(counts, frequent)
     known = aligned.sparkSession.sparkContext.broadcast(known)
-    keep = aligned.columns
-    schema = StructType([*aligned.schema.fields])
-    for c in _MEASURES:
-        schema = schema.add(c, LongType())
+    names = ["key", "copies", *_MEASURES, *([extra[0]] if extra else [])]
+    schema = "key binary, copies long, " + ", ".join(f"{c} long" for c in _MEASURES) + (f", {extra[0]} string" if extra else "")
     lists = ["ids_a", "ids_b", "sizes_a", "sizes_b"]
 
     def look_up(links: Links) -> tuple[np.ndarray, np.ndarray]:
@@ -256,13 +264,15 @@ def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT) ->
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i, j, links in _linked(b, len(keep)):
+            for i, j, links in _linked(b, 2):
                 at, hit = look_up(links)
                 docs = np.where(hit, known.value[1][at] * links.links, 0) if len(known.value[0]) else np.zeros(len(at), np.int64)
                 best = np.where(hit & known.value[2][at], links.links, 0) if len(known.value[0]) else docs
-                sizes = [np.diff(b.column(len(keep) + n).slice(i, j - i).offsets.to_numpy()).astype(np.int64) for n in range(3)]
+                own = [b.column(n).slice(i, j - i) for n in range(6)]
+                sizes = [np.diff(x.offsets.to_numpy()).astype(np.int64) for x in own[2:5]]
                 numbers = [*sizes, *(by_row(j - i, links.row, x) for x in (links.links, best, docs))]
-                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i) for n in range(len(keep))), *map(pa.array, numbers)], names=schema.names)
+                more = [pa.array(extra[1](*own[2:]), pa.string())] if extra else []
+                yield pa.RecordBatch.from_arrays([*own[:2], *map(pa.array, numbers), *more], names=names)
 
     def missed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -270,7 +280,7 @@ def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT) ->
                 rest = ~look_up(links)[1]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(links.row[rest])), pa.array(links.pair[rest]), pa.array(links.links[rest])], names=["key", "pair", "links"])
 
-    out = aligned.select(*keep, *(F.col(c).alias(f"{c}_") for c in lists)).mapInArrow(found, schema)
+    out = aligned.select("key", "copies", *lists).mapInArrow(found, schema)
     if least == 1:
         return out
     rare = aligned.select("key", *lists).mapInArrow(missed, "key binary, pair long, links long")
@@ -294,46 +304,31 @@ def to_documents(docs: DataFrame, measured: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in _MEASURES})
 
 
-def digest_groups(measured: DataFrame) -> DataFrame:
-    """measured with groups_sha256 in place of the id and size columns: the sha256 of `a1,a2|b1;a3|b2,b3`."""
-    import hashlib
-
-    from pyspark.sql.types import StringType, StructType
-
-    lists = ["ids_a", "ids_b", "sizes_a", "sizes_b"]
-    rest = [c for c in measured.columns if c not in lists]
-    schema = StructType([f for f in measured.schema.fields if f.name in rest]).add("groups_sha256", StringType())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[int, str] = {}
-        for b in batches:
-            out = []
-            columns = [_values(b.column(len(rest) + n)) for n in range(4)]
-            for k in range(len(b)):
-                a, c, na, nb = (x[at[k] : at[k + 1]] for at, x in columns)
-                # tokens of A and B in the order of the text, each with the sign that follows it
-                place_a = np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)
-                place_b = np.arange(len(c)) + np.repeat(np.cumsum(na), nb)
-                code = np.zeros(len(a) + len(c), np.int64)
-                code[place_a], code[place_b] = a * 3, c * 3
-                code[place_a[np.cumsum(na) - 1]] += 1
-                code[place_b[np.cumsum(nb) - 1]] += 2
-                known = code.tolist()
-                for x in set(known).difference(names):
-                    names[x] = f"{x // 3}{',|;'[x % 3]}"
-                out.append(hashlib.sha256("".join(map(names.__getitem__, known))[:-1].encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(rest)], pa.array(out, pa.string())], names=schema.names)
-
-    return measured.select(*rest, *lists).mapInArrow(run, schema)
+def group_digests(ids_a: pa.Array, ids_b: pa.Array, sizes_a: pa.Array, sizes_b: pa.Array) -> list[str]:
+    """The sha256 of each text's groups, written as `a1,a2|b1;a3|b2,b3`."""
+    out, columns, names = [], [_values(x) for x in (ids_a, ids_b, sizes_a, sizes_b)], {}
+    for k in range(len(ids_a)):
+        a, c, na, nb = (x[at[k] : at[k + 1]] for at, x in columns)
+        # tokens of A and B in the order of the text, each with the sign that follows it
+        place_a = np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)
+        place_b = np.arange(len(c)) + np.repeat(np.cumsum(na), nb)
+        code = np.zeros(len(a) + len(c), np.int64)
+        code[place_a], code[place_b] = a * 3, c * 3
+        code[place_a[np.cumsum(na) - 1]] += 1
+        code[place_b[np.cumsum(nb) - 1]] += 2
+        known = code.tolist()
+        for x in set(known).difference(names):
+            names[x] = f"{x // 3}{',|;'[x % 3]}"
+        out.append(hashlib.sha256("".join(map(names.__getitem__, known))[:-1].encode()).hexdigest())
+    return out
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """The measured texts (key, copies, ids_a, ids_b, sizes_a, sizes_b, n_a, ...) and the pair counts of all docs.
+    """The aligned distinct texts (key, copies, ids_a, ids_b, sizes_a, sizes_b) and the pair counts of all docs, both written.
 
     docs has doc_id and text; other columns are ignored. Every row is a document, also if its doc_id repeats or is null.
     An empty table gives empty ones. A text is handled whole in one task; its groups are short but for texts in which the
     two sides hardly ever end together, where distinct links grow with the product of distinct ids.
     """
     aligned = materialize(align_distinct(docs, path_a, path_b, pattern), "aligned")
-    counts = materialize(pair_counts(aligned), "pair-counts")
-    return measures(aligned, counts), counts
+    return aligned, materialize(pair_counts(aligned), "pair-counts")
