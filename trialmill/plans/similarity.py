@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import similarity as ops
+from ..operators import blocks, classifiers, similarity as ops
 from .standins import events, features, query, signal, table
 
 _PAIR = "(SELECT a.run, a.id AS a, b.id AS b, a.label = b.label AS same, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM {ft} a JOIN {ft} b ON a.run = b.run AND a.id < b.id)"
 
 
 def pairs(s: SparkSession, d: str) -> DataFrame:
-    return ops.pair_distances(features(s, d), ["run"])
+    return blocks.pair_table(features(s, d), ["run"])
 
 
 @query("c25_trial_pairs", f"SELECT run, a, b, same, r(distance) AS distance FROM {_PAIR}")
@@ -22,13 +22,35 @@ def c25(s: SparkSession, d: str) -> DataFrame:
 
 @query("u21_within_between_score", f"SELECT run, r(avg(distance) FILTER (WHERE same)) AS within, r(avg(distance) FILTER (WHERE NOT same)) AS between, r(avg(distance) FILTER (WHERE NOT same) - avg(distance) FILTER (WHERE same)) AS score FROM {_PAIR} GROUP BY 1")
 def u21(s: SparkSession, d: str) -> DataFrame:
-    return ops.within_between(pairs(s, d), ["run"])
+    return blocks.similarity_scores(blocks.label_distances(features(s, d), ["run"]), ["run"]).select("run", "within", "between", "score")
 
 
 @query("u22_split_half_distances", "SELECT run, half, r(avg(distance)) AS distance FROM (SELECT a.run, h AS half, sqrt(list_sum(list_transform(list_zip(a.x[32 * h + 1:32 * h + 32], b.x[32 * h + 1:32 * h + 32]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM {ft} a JOIN {ft} b ON a.run = b.run AND a.id < b.id, (SELECT unnest([0, 1]) AS h)) GROUP BY 1, 2")
 def u22(s: SparkSession, d: str) -> DataFrame:
-    halves = features(s, d).select("id", "label", "run", F.posexplode(F.array(F.slice("x", 1, 32), F.slice("x", 33, 32))).alias("half", "x"))
-    return ops.pair_distances(halves, ["run", "half"]).groupBy("run", "half").agg(F.avg("distance").alias("distance"))
+    sums = blocks.label_distances(features(s, d), ["run"], times=2, crossed=False)
+    return sums.select("run", F.col("t1").alias("half"), ((F.col("s_within") + F.col("s_between")) / (F.col("n_within") + F.col("n_between"))).alias("distance"))
+
+
+#: Times that an embedding's components stand for, eight channels each, and balanced draws.
+TIMES, DRAWS = 8, 20
+_PLACED = "(SELECT *, (row_number() OVER (PARTITION BY run, label ORDER BY md5('0:' || id), id) - 1) % 2 AS half FROM {ft})"
+_UNITS = f"(SELECT run, id, label, half, t, list_transform(v, lambda z: (z - list_avg(v)) / sqrt(list_sum(list_transform(v, lambda y: (y - list_avg(v)) * (y - list_avg(v)))))) AS u FROM (SELECT run, id, label, half, t, x[8 * t + 1:8 * t + 8] AS v FROM {_PLACED}, (SELECT unnest(range({TIMES})) AS t)))"
+_HALVES = f"pairs AS MATERIALIZED (SELECT a.run, a.id AS a, b.id AS b, a.label = b.label AS same, CAST(a.t AS INT) AS t1, CAST(b.t AS INT) AS t2, 1 - atanh(list_inner_product(a.u, b.u)) AS z FROM units a JOIN units b ON a.run = b.run WHERE a.half = 0 AND b.half = 1)"
+_ODDS = "odds AS (SELECT run, least(1, n_out / nullif(n_in, 0)) AS p_in, least(1, n_in / nullif(n_out, 0)) AS p_out FROM (SELECT run, count(*) FILTER (WHERE same) AS n_in, count(*) FILTER (WHERE NOT same) AS n_out FROM pairs WHERE t1 = 0 AND t2 = 0 GROUP BY 1))"
+_MIX = "(least(a, b) % 2147483647 * 1103515245 % 2147483647 + greatest(a, b) % 2147483647 * 377001613 % 2147483647 + draw * 668265263 % 2147483647) % 2147483647"
+_DRAWN = f"draws AS (SELECT run, t1, t2, draw, avg(z) FILTER (WHERE NOT same AND u < p_out) - avg(z) FILTER (WHERE same AND u < p_in) AS score FROM (SELECT *, (h * h % 2147483647 + h * 48271 % 2147483647) % 2147483647 / 2147483647 AS u FROM (SELECT *, {_MIX} AS h FROM pairs, (SELECT unnest(range(1, {DRAWS + 1})) AS draw))) JOIN odds USING (run) GROUP BY ALL)"
+
+
+@query("u21_c25_first_against_second_by_time", f"WITH units AS MATERIALIZED {_UNITS}, {_HALVES}, {_ODDS}, {_DRAWN} SELECT run, t1, t2, r(avg(z) FILTER (WHERE same)) AS within, r(avg(z) FILTER (WHERE NOT same)) AS between, r(avg(z) FILTER (WHERE NOT same) - avg(z) FILTER (WHERE same)) AS score, r(any_value(q.score)) AS balanced FROM pairs JOIN (SELECT run, t1, t2, avg(score) AS score FROM draws GROUP BY ALL) q USING (run, t1, t2) GROUP BY 1, 2, 3")
+def u21_halves(s: SparkSession, d: str) -> DataFrame:
+    items = classifiers.stratified_folds(features(s, d), ["run"], 2)
+    sums = blocks.label_distances(items.where("fold = 0"), ["run"], items.where("fold = 1"), metric="correlation", times=TIMES, fisher=True, draws=DRAWS)
+    return blocks.similarity_scores(sums, ["run"])
+
+
+@query("u23_nearest_neighbours", "WITH near AS (SELECT a.id, a.label, a.run, b.id AS near, b.label AS guess, round(sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) AS distance FROM {ft} a JOIN {ft} b ON a.run <> b.run), votes AS (SELECT id, label, run, guess, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, near) AS i FROM near) WHERE i <= 5 GROUP BY ALL) SELECT run, r(avg(CASE WHEN guess = label THEN 1.0 ELSE 0 END)) AS accuracy, count(*) AS n FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, guess) AS i FROM votes) WHERE i = 1 GROUP BY 1")
+def u23_neighbours(s: SparkSession, d: str) -> DataFrame:
+    return classifiers.accuracy(blocks.nearest_labels(features(s, d), [], "run"), ["run"])
 
 
 _LONG = "(SELECT id, label, run, unnest(x) AS v, generate_subscripts(x, 1) AS f FROM {ft})"
@@ -84,9 +106,12 @@ def d45(s: SparkSession, d: str) -> DataFrame:
     return signal(s, d).where("t between 8 and 14 and epoch between 10 and 40").groupBy("channel").agg(F.avg("value").alias("value"))
 
 
-@query("b32_fisher_z", f"SELECT run, a, b, r(1 - atanh(1 - distance / 2)) AS z FROM {_PAIR}")
+_CENTRED = "(SELECT run, id, list_transform(x, lambda z: z - list_avg(x)) AS u FROM {ft})"
+
+
+@query("b32_fisher_z", f"SELECT run, a, b, r(1 - atanh(least(greatest(p / sqrt(q * s), -1), 1))) AS z FROM (SELECT a.run, a.id AS a, b.id AS b, list_inner_product(a.u, b.u) AS p, list_inner_product(a.u, a.u) AS q, list_inner_product(b.u, b.u) AS s FROM {_CENTRED} a JOIN {_CENTRED} b ON a.run = b.run AND a.id < b.id)")
 def b32(s: SparkSession, d: str) -> DataFrame:
-    return pairs(s, d).select("run", "a", "b", (1 - F.atanh(1 - F.col("distance") / 2)).alias("z"))
+    return blocks.pair_table(features(s, d), ["run"], metric="correlation").select("run", "a", "b", blocks.fisher_z(F.col("distance")).alias("z"))
 
 
 @query("b29_prediction_matrix", "SELECT x, y, CASE WHEN (x BETWEEN 2 AND 8 AND y BETWEEN 2 AND 8) OR (x BETWEEN 12 AND 16 AND y BETWEEN 12 AND 16) THEN 1 ELSE 0 END AS predicted FROM (SELECT DISTINCT t AS x FROM {sg}) CROSS JOIN (SELECT DISTINCT t AS y FROM {sg})")
