@@ -31,6 +31,7 @@ FREQUENT = 1 << 20
 TOKENS = 1 << 17
 #: Texts that are in more documents than this, and in more than a 2^-14th of all, are joined by broadcast: fewer than 2^14.
 COPIES = 1000
+LISTS = ["ids_a", "ids_b", "ends_a", "ends_b"]
 _MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
@@ -61,8 +62,8 @@ class Encoders:
         for token, i in ranks.items():
             self.bytes_a[i] = token
         self.bytes_b = [self._piece(i) for i in range(self.pieces.get_piece_size())]
-        if len(self.bytes_b) > 1 << BITS:
-            raise ValueError(f"the second tokenizer has more than {1 << BITS} ids")
+        if len(self.bytes_a) > 1 << 16 or len(self.bytes_b) > 1 << BITS:
+            raise ValueError(f"the tokenizers have more than {1 << 16} and {1 << BITS} ids")
         self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
 
     @cached_property
@@ -117,25 +118,19 @@ def encoders(path_a: str, path_b: str, pattern: str) -> Encoders:
     return _loaded[path_a, path_b, pattern]
 
 
-def group_sizes(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of tokens of A and of B in each group; ends ascend, and the last are equal."""
-    last_a = np.flatnonzero(np.isin(ends_a, ends_b, assume_unique=True))
-    last_b = np.searchsorted(ends_b, ends_a[last_a])
-    return np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
-
-
-def _lists(parts: list[np.ndarray], kind: type = np.int32) -> pa.Array:
-    at = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, kind), *parts]).astype(kind)))
+def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token of A and of B whether a group ends with it; byte ends ascend, and the last are equal."""
+    return np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
 
 
 def align_distinct(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
-    """(key, copies, ids_a, ids_b, sizes_a, sizes_b): each distinct text that has tokens on both sides, aligned once.
+    """(key, copies, ids_a, ids_b, ends_a, ends_b): each distinct text that has tokens on both sides, aligned once.
 
-    key is the text's sha256, copies the number of rows with it. sizes_a and sizes_b are the numbers of tokens in each
-    group. Null and empty texts, and such whose tokens don't give a space and the text back, are left out.
+    key is the text's sha256, copies the number of rows with it. ids are little-endian unsigned 16-bit integers, ends a bit
+    for each token, set where a group ends (the first token is the highest bit of the first byte). Null and empty texts, and
+    such whose tokens don't give a space and the text back, are left out.
     """
-    schema = "key binary, copies long, ids_a array<int>, ids_b array<int>, sizes_a array<int>, sizes_b array<int>"
+    schema = "key binary, copies long, ids_a binary, ids_b binary, ends_a binary, ends_b binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = encoders(path_a, path_b, pattern)
@@ -144,29 +139,45 @@ def align_distinct(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> D
                 rows, parts = [], []
                 for k, text in enumerate(b.column(0).slice(i, j - i).to_pylist()):
                     if ids := both.both(text):
-                        x, y = (np.array(z, np.int32) for z in ids)
+                        x, y = (np.array(z, "<u2") for z in ids)
                         rows.append(i + k)
-                        parts.append((x, y, *group_sizes(np.cumsum(both.size_a[x]), np.cumsum(both.size_b[y]))))
+                        ends = group_ends(np.cumsum(both.size_a[x]), np.cumsum(both.size_b[y]))
+                        parts.append((x.tobytes(), y.tobytes(), *(np.packbits(e).tobytes() for e in ends)))
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), *(_lists([p[n] for p in parts]) for n in range(4))], names=["key", "copies", "ids_a", "ids_b", "sizes_a", "sizes_b"])
+                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), *(pa.array([p[n] for p in parts], pa.binary()) for n in range(4))], names=["key", "copies", *LISTS])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text != ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
     return texts.select("text", F.unhex(F.sha2("text", 256)).alias("key"), "copies").mapInArrow(run, schema)
 
 
-def _values(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    at = column.offsets.to_numpy()
-    return at, column.values.to_numpy(zero_copy_only=False).astype(np.int64)
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column, from its first row on."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    whole = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return at - at[0], whole[at[0] : at[-1]]
+
+
+def _side(ids: pa.Array, ends: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one tokenizer: offsets of rows, ids and flags of group ends, of all tokens of some texts."""
+    at, data = _bytes(ids)
+    at = at // 2
+    bit_at, bits = _bytes(ends)
+    place = np.arange(at[-1]) + np.repeat(8 * bit_at[:-1] - at[:-1], np.diff(at))
+    return at, data.view("<u2").astype(np.int64), np.unpackbits(bits)[place].astype(bool)
 
 
 class Links:
     """The links of some texts: row, pair (A's id and B's in one number) and number of links of each distinct pair of a group."""
 
-    def __init__(self, ids_a: pa.Array, ids_b: pa.Array, sizes_a: pa.Array, sizes_b: pa.Array) -> None:
-        (at_a, a), (at_b, b), (at_g, na), (_, nb) = map(_values, (ids_a, ids_b, sizes_a, sizes_b))
-        a, b = a[at_a[0] : at_a[-1]], b[at_b[0] : at_b[-1]]
-        na, nb = na[at_g[0] : at_g[-1]], nb[at_g[0] : at_g[-1]]
-        group_row = np.repeat(np.arange(len(ids_a)), np.diff(at_g))
+    def __init__(self, ids_a: pa.Array, ids_b: pa.Array, ends_a: pa.Array, ends_b: pa.Array) -> None:
+        (at_a, a, last_a), (at_b, b, last_b) = _side(ids_a, ends_a), _side(ids_b, ends_b)
+        na, nb = (np.diff(np.flatnonzero(x), prepend=-1) for x in (last_a, last_b))
+        groups = np.concatenate([[0], np.cumsum(last_a)])[at_a]
+        #: Numbers of tokens of A and B and of groups of each row.
+        self.sizes = np.diff(at_a), np.diff(at_b), np.diff(groups)
+        group_row = np.repeat(np.arange(len(ids_a)), self.sizes[2])
         (ga, a, ka), (gb, b, kb) = self._distinct(a, na), self._distinct(b, nb)
         # of each distinct id of A, all distinct ids of B in its group
         many = np.bincount(gb, minlength=len(na))
@@ -201,8 +212,7 @@ class Links:
 
 def _linked(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, int, Links]]:
     """Links of runs of rows, by the columns from `at` on."""
-    offsets = b.column(at).offsets.to_numpy().astype(np.int64)
-    for i, j in slices(offsets, TOKENS):
+    for i, j in slices(_bytes(b.column(at))[0], 2 * TOKENS):
         yield i, j, Links(*(b.column(at + n).slice(i, j - i) for n in range(4)))
 
 
@@ -222,7 +232,7 @@ def pair_counts(aligned: DataFrame) -> DataFrame:
                 values, first = np.unique(pair[order], return_index=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.diff(total[np.append(first, len(pair))]))], names=["pair", "docs"])
 
-    parts = aligned.select("copies", "ids_a", "ids_b", "sizes_a", "sizes_b").mapInArrow(run, "pair long, docs long")
+    parts = aligned.select("copies", *LISTS).mapInArrow(run, "pair long, docs long")
     counts = parts.groupBy("pair").agg(F.sum("docs").alias("docs"))
     return counts.withColumn("best", F.col("docs") == F.max("docs").over(Window.partitionBy(F.shiftright("pair", BITS))))
 
@@ -244,14 +254,13 @@ def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT, ex
     """(key, copies, n_a, n_b, n_groups, n_links, n_best, count_sum) of each text, all measures long, and one more column.
 
     n_links counts links; n_best those whose pair is the most frequent of its A id, ties included; count_sum adds up the
-    documents of the links' pairs. extra names a string column, and what makes it of some rows' ids_a, ids_b, sizes_a and
-    sizes_b. aligned and counts are read several times and should be written tables.
+    documents of the links' pairs. extra names a string column, and what makes it of some rows' ids_a, ids_b, ends_a and
+    ends_b. aligned and counts are read several times and should be written tables.
     """
     known, least = _frequent(counts, frequent)
     known = aligned.sparkSession.sparkContext.broadcast(known)
     names = ["key", "copies", *_MEASURES, *([extra[0]] if extra else [])]
     schema = "key binary, copies long, " + ", ".join(f"{c} long" for c in _MEASURES) + (f", {extra[0]} string" if extra else "")
-    lists = ["ids_a", "ids_b", "sizes_a", "sizes_b"]
 
     def look_up(links: Links) -> tuple[np.ndarray, np.ndarray]:
         pairs = known.value[0]
@@ -269,8 +278,7 @@ def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT, ex
                 docs = np.where(hit, known.value[1][at] * links.links, 0) if len(known.value[0]) else np.zeros(len(at), np.int64)
                 best = np.where(hit & known.value[2][at], links.links, 0) if len(known.value[0]) else docs
                 own = [b.column(n).slice(i, j - i) for n in range(6)]
-                sizes = [np.diff(x.offsets.to_numpy()).astype(np.int64) for x in own[2:5]]
-                numbers = [*sizes, *(by_row(j - i, links.row, x) for x in (links.links, best, docs))]
+                numbers = [*links.sizes, *(by_row(j - i, links.row, x) for x in (links.links, best, docs))]
                 more = [pa.array(extra[1](*own[2:]), pa.string())] if extra else []
                 yield pa.RecordBatch.from_arrays([*own[:2], *map(pa.array, numbers), *more], names=names)
 
@@ -280,10 +288,10 @@ def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT, ex
                 rest = ~look_up(links)[1]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i).take(pa.array(links.row[rest])), pa.array(links.pair[rest]), pa.array(links.links[rest])], names=["key", "pair", "links"])
 
-    out = aligned.select("key", "copies", *lists).mapInArrow(found, schema)
+    out = aligned.select("key", "copies", *LISTS).mapInArrow(found, schema)
     if least == 1:
         return out
-    rare = aligned.select("key", *lists).mapInArrow(missed, "key binary, pair long, links long")
+    rare = aligned.select("key", *LISTS).mapInArrow(missed, "key binary, pair long, links long")
     rare = rare.groupBy("key", "pair").agg(F.sum("links").alias("links")).join(counts.where(F.col("docs") < least), "pair")
     more = rare.groupBy("key").agg(F.sum(F.when(F.col("best"), F.col("links")).otherwise(0)).alias("best_"), F.sum(F.col("links") * F.col("docs")).alias("docs_"))
     add = {"n_best": F.col("n_best") + F.coalesce("best_", F.lit(0)), "count_sum": F.col("count_sum") + F.coalesce("docs_", F.lit(0))}
@@ -304,18 +312,18 @@ def to_documents(docs: DataFrame, measured: DataFrame) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.lit(0)).cast("long") for c in _MEASURES})
 
 
-def group_digests(ids_a: pa.Array, ids_b: pa.Array, sizes_a: pa.Array, sizes_b: pa.Array) -> list[str]:
+def group_digests(ids_a: pa.Array, ids_b: pa.Array, ends_a: pa.Array, ends_b: pa.Array) -> list[str]:
     """The sha256 of each text's groups, written as `a1,a2|b1;a3|b2,b3`."""
-    out, columns, names = [], [_values(x) for x in (ids_a, ids_b, sizes_a, sizes_b)], {}
+    out, names = [], {}
+    (at_a, all_a, last_a), (at_b, all_b, last_b) = _side(ids_a, ends_a), _side(ids_b, ends_b)
     for k in range(len(ids_a)):
-        a, c, na, nb = (x[at[k] : at[k + 1]] for at, x in columns)
+        a, c, end_a, end_b = (x[at[k] : at[k + 1]] for x, at in ((all_a, at_a), (all_b, at_b), (last_a, at_a), (last_b, at_b)))
+        na, nb = (np.diff(np.flatnonzero(x), prepend=-1) for x in (end_a, end_b))
         # tokens of A and B in the order of the text, each with the sign that follows it
         place_a = np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)
         place_b = np.arange(len(c)) + np.repeat(np.cumsum(na), nb)
         code = np.zeros(len(a) + len(c), np.int64)
-        code[place_a], code[place_b] = a * 3, c * 3
-        code[place_a[np.cumsum(na) - 1]] += 1
-        code[place_b[np.cumsum(nb) - 1]] += 2
+        code[place_a], code[place_b] = a * 3 + end_a, c * 3 + 2 * end_b
         known = code.tolist()
         for x in set(known).difference(names):
             names[x] = f"{x // 3}{',|;'[x % 3]}"
@@ -324,7 +332,7 @@ def group_digests(ids_a: pa.Array, ids_b: pa.Array, sizes_a: pa.Array, sizes_b:
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> tuple[DataFrame, DataFrame]:
-    """The aligned distinct texts (key, copies, ids_a, ids_b, sizes_a, sizes_b) and the pair counts of all docs, both written.
+    """The aligned distinct texts (key, copies, ids_a, ids_b, ends_a, ends_b) and the pair counts of all docs, both written.
 
     docs has doc_id and text; other columns are ignored. Every row is a document, also if its doc_id repeats or is null.
     An empty table gives empty ones. A text is handled whole in one task; its groups are short but for texts in which the
