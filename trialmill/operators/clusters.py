@@ -130,14 +130,14 @@ def permuted_sums(df: DataFrame, keys: Sequence[str], subject: str, value: str,
     return parts.where("not edge_").unionByName(edges).drop("edge_")
 
 
-def t_arrays(sums: DataFrame, keys: Sequence[str], first: int | None = None) -> DataFrame:
-    """(keys, n, t): the t of each perm from permuted_sums; 0 where values have no spread.
+def t_arrays(sums: DataFrame, keys: Sequence[str], first: int | None = None, missing: float = 0.0) -> DataFrame:
+    """(keys, n, stat): the t of each perm from permuted_sums; `missing` where values have no spread.
 
     Sums of signed values give one-sample t. With first, the number of values that the first group has, sums are those of
     the first group and t is that of two samples of equal variance; groups of another number of values are left out.
     """
     kinds = dict(sums.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, t array<double>"])
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, stat array<double>"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -155,12 +155,33 @@ def t_arrays(sums: DataFrame, keys: Sequence[str], first: int | None = None) ->
                     fine = (rest > 0) & (n > 2) & ~(left <= 1e-12 * q)
                     t = (s / first - (total - s) / rest) / np.sqrt(left / (n - 2) * (1 / first + 1 / rest))
             out = pdf[[*keys, "n"]].copy()
-            out["t"] = list(np.where(fine, t, 0.0))
+            out["stat"] = list(np.where(fine, t, missing))
             yield out
 
     return sums.mapInPandas(run, schema)
 
 
+def array_p(rows: DataFrame, keys: Sequence[str], values: str, tail: int = 0) -> DataFrame:
+    """(keys, observed, p): the first number of each array, and the share of numbers that reach it, itself included.
+
+    tail 1 is upper, -1 lower, 0 both (absolute values). NaN takes no part; an observed one gives null for both.
+    """
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "observed double, p double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                v = np.stack(pdf[values].to_list())
+                x = np.abs(v) if tail == 0 else v * tail
+                there = ~np.isnan(x)
+                p = ((x >= x[:, :1] - 1e-9) & there).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
+                yield pdf[list(keys)].assign(observed=v[:, 0], p=np.where(there[:, 0], p, np.nan))
+
+    out = rows.select(*keys, values).mapInPandas(run, schema)
+    return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("observed", "p")})
+
+
 def _labels_1d(on: np.ndarray) -> np.ndarray:
     """For each row the number of the stretch that a point lies in, 0 outside."""
     fresh = on.copy()
@@ -280,7 +301,7 @@ def one_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str],
     if threshold is None:
         threshold = t_quantile(1 - alpha / (2 if tail == 0 else 1), subjects - 1)
     sums = permuted_sums(df, [*keys, *axes], subject, value, signs(count), count + 1)
-    return array_cluster_test(t_arrays(sums, [*keys, *axes]), keys, axes, "t", threshold, tail, step_down)
+    return array_cluster_test(t_arrays(sums, [*keys, *axes]), keys, axes, "stat", threshold, tail, step_down)
 
 
 def two_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str], subject: str, group: str, value: str, count: int, first: str, threshold: float | None = None, alpha: float = 0.05, tail: int = 0, step_down: float | None = None, most: int = 10_000) -> DataFrame:
@@ -303,4 +324,4 @@ def two_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str],
     by = [*keys, *axes]
     sums = permuted_sums(rows, by, subject, value, swaps(groups, count), count + 1).where(F.col("n") == total)
     sums = sums.join(rows.groupBy(*by).agg(F.sum(value).alias("total")), by) if by else sums
-    return array_cluster_test(t_arrays(sums, by, first=one), keys, axes, "t", threshold, tail, step_down)
+    return array_cluster_test(t_arrays(sums, by, first=one), keys, axes, "stat", threshold, tail, step_down)

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import cluster_test, flipped_t, grid_clusters, one_sample_t, shuffled_labels
+from .stats import grid_clusters, one_sample_t, shuffled_labels
 
 
 def _nearest(long: DataFrame, centres: DataFrame, on: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -88,14 +88,6 @@ def permuted(items: DataFrame, long: DataFrame, within: Sequence[str], fold: str
     return folds.groupBy("perm").agg((F.sum(F.col("accuracy") * F.col("n")) / F.sum("n")).alias("accuracy"))
 
 
-def group_cluster_test(curves: DataFrame, keys: Sequence[str], subject: str, t: str, value: Column, chance: float, threshold: float, count: int) -> DataFrame:
-    """1-D cluster test of subjects' curves against chance: signs flip by subject, t by time point, clusters above a t."""
-    rows = curves.select(*keys, subject, F.col(t).alias("_at"), (value - chance).alias("_v"))
-    scores = flipped_t(rows, [*keys, "_at"], subject, "_v", count)
-    scores = scores.select(*keys, F.col("_at").alias(t), "perm", F.coalesce("t", F.lit(0.0)).alias("value"))
-    return cluster_test(scores, keys, threshold, t)
-
-
 def grid_cluster_test(scores: DataFrame, keys: Sequence[str], x: str, y: str, threshold: float, value: str = "value") -> DataFrame:
     """2-D cluster test of scores by perm (0 observed): sets of cells above the threshold, p by the largest mass of each perm."""
     cells = scores.select(*keys, "perm", x, y, value)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Mapping, Sequence
+from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.distributions import bayes_factor_t, chi2_p_value, empirical_null_bf
+from .clusters import array_p, permuted_sums, signs, t_arrays
 from .intervals import mark_runs
+from .signals import sustained
 
 
 def one_sample_t(df: DataFrame, keys: Sequence[str], value: Column, mu: float = 0.0) -> DataFrame:
@@ -63,46 +65,11 @@ def sign_of(perm: Column, key: Column, seed: str = "") -> Column:
 def flipped_sums(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
     """(keys, perm, n, s, q): per group and perm the number, the sum of signed values and the sum of squares; perm 0 is unsigned.
 
-    Signs are those of sign_of. A row is never repeated for its perms: rows lie by range of (keys, subject), so that a group
-    of any size is spread over tasks, and a task sums the rows of a group that follow each other for all perms by one
-    product. Null values take no part, a group with no other has n = 0. Keys have other names than the result's own columns.
+    Signs are those of sign_of. A row is never repeated for its perms, see clusters.permuted_sums. Null values take no part, a
+    group with no other has n = 0. Keys have other names than the result's own columns.
     """
-    keys = list(keys)
-
-    def partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        signs: dict[str | None, np.ndarray] = {}
-
-        def of(name: str | None) -> np.ndarray:
-            if name not in signs:
-                if len(signs) >= 10_000:
-                    signs.clear()
-                tail = "" if name is None else f":{name}"
-                odd = [hashlib.md5(f":{perm}{tail}".encode()).digest()[0] >> 4 & 1 for perm in range(1, count + 1)]
-                signs[name] = np.array([1, *(1 - 2 * np.array(odd, np.int8))], np.int8)
-            return signs[name]
-
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                rows = whole.slice(at, 1000)
-                new = np.zeros(rows.num_rows, bool)
-                new[0] = True
-                for k in keys:
-                    code = rows.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-                    new[1:] |= code[1:] != code[:-1]
-                first = np.flatnonzero(new)
-                there = rows.column("_x").is_valid().to_numpy(zero_copy_only=False)
-                x = np.where(there, rows.column("_x").to_numpy(zero_copy_only=False), 0.0)
-                signed = np.add.reduceat(x[:, None] * np.stack([of(v) for v in rows.column("_s").to_pylist()]), first, axis=0)
-                lists = pa.ListArray.from_arrays(np.arange(len(first) + 1, dtype=np.int32) * (count + 1), signed.ravel())
-                n, q = np.add.reduceat(there.astype(np.int64), first), np.add.reduceat(x * x, first)
-                yield pa.RecordBatch.from_arrays([*[rows.column(k).take(pa.array(first)) for k in keys], pa.array(n), pa.array(q), lists], names=[*keys, "n", "q", "s"])
-
-    kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, q double, s array<double>"])
-    rows = df.select(*keys, F.col(subject).cast("string").alias("_s"), F.col(value).cast("double").alias("_x"))
-    rows = rows.repartitionByRange(*keys, "_s").sortWithinPartitions(*keys, "_s")
-    sums = rows.mapInArrow(partial_sums, schema).select(*keys, "n", "q", F.posexplode("s").alias("perm", "s"))
-    return sums.groupBy(*keys, "perm").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    sums = permuted_sums(df, keys, subject, value, signs(count), count + 1)
+    return sums.select(*keys, "n", "q", F.posexplode("s").alias("perm", "s")).select(*keys, "perm", "n", "s", "q")
 
 
 def flipped_t(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
@@ -115,9 +82,8 @@ def flipped_t(df: DataFrame, keys: Sequence[str], subject: str, value: str, coun
 
 def sign_flip_test(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
     """One-sample permutation t per group: share of sign flips whose absolute t reaches the observed one, which counts as one of them."""
-    t = flipped_t(df, keys, subject, value, count)
-    seen = F.max(F.when(F.col("perm") == 0, F.abs("t"))).over(Window.partitionBy(*keys))
-    return t.withColumn("_o", seen).groupBy(*keys).agg(F.max(F.when(F.col("perm") == 0, F.col("t"))).alias("t"), F.avg((F.abs("t") >= F.col("_o") - 1e-9).cast("int")).alias("p"))
+    t = t_arrays(permuted_sums(df, keys, subject, value, signs(count), count + 1), keys, missing=float("nan"))
+    return array_p(t, keys, "stat").withColumnRenamed("observed", "t")
 
 
 def shuffled_labels(df: DataFrame, within: Sequence[str], key: str, label: str, count: int) -> DataFrame:
@@ -135,7 +101,7 @@ def category_d_prime(df: DataFrame, keys: Sequence[str], label: str, value: str)
     g = df.groupBy(*keys, label).agg(F.avg(value).alias("m"), F.var_pop(value).alias("v"))
     w = Window.partitionBy(*keys)
     k, sm, sv = F.count(F.lit(1)).over(w), F.sum("m").over(w), F.sum("v").over(w)
-    others_m, others_v = (sm - F.col("m")) / (k - 1), (sv - F.col("v")) / (k - 1)
+    others_m, others_v = F.try_divide(sm - F.col("m"), k - 1), F.try_divide(sv - F.col("v"), k - 1)  # null for a single label
     return g.select(*keys, label, F.try_divide(F.col("m") - others_m, F.sqrt((F.col("v") + others_v) / 2)).alias("d"))
 
 
@@ -276,51 +242,192 @@ def sums_by_size(df: DataFrame, keys: Sequence[str], subject: str, value: str, p
     )
 
 
+def _profile(names: Sequence[str], pdf: pd.DataFrame) -> tuple:
+    """The likelihood of a random intercept model with these predictors at a variance ratio, from sums by size; the number of rows."""
+    k = len(names)
+    xx, ss = np.zeros((len(pdf), k, k)), np.zeros((len(pdf), k, k))
+    known = set(pdf.columns)
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            pair = f"{a}|{b}" if f"{a}|{b}" in known else f"{b}|{a}"
+            xx[:, i, j], ss[:, i, j] = pdf[pair], pdf[f"s|{pair}"]
+    xy, sy = (pdf[[f"{p}|{a}" for a in names]].to_numpy(float) for p in ("y", "sy"))
+    yy, syy, n, subjects = (pdf[c].to_numpy(float) for c in ("yy", "syy", "n", "subjects"))
+    total = (n * subjects).sum()
+
+    def fit(ratio: float) -> tuple[float, np.ndarray, np.ndarray, float]:
+        c = ratio / (1 + n * ratio)
+        a = (xx - c[:, None, None] * ss).sum(axis=0)
+        b = (xy - c[:, None] * sy).sum(axis=0)
+        inverse = np.linalg.pinv(a)
+        beta = inverse @ b
+        rss = max(float((yy - c * syy).sum() - beta @ b), 1e-12)
+        return -0.5 * (total * np.log(2 * np.pi * rss / total) + (subjects * np.log1p(n * ratio)).sum() + total), beta, inverse, rss / total
+
+    return fit, total, subjects.sum()
+
+
+def _best_fit(names: Sequence[str], pdf: pd.DataFrame) -> tuple[float, np.ndarray, np.ndarray, float, float, float, float]:
+    """logLik, coefficients, their covariance, error variance, variance ratio, rows and subjects at the greatest likelihood."""
+    fit, total, subjects = _profile(names, pdf)
+    grid = [0.0, *np.exp(np.linspace(-9, 5, 57))]
+    best = max(range(len(grid)), key=lambda i: fit(grid[i])[0])
+    lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
+    for _ in range(60):
+        p, q = lo + 0.382 * (hi - lo), lo + 0.618 * (hi - lo)
+        lo, hi = (lo, q) if fit(p)[0] >= fit(q)[0] else (p, hi)
+    ratio = max((lo, hi, grid[best]), key=lambda r: fit(r)[0])
+    ll, beta, inverse, sigma2 = fit(ratio)
+    return ll, beta, inverse * sigma2, sigma2, ratio, total, subjects
+
+
+def _solved(df: DataFrame, keys: Sequence[str], subject: str, value: str, predictors: Sequence[str], solve, schema: str) -> DataFrame:
+    """What solve gives of a group's sums by size."""
+    kinds = dict(df.dtypes)
+    names = [*keys, *(c.split()[0] for c in schema.split(", "))]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return solve(pdf).assign(**{k: pdf[k].iloc[0] for k in keys})[names]
+
+    by = list(keys) or [F.lit(0).alias("_all")]
+    return sums_by_size(df, keys, subject, value, predictors).groupBy(*by).applyInPandas(run, ", ".join([*[f"`{c}` {kinds[c]}" for c in keys], schema]))
+
+
 def random_intercept_models(df: DataFrame, keys: Sequence[str], subject: str, value: str, predictors: Sequence[str]) -> DataFrame:
     """A linear model with a random intercept per subject, for each group: coefficients, standard errors, logLik, AIC, BIC.
 
     The likelihood depends on a subject by sums alone, weighted by a factor of its number of rows and the variance ratio. So
     subjects of equally many rows are summed up in Spark and the solver sees a row for each such number: of N rows of a group
     at most sqrt(2 N), however many subjects there are. It searches the ratio on a grid and then around its best point.
-    Crossed effects and random slopes aren't built.
+    z and p are those of each coefficient against 0 by the normal law. Crossed effects and random slopes aren't built.
+    """
+    one = compared_models(df, keys, subject, value, {"model": list(predictors)})
+    return one.select(*keys, "coefficient", "estimate", "se", "z", "p", "log_lik", "aic", "bic", "subject_variance", "subjects")
+
+
+def compared_models(df: DataFrame, keys: Sequence[str], subject: str, value: str, models: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Several random intercept models of each group, a row for each coefficient, from one pass over the rows.
+
+    models gives each one's predictors; sums are those of all predictors of any model, so a model is a choice of their rows
+    and columns. best_aic and best_bic mark the model of the least value of a group.
+    """
+    predictors = list(dict.fromkeys(p for chosen in models.values() for p in chosen))
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for model, chosen in models.items():
+            names = ["one", *chosen]
+            ll, beta, cov, sigma2, ratio, total, subjects = _best_fit(names, pdf)
+            se = np.sqrt(np.maximum(np.diag(cov), 0))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                z = np.where(se > 0, beta / se, np.nan)
+            k = len(names) + 2
+            parts.append(pd.DataFrame({
+                "model": model, "coefficient": names, "estimate": beta, "se": se, "z": z, "p": [erfc(abs(v) / sqrt(2)) if v == v else None for v in z],
+                "log_lik": ll, "parameters": k, "aic": 2 * k - 2 * ll, "bic": np.log(total) * k - 2 * ll, "subject_variance": ratio * sigma2, "subjects": int(subjects),
+            }))
+        out = pd.concat(parts)
+        return out.assign(best_aic=out["aic"] <= out["aic"].min(), best_bic=out["bic"] <= out["bic"].min())
+
+    schema = "model string, coefficient string, estimate double, se double, z double, p double, log_lik double, parameters int, aic double, bic double, subject_variance double, subjects long, best_aic boolean, best_bic boolean"
+    return _solved(df, keys, subject, value, predictors, solve, schema)
+
+
+def likelihood_ratios(models: DataFrame, keys: Sequence[str], nested: Sequence[tuple[str, str]]) -> DataFrame:
+    """(keys, small, large, chi2, df, p) of pairs of nested models, from compared_models; p by the chi-square law."""
+    one = models.select(*keys, "model", "log_lik", "parameters").distinct()
+    side = lambda name, n: one.select(*keys, F.col("model").alias(name), F.col("log_lik").alias(f"ll{n}"), F.col("parameters").alias(f"k{n}"))
+    a, b = side("small", 1), side("large", 2)
+    asked = F.array(*[F.struct(F.lit(x).alias("small"), F.lit(y).alias("large")) for x, y in nested])
+    both = a.join(b, list(keys)) if keys else a.crossJoin(b)  # a row for each model
+    both = both.where(F.array_contains(asked, F.struct("small", "large"))).withColumns({"chi2": F.greatest(2 * (F.col("ll2") - F.col("ll1")), F.lit(0.0)), "df": F.col("k2") - F.col("k1")})
+    return both.select(*keys, "small", "large", "chi2", "df", chi2_p_value("chi2", "df").alias("p"))
+
+
+def model_contrasts(df: DataFrame, keys: Sequence[str], subject: str, value: str, predictors: Sequence[str], cells: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """(keys, first, second, mean_first, mean_second, difference, se, z, p, p_bonferroni): estimated means of cells after the model, in pairs.
+
+    cells gives the predictors' values of each cell, 0 where one is left out. Standard errors come from the fit's covariance.
     """
     names = ["one", *predictors]
-    k = len(names)
+    rows = {c: np.array([1.0, *(float(v.get(p, 0.0)) for p in predictors)]) for c, v in cells.items()}
+    pairs = [(a, b) for i, a in enumerate(rows) for b in list(rows)[i + 1 :]]
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        xx, ss = np.zeros((len(pdf), k, k)), np.zeros((len(pdf), k, k))
-        for i, a in enumerate(names):
-            for j in range(i, k):
-                xx[:, i, j] = xx[:, j, i] = pdf[f"{a}|{names[j]}"]
-                ss[:, i, j] = ss[:, j, i] = pdf[f"s|{a}|{names[j]}"]
-        xy, sy = (pdf[[f"{p}|{a}" for a in names]].to_numpy(float) for p in ("y", "sy"))
-        yy, syy, n, subjects = (pdf[c].to_numpy(float) for c in ("yy", "syy", "n", "subjects"))
-        total = (n * subjects).sum()
-
-        def fit(ratio: float) -> tuple[float, np.ndarray, np.ndarray, float]:
-            c = ratio / (1 + n * ratio)
-            a = (xx - c[:, None, None] * ss).sum(axis=0)
-            b = (xy - c[:, None] * sy).sum(axis=0)
-            inverse = np.linalg.pinv(a)
-            beta = inverse @ b
-            rss = max(float((yy - c * syy).sum() - beta @ b), 1e-12)
-            return -0.5 * (total * np.log(2 * np.pi * rss / total) + (subjects * np.log1p(n * ratio)).sum() + total), beta, inverse, rss / total
-
-        grid = [0.0, *np.exp(np.linspace(-9, 5, 57))]
-        best = max(range(len(grid)), key=lambda i: fit(grid[i])[0])
-        lo, hi = grid[max(best - 1, 0)], grid[min(best + 1, len(grid) - 1)]
-        for _ in range(60):
-            p, q = lo + 0.382 * (hi - lo), lo + 0.618 * (hi - lo)
-            lo, hi = (lo, q) if fit(p)[0] >= fit(q)[0] else (p, hi)
-        ratio = max((lo, hi, grid[best]), key=lambda r: fit(r)[0])
-        ll, beta, inverse, sigma2 = fit(ratio)
-        out = pd.DataFrame({"coefficient": names, "estimate": beta, "se": np.sqrt(np.maximum(np.diag(inverse) * sigma2, 0))})
-        for key in keys:
-            out[key] = pdf[key].iloc[0]
-        out["log_lik"], out["aic"], out["bic"] = ll, 2 * (k + 2) - 2 * ll, np.log(total) * (k + 2) - 2 * ll
-        out["subject_variance"], out["subjects"] = ratio * sigma2, int(subjects.sum())
-        return out[[*keys, "coefficient", "estimate", "se", "log_lik", "aic", "bic", "subject_variance", "subjects"]]
+        _, beta, cov, *_ = _best_fit(names, pdf)
+        out = []
+        for a, b in pairs:
+            gap = rows[a] - rows[b]
+            d, se = float(gap @ beta), float(np.sqrt(max(gap @ cov @ gap, 0.0)))
+            z = d / se if se > 0 else None
+            p = erfc(abs(z) / sqrt(2)) if z is not None else None
+            out.append((a, b, float(rows[a] @ beta), float(rows[b] @ beta), d, se, z, p, min(1.0, p * len(pairs)) if p is not None else None))
+        return pd.DataFrame(out, columns=["first", "second", "mean_first", "mean_second", "difference", "se", "z", "p", "p_bonferroni"])
+
+    return _solved(df, keys, subject, value, predictors, solve, "first string, second string, mean_first double, mean_second double, difference double, se double, z double, p double, p_bonferroni double")
 
+
+def sustained_significant(points: DataFrame, keys: Sequence[str], t: str, side: Column, alpha: float, least: int) -> DataFrame:
+    """(keys, onset, onset_fdr): the first of at least so many points in a row with p below alpha on the asked side, and with p_fdr below.
+
+    points has p and p_fdr, as false_discovery gives them. Keys without such points at p are left out.
+    """
+    first = lambda p, name: sustained(points, keys, (F.col(p) < alpha) & side, least, t).select(*keys, F.col("onset").alias(name))
+    return first("p", "onset").join(first("p_fdr", "onset_fdr"), list(keys), "left")
+
+
+def bayes_map(values: DataFrame, keys: Sequence[str], value: str, subjects: int, evidence: float) -> DataFrame:
+    """(keys, n, bf01, over): BF01 of each voxel's values against 0, null where a subject is missing; over keeps those above the evidence."""
+    t = one_sample_t(values, keys, F.col(value)).withColumn("t", F.when(F.col("n") == subjects, F.col("t")))
+    t = t.withColumn("bf01", F.try_divide(F.lit(1.0), bayes_factor_t("t", "n", "df")))
+    return t.select(*keys, "n", "bf01", F.when(F.col("bf01") > evidence, F.col("bf01")).alias("over"))
+
+
+def empirical_null_test(hits: DataFrame, nulls: DataFrame, keys: Sequence[str], k: str, n: str, accuracy: str) -> DataFrame:
+    """hits with bf10 and p against the accuracies of a null, of which there is a row each: see distributions.empirical_null_bf.
+
+    p is the share of null accuracies that reach k / n. Keys without null accuracies have nulls for both.
+    """
+    draws = nulls.where(F.col(accuracy).isNotNull()).select(*keys, F.col(accuracy).alias("_a"))
+    both = hits.join(draws, list(keys), "left").groupBy(*hits.columns)
+    sums = both.agg(F.count("_a").alias("_d"), (F.sum(F.col("_a") * F.col(n)) + 1e-9).alias("_h"), F.avg((F.col("_a") >= F.col(k) / F.col(n) - 1e-9).cast("int")).alias("p"))
+    return sums.select(*hits.columns, empirical_null_bf(k, n, "_h", "_d").alias("bf10"), "p")
+
+
+def _inversions(x: np.ndarray) -> int:
+    """Pairs in which the earlier value is greater, by merging sorted runs of doubling length."""
+    total, width, x = 0, 1, x.copy()
+    while width < len(x):
+        for at in range(0, len(x) - width, 2 * width):
+            left, right = x[at : at + width], x[at + width : at + 2 * width]
+            total += int((len(left) - np.searchsorted(left, right, side="right")).sum())
+            x[at : at + 2 * width] = np.sort(x[at : at + 2 * width], kind="stable")
+        width *= 2
+    return total
+
+
+def kendall_by_runs(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(keys, n, tau): tau-b of each group without a join of its pairs, n log n for a group of n.
+
+    Discordant pairs are the inversions of y in order of x and y; ties are counted from runs of equal values. Rows with a
+    null x or y take no part. A group meets in one task, as its rows are ordered; tau is null where x or y doesn't vary.
+    """
     kinds = dict(df.dtypes)
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in keys], "coefficient string, estimate double, se double, log_lik double, aic double, bic double, subject_variance double, subjects long"])
-    return sums_by_size(df, keys, subject, value, predictors).groupBy(*keys).applyInPandas(solve, schema)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["x_"].to_numpy(float), pdf["y_"].to_numpy(float)
+        n = len(a)
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        pairs = lambda sizes: int((sizes * (sizes - 1) // 2).sum())
+        ties_a, ties_b = (pairs(np.unique(v, return_counts=True)[1]) for v in (a, b))
+        both = pairs(np.unique(np.stack([a, b]), axis=1, return_counts=True)[1])
+        whole, down = n * (n - 1) // 2, _inversions(b)
+        up = whole - ties_a - ties_b + both - down
+        left = (whole - ties_a) * (whole - ties_b)
+        out = pd.DataFrame({"n": [n], "tau": [(up - down) / sqrt(left) if left else None]})
+        return out.assign(**{k: pdf[k].iloc[0] for k in keys})[[*keys, "n", "tau"]]
+
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).cast("double").alias("x_"), F.col(y).cast("double").alias("y_"))
+    by = list(keys) or [F.lit(0).alias("_all")]
+    return rows.groupBy(*by).applyInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "n long, tau double"]))

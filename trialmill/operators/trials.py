@@ -112,6 +112,20 @@ def align_in_order(a: DataFrame, b: DataFrame, keys: Sequence[str], order: Seque
     return numbered(a, "a").join(numbered(b, "b"), [*keys, "n"], "full_outer").withColumn("gap_difference", F.col("a_gap") - F.col("b_gap"))
 
 
+def with_responses(log: DataFrame, triggers: DataFrame, keys: Sequence[str], event: str, order: Sequence[str], t: str, trigger: str, response: Column) -> DataFrame:
+    """log with the trigger time of each event; a response has that of the last event before it that has one, plus the log's delay.
+
+    triggers has (event, trigger) of events that aren't responses. Responses before any such event, and events that are
+    missing among the triggers, have none.
+    """
+    rows = log.join(triggers.select(event, F.col(trigger).alias("_g")), event, "left").withColumn("_g", F.when(~response, F.col("_g")))
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    last = F.last(F.when(F.col("_g").isNotNull(), F.struct("_g", F.col(t).alias("_t"))), ignorenulls=True).over(w)
+    rows = rows.withColumn("_last", last)
+    at = F.when(response, F.col("_last._g") + (F.col(t) - F.col("_last._t"))).otherwise(F.col("_g"))
+    return rows.withColumn(trigger, at).select(*[c for c in log.columns if c != trigger], trigger)
+
+
 def within_subject_ci(df: DataFrame, subject: str, by: Sequence[str], value: str) -> DataFrame:
     """Cousineau: subjects' means taken out, the grand mean put back, then mean and 1.96 standard errors by condition; morey is the corrected SE."""
     w = Window.partitionBy(subject)

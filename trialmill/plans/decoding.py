@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decoding as ops
-from ..operators import stats
+from ..operators import clusters, isotonic, stats
 from .results import matrices
 from .standins import features, query, signal, table
 
@@ -63,21 +63,41 @@ def curves(s: SparkSession, d: str) -> DataFrame:
 
 _SUBJECTS = "(SELECT channel, epoch % 10 AS subject, t, avg(value) - 50 AS v FROM {sg} GROUP BY 1, 2, 3)"
 _SIGN = "CASE WHEN perm = 0 OR ('0x' || substr(md5(':' || perm || ':' || subject), 1, 1))::INT % 2 = 0 THEN 1 ELSE -1 END"
-_SCORES = f"(SELECT channel, t, perm, coalesce(avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0), 0) AS value FROM (SELECT *, v * {_SIGN} AS x FROM {_SUBJECTS}, (SELECT unnest(range({PERMS + 1})) AS perm)) GROUP BY 1, 2, 3)"
-_STRETCHES = f"(SELECT channel, perm, run, min(t) AS lo, max(t) AS hi, sum(value) AS mass FROM (SELECT *, sum(fresh) OVER (PARTITION BY channel, perm ORDER BY t) AS run FROM (SELECT *, CASE WHEN (value > 1.833) = lag(value > 1.833) OVER (PARTITION BY channel, perm ORDER BY t) THEN 0 ELSE 1 END AS fresh FROM {_SCORES})) WHERE value > 1.833 GROUP BY 1, 2, 3)"
+#: Perms of the group tests, and the t that 5 % of values leave outside on both sides at nine degrees of freedom.
+GROUP_PERMS, LIMIT = 1000, clusters.t_quantile(0.975, 9)
+_SCORES = f"(SELECT channel, t, perm, coalesce(avg(x) / nullif(stddev_samp(x) / sqrt(count(*)), 0), 0) AS value FROM (SELECT *, v * {_SIGN} AS x FROM {_SUBJECTS}, (SELECT unnest(range({GROUP_PERMS + 1})) AS perm)) GROUP BY 1, 2, 3)"
 
 
-@query("u32_group_cluster_test", f"SELECT channel, lo, hi, r(mass) AS mass, r(avg(CASE WHEN top >= mass - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT * FROM {_STRETCHES} WHERE perm = 0) a JOIN (SELECT channel, perm AS q, coalesce(max(mass), 0) AS top FROM (SELECT DISTINCT channel, perm FROM {_SCORES}) LEFT JOIN {_STRETCHES} USING (channel, perm) GROUP BY 1, 2) b USING (channel) GROUP BY channel, lo, hi, mass")
+def _clusters_sql(scores: str, limit: float) -> str:
+    """Stretches of either sign over scores (channel, t, perm, value), with the share of perms whose greatest mass reaches theirs."""
+    sides = f"(SELECT *, CASE WHEN value > {limit!r} THEN 1 WHEN value < -{limit!r} THEN -1 ELSE 0 END AS side FROM scores)"
+    runs = f"(SELECT *, sum(fresh) OVER (PARTITION BY channel, perm ORDER BY t) AS run FROM (SELECT *, CASE WHEN side = lag(side) OVER (PARTITION BY channel, perm ORDER BY t) THEN 0 ELSE 1 END AS fresh FROM {sides}))"
+    found = f"found AS MATERIALIZED (SELECT channel, perm, run, min(t) AS lo, max(t) AS hi, sum(value) AS mass FROM {runs} WHERE side <> 0 GROUP BY 1, 2, 3)"
+    tops = "tops AS (SELECT channel, perm, coalesce(max(abs(mass)), 0) AS top FROM (SELECT DISTINCT channel, perm FROM scores) LEFT JOIN found USING (channel, perm) GROUP BY 1, 2)"
+    return f"WITH scores AS MATERIALIZED {scores}, {found}, {tops} SELECT channel, lo, hi, r(mass) AS mass, r(avg(CASE WHEN top >= abs(mass) - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT * FROM found WHERE perm = 0) JOIN (SELECT channel, top FROM tops) USING (channel) GROUP BY channel, lo, hi, mass"
+
+
+@query("u32_group_cluster_test", _clusters_sql(_SCORES, LIMIT))
 def u32(s: SparkSession, d: str) -> DataFrame:
-    return ops.group_cluster_test(curves(s, d), ["channel"], "subject", "t", F.col("value"), 50.0, 1.833, PERMS)
+    rows = curves(s, d).withColumn("value", F.col("value") - 50)
+    return clusters.one_sample_clusters(rows, ["channel"], ["t"], "subject", "value", GROUP_PERMS, subjects=10).select("channel", "lo", "hi", "mass", "p")
+
+
+_FIRST = f"(SELECT perm, subject, CASE WHEN perm = 0 THEN subject < 5 ELSE row_number() OVER (PARTITION BY perm ORDER BY md5(perm || ':' || subject), CAST(subject AS VARCHAR)) <= 5 END AS one FROM (SELECT unnest(range({GROUP_PERMS + 1})) AS perm), (SELECT DISTINCT epoch % 10 AS subject FROM {{sg}}))"
+_WHOLE = "(SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY channel, t) AS n FROM curves) WHERE n = 10)"
+_TWO = f"(SELECT channel, t, perm, coalesce((m1 - m2) / nullif(sqrt((v1 * 4 + v2 * 4) / 8 * 0.4), 0), 0) AS value FROM (SELECT channel, t, perm, avg(v) FILTER (WHERE one) AS m1, avg(v) FILTER (WHERE NOT one) AS m2, var_samp(v) FILTER (WHERE one) AS v1, var_samp(v) FILTER (WHERE NOT one) AS v2 FROM {_WHOLE} JOIN sides USING (subject) GROUP BY 1, 2, 3))"
+
+
+@query("u32_two_group_cluster_test", _clusters_sql(_TWO, clusters.t_quantile(0.975, 8)).replace("WITH scores", f"WITH curves AS MATERIALIZED {_SUBJECTS}, sides AS MATERIALIZED {_FIRST}, scores", 1))
+def u32_two(s: SparkSession, d: str) -> DataFrame:
+    rows = curves(s, d).withColumns({"value": F.col("value") - 50, "side": F.when(F.col("subject") < 5, "one").otherwise("two")})
+    return clusters.two_sample_clusters(rows, ["channel"], ["t"], "subject", "side", "value", GROUP_PERMS, "one").select("channel", "lo", "hi", "mass", "p")
 
 
 @query("u8_u32_grid_cluster_test")
 def u32_grid(s: SparkSession, d: str) -> DataFrame:
     cells = signal(s, d).groupBy("channel", (F.col("epoch") % 10).alias("subject"), (F.floor(F.col("epoch") / 10)).cast("int").alias("row"), "t").agg((F.avg("value") - 50).alias("v"))
-    rows = stats.permutations(cells, 10).withColumn("x", F.col("v") * stats.sign_of(F.col("perm"), F.col("subject")))
-    scores = stats.one_sample_t(rows.withColumnRenamed("t", "at"), ["channel", "row", "at", "perm"], F.col("x"))
-    return ops.grid_cluster_test(scores.select("channel", "perm", "row", "at", F.coalesce("t", F.lit(0.0)).alias("value")), ["channel"], "row", "at", 1.5)
+    return clusters.one_sample_clusters(cells, ["channel"], ["row", "t"], "subject", "v", GROUP_PERMS, 1.5, tail=1, step_down=0.05)
 
 
 _CELLS = "(SELECT a.channel, a.t AS x, b.t AS y, avg(abs(a.value - b.value)) AS v FROM {sg} a JOIN {sg} b ON a.channel = b.channel AND a.epoch = b.epoch GROUP BY ALL)"
@@ -117,6 +137,17 @@ def u27(s: SparkSession, d: str) -> DataFrame:
     return fits.join(judged.groupBy("fold").agg(F.avg((F.col("probability") - F.col("quality")) ** 2).alias("brier")), "fold")
 
 
+_POINTS = "points AS MATERIALIZED (SELECT CAST(doc_id % 8 AS INT) AS fold, floor(ln(n_chars + 1) * 10) / 10 AS x, count(*) AS n, sum(quality) AS h FROM labels JOIN documents USING (doc_id) WHERE n_chars IS NOT NULL AND quality IS NOT NULL GROUP BY 1, 2)"
+_SPANS = "spans AS (SELECT a.fold, a.x AS lo, b.x AS hi, sum(p.h) / sum(p.n) AS mean FROM points a JOIN points b ON a.fold = b.fold AND a.x <= b.x JOIN points p ON p.fold = a.fold AND p.x BETWEEN a.x AND b.x GROUP BY ALL)"
+
+
+@query("u27_isotonic_calibration", f"WITH {_POINTS}, {_SPANS} SELECT fold, min(x) AS lo, max(x) AS hi, CAST(sum(n) AS BIGINT) AS n, r(any_value(fit)) AS value FROM (SELECT q.fold, q.x, q.n, round(max(least_mean), 9) AS fit FROM points q JOIN (SELECT s.fold, s.lo, e.x AS upto, min(s.mean) AS least_mean FROM spans s JOIN points e ON e.fold = s.fold AND s.lo <= e.x AND s.hi >= e.x GROUP BY ALL) m ON m.fold = q.fold AND m.upto = q.x GROUP BY ALL) GROUP BY fold, fit")
+def u27_isotonic(s: SparkSession, d: str) -> DataFrame:
+    score = F.floor(F.log(F.col("n_chars") + 1) * 10) / 10
+    rows = table(s, d, "labels").join(table(s, d, "documents").select("doc_id", "n_chars"), "doc_id").select((F.col("doc_id") % 8).cast("int").alias("fold"), score.alias("score"), "quality")
+    return isotonic.isotonic_fits(rows, "fold", "score", "quality")
+
+
 _TRIAL = f"(SELECT id, label, (f - 1) // 8 AS channel, (f - 1) % 8 AS t, v FROM {_LONG})"
 _COVS = f"SELECT a.label, a.id, CAST(a.channel AS INT) AS i, CAST(b.channel AS INT) AS j, covar_samp(a.v, b.v) AS cov FROM {_TRIAL} a JOIN {_TRIAL} b ON a.id = b.id AND a.t = b.t AND a.channel <= b.channel GROUP BY ALL"
 _FAR = "SELECT c.label, c.id, round(sqrt(sum(CASE WHEN i = j THEN 1 ELSE 2 END * (c.cov - m.cov) ** 2)), 9) AS d FROM covs c JOIN (SELECT label, i, j, avg(cov) AS cov FROM covs GROUP BY 1, 2, 3) m USING (label, i, j) GROUP BY 1, 2"

@@ -21,7 +21,7 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: st
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from . import behaviour, classifiers, decoding, gaze, maps, results, signals, similarity, stats  # noqa: F401
+    from . import behaviour, classifiers, decoding, gaze, inference, maps, results, signals, similarity, stats  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..operators import signals, stats as ops
+from ..operators import clusters, labels, signals, stats as ops
 from .standins import query, signal, trials
 
 PERMS = 1000
@@ -68,14 +68,21 @@ def d26(s: SparkSession, d: str) -> DataFrame:
 
 @query("u6_label_shuffle_null", f"SELECT channel, label, r(max(d) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN d >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN d END) OVER (PARTITION BY channel, label) AS o FROM {_DPR.replace('{x}', _SHUF)}) GROUP BY 1, 2")
 def u6(s: SparkSession, d: str) -> DataFrame:
-    rows = ops.shuffled_labels(epochs(s, d).withColumn("label", F.col("epoch") % 4), ["channel"], "epoch", "label", PERMS)
-    return ops.histogram_p(ops.category_d_prime(rows, ["channel", "perm"], "label", "value"), ["channel", "label"], "d", 1)
+    sums = shuffled(s, d)
+    return clusters.array_p(labels.d_prime_arrays(sums, ["channel"]), ["channel", "label"], "d", 1)
+
+
+def shuffled(s: SparkSession, d: str) -> DataFrame:
+    """Sums by label of the epochs' values under shuffled labels, a row for each channel and label."""
+    rows = epochs(s, d).withColumn("label", F.col("epoch") % 4)
+    return labels.label_sums(labels.with_label_arrays(rows, ["channel"], "epoch", "label", PERMS), ["channel"], "epoch", "labels", "value")
 
 
 @query("u7_histogram_p_two_sided", f"SELECT channel, r(max(m) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN abs(m) >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN abs(m) END) OVER (PARTITION BY channel) AS o FROM (SELECT channel, perm, avg(diff * {_MD.replace('{k}', 'epoch')}) AS m FROM {_EP}, {_P} GROUP BY 1, 2)) GROUP BY 1")
 def u7(s: SparkSession, d: str) -> DataFrame:
-    sums = ops.flipped_sums(epochs(s, d), ["channel"], "epoch", "diff", PERMS)
-    return ops.histogram_p(sums.select("channel", "perm", F.try_divide("s", "n").alias("m")), ["channel"], "m")
+    sums = clusters.permuted_sums(epochs(s, d), ["channel"], "epoch", "diff", clusters.signs(PERMS), PERMS + 1)
+    means = sums.select("channel", F.transform("s", lambda x: F.coalesce(F.try_divide(x, F.col("n")), F.lit(float("nan")))).alias("m"))
+    return clusters.array_p(means, ["channel"], "m")
 
 
 _TT = f"(SELECT channel, t, perm, coalesce(avg(x) / nullif(stddev_samp(x) / sqrt(count(x)), 0), 0) AS value FROM (SELECT channel, t, perm, (value - 50) * {_MD.replace('{k}', 'epoch')} AS x FROM {{sg}}, {_P}) GROUP BY 1, 2, 3)"
@@ -84,12 +91,8 @@ _CL = f"(SELECT channel, perm, run, min(t) AS lo, max(t) AS hi, sum(value) AS ma
 
 @query("u8_cluster_test", f"SELECT channel, lo, hi, r(mass) AS mass, r(avg(CASE WHEN top >= mass - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT * FROM {_CL} WHERE perm = 0) a JOIN (SELECT channel, perm AS q, coalesce(max(mass), 0) AS top FROM (SELECT DISTINCT channel, perm FROM {_TT}) LEFT JOIN {_CL} USING (channel, perm) GROUP BY 1, 2) b USING (channel) GROUP BY channel, lo, hi, mass")
 def u8(s: SparkSession, d: str) -> DataFrame:
-    return ops.cluster_test(scores(s, d), ["channel"], 0.5)
-
-
-def scores(s: SparkSession, d: str) -> DataFrame:
     rows = signal(s, d).select("channel", "epoch", F.col("t").alias("at"), (F.col("value") - 50).alias("x"))
-    return ops.flipped_t(rows, ["channel", "at"], "epoch", "x", PERMS).select("channel", F.col("at").alias("t"), "perm", F.coalesce("t", F.lit(0.0)).alias("value"))
+    return clusters.one_sample_clusters(rows, ["channel"], ["at"], "epoch", "x", PERMS, 0.5, tail=1).select("channel", "lo", "hi", "mass", "p")
 
 
 @query("u8_grid_clusters")
@@ -146,9 +149,8 @@ def u15b(s: SparkSession, d: str) -> DataFrame:
 
 @query("u16_theory_difference_shuffles", f"SELECT channel, r(max(z) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN z >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN z END) OVER (PARTITION BY channel) AS o FROM (SELECT channel, perm, corr(value, CASE WHEN label < 2 THEN 1.0 ELSE 0 END) - corr(value, CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0 END) AS z FROM {_SHUF} GROUP BY 1, 2)) GROUP BY 1")
 def u16(s: SparkSession, d: str) -> DataFrame:
-    rows = ops.shuffled_labels(epochs(s, d).withColumn("label", F.col("epoch") % 4), ["channel"], "epoch", "label", PERMS)
-    z = F.corr("value", F.when(F.col("label") < 2, 1.0).otherwise(0.0)) - F.corr("value", F.when(F.col("label") % 2 == 0, 1.0).otherwise(0.0))
-    return ops.histogram_p(rows.groupBy("channel", "perm").agg(z.alias("z")), ["channel"], "z", 1)
+    theories = {0: (1.0, 1.0), 1: (1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, 0.0)}
+    return clusters.array_p(labels.correlation_difference(shuffled(s, d), ["channel"], theories), ["channel"], "z", 1)
 
 
 _PV = "(SELECT channel, t, 1 / (1 + abs(avg(value - 50))) AS p FROM {sg} GROUP BY 1, 2)"
