@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Iterator
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -64,7 +64,7 @@ class Encoders:
         self.bytes_b = [self._piece(i) for i in range(self.pieces.get_piece_size())]
         if len(self.bytes_a) > 1 << 16 or len(self.bytes_b) > 1 << BITS:
             raise ValueError(f"the tokenizers have more than {1 << 16} and {1 << BITS} ids")
-        self.size_a, self.size_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.spelt_a, self.spelt_b = Spelling(self.bytes_a), Spelling(self.bytes_b)
 
     @cached_property
     def plain(self):
@@ -83,17 +83,52 @@ class Encoders:
             return bytes([int(self.pieces.id_to_piece(i)[3:5], 16)])
         return self.pieces.id_to_piece(i).replace("▁", " ").encode()
 
-    def first(self, text: str) -> list[int]:
+    def first(self, text: str) -> list[int] | np.ndarray:
         if _long_space(text):
             return self.plain.encode(text, add_special_tokens=False).ids
-        return self.fast.encode_ordinary(text)
-
-    def both(self, text: str) -> tuple[list[int], list[int]] | None:
-        """Ids of the two sides; None where their bytes aren't those of a space and the text."""
-        spaced = " " + text
-        a, b, want = self.first(spaced), self.pieces.encode(text, num_threads=1), spaced.encode()
-        same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-        return (a, b) if same else None
+        return self.fast.encode_to_numpy(text, disallowed_special=())
+
+    def aligned(self, texts: list[str]) -> tuple[list[int], list[list[bytes]]]:
+        """The numbers of the texts whose tokens give a space and the text back on both sides, and their LISTS."""
+        spaced = [" " + x for x in texts]
+        data = [x.encode() for x in spaced]
+        rows = np.arange(len(texts))
+        a = [np.asarray(self.first(x), np.int64) for x in spaced]
+        b = [np.array(x, np.int64) for x in self.pieces.encode(texts, num_threads=1)]
+        for spelt, sides in ((self.spelt_a, a), (self.spelt_b, b)):
+            rows = spelt.same(rows, sides, data)
+        a, b = [a[r] for r in rows], [b[r] for r in rows]
+        # places where tokens end, over the bytes of all texts one after the other
+        ends_a, ends_b = (np.cumsum(s.size[np.concatenate([np.zeros(0, np.int64), *x])]) for s, x in ((self.spelt_a, a), (self.spelt_b, b)))
+        last = []
+        for one, other in ((ends_a, ends_b), (ends_b, ends_a)):
+            marked = np.zeros(int(other[-1]) + 1 if len(other) else 1, bool)
+            marked[other] = True
+            last.append(marked[one])
+        flags = [np.split(f, np.cumsum([len(v) for v in x])[:-1]) if x else [] for f, x in zip(last, (a, b))]
+        ids = [[v.astype("<u2").tobytes() for v in x] for x in (a, b)]
+        return rows.tolist(), [*ids, *([np.packbits(f).tobytes() for f in x] for x in flags)]
+
+
+class Spelling:
+    """The bytes of a vocabulary's tokens, one after the other."""
+
+    def __init__(self, tokens: list[bytes]) -> None:
+        self.size = np.array([len(x) for x in tokens], np.int64)
+        self.start, self.flat = np.cumsum(self.size) - self.size, np.frombuffer(b"".join(tokens), np.uint8)
+
+    def same(self, rows: np.ndarray, ids: list[np.ndarray], data: list[bytes]) -> np.ndarray:
+        """Those of some rows whose ids spell their data."""
+        lengths = np.array([len(data[r]) for r in rows], np.int64)
+        sizes = np.array([self.size[ids[r]].sum() for r in rows], np.int64)
+        rows, lengths = rows[sizes == lengths], lengths[sizes == lengths]
+        if not len(rows):
+            return rows
+        flat = np.concatenate([ids[r] for r in rows])
+        n = self.size[flat]
+        spelt = self.flat[np.arange(int(n.sum())) + np.repeat(self.start[flat] - (np.cumsum(n) - n), n)]
+        wrong = spelt != np.frombuffer(b"".join(data[r] for r in rows), np.uint8)
+        return rows[np.add.reduceat(wrong, np.cumsum(lengths) - lengths) == 0]
 
 
 def byte_letters() -> dict[str, int]:
@@ -118,11 +153,6 @@ def encoders(path_a: str, path_b: str, pattern: str) -> Encoders:
     return _loaded[path_a, path_b, pattern]
 
 
-def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token of A and of B whether a group ends with it; byte ends ascend, and the last are equal."""
-    return np.isin(ends_a, ends_b, assume_unique=True), np.isin(ends_b, ends_a, assume_unique=True)
-
-
 def align_distinct(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> DataFrame:
     """(key, copies, ids_a, ids_b, ends_a, ends_b): each distinct text that has tokens on both sides, aligned once.
 
@@ -136,15 +166,9 @@ def align_distinct(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> D
         both = encoders(path_a, path_b, pattern)
         for b in batches:
             for i, j in slices(text_buffer(b.column(0))[0], 2 * SLICE_BYTES):
-                rows, parts = [], []
-                for k, text in enumerate(b.column(0).slice(i, j - i).to_pylist()):
-                    if ids := both.both(text):
-                        x, y = (np.array(z, "<u2") for z in ids)
-                        rows.append(i + k)
-                        ends = group_ends(np.cumsum(both.size_a[x]), np.cumsum(both.size_b[y]))
-                        parts.append((x.tobytes(), y.tobytes(), *(np.packbits(e).tobytes() for e in ends)))
+                rows, lists = both.aligned(b.column(0).slice(i, j - i).to_pylist())
                 at = pa.array(rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([b.column(1).take(at), b.column(2).take(at), *(pa.array([p[n] for p in parts], pa.binary()) for n in range(4))], names=["key", "copies", *LISTS])
+                yield pa.RecordBatch.from_arrays([*(b.column(n).slice(i, j - i).take(at) for n in (1, 2)), *(pa.array(x, pa.binary()) for x in lists)], names=["key", "copies", *LISTS])
 
     texts = docs.select(F.col("text").cast("string").alias("text")).where("text != ''").groupBy("text").agg(F.count(F.lit(1)).alias("copies"))
     return texts.select("text", F.unhex(F.sha2("text", 256)).alias("key"), "copies").mapInArrow(run, schema)
@@ -263,9 +287,12 @@ def measures(aligned: DataFrame, counts: DataFrame, frequent: int = FREQUENT, ex
     schema = "key binary, copies long, " + ", ".join(f"{c} long" for c in _MEASURES) + (f", {extra[0]} string" if extra else "")
 
     def look_up(links: Links) -> tuple[np.ndarray, np.ndarray]:
+        """Where each link's pair is among the known ones, and whether it is there."""
         pairs = known.value[0]
-        at = np.minimum(np.searchsorted(pairs, links.pair), max(len(pairs) - 1, 0))
-        return at, pairs[at] == links.pair if len(pairs) else np.zeros(len(at), bool)
+        own, back = np.unique(links.pair, return_inverse=True)  # sorted: the search walks through the known pairs once
+        at = np.minimum(np.searchsorted(pairs, own), max(len(pairs) - 1, 0))
+        hit = pairs[at] == own if len(pairs) else np.zeros(len(own), bool)
+        return at[back], hit[back]
 
     def by_row(rows: int, row: np.ndarray, values: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(values)])  # rows ascend
@@ -314,21 +341,21 @@ def to_documents(docs: DataFrame, measured: DataFrame) -> DataFrame:
 
 def group_digests(ids_a: pa.Array, ids_b: pa.Array, ends_a: pa.Array, ends_b: pa.Array) -> list[str]:
     """The sha256 of each text's groups, written as `a1,a2|b1;a3|b2,b3`."""
-    out, names = [], {}
-    (at_a, all_a, last_a), (at_b, all_b, last_b) = _side(ids_a, ends_a), _side(ids_b, ends_b)
-    for k in range(len(ids_a)):
-        a, c, end_a, end_b = (x[at[k] : at[k + 1]] for x, at in ((all_a, at_a), (all_b, at_b), (last_a, at_a), (last_b, at_b)))
-        na, nb = (np.diff(np.flatnonzero(x), prepend=-1) for x in (end_a, end_b))
-        # tokens of A and B in the order of the text, each with the sign that follows it
-        place_a = np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)
-        place_b = np.arange(len(c)) + np.repeat(np.cumsum(na), nb)
-        code = np.zeros(len(a) + len(c), np.int64)
-        code[place_a], code[place_b] = a * 3 + end_a, c * 3 + 2 * end_b
-        known = code.tolist()
-        for x in set(known).difference(names):
-            names[x] = f"{x // 3}{',|;'[x % 3]}"
-        out.append(hashlib.sha256("".join(map(names.__getitem__, known))[:-1].encode()).hexdigest())
-    return out
+    (at_a, a, last_a), (at_b, b, last_b) = _side(ids_a, ends_a), _side(ids_b, ends_b)
+    na, nb = (np.diff(np.flatnonzero(x), prepend=-1) for x in (last_a, last_b))
+    # tokens of A and B in the order of the texts, each with the sign that follows it
+    code = np.zeros(len(a) + len(b), np.int64)
+    code[np.arange(len(a)) + np.repeat(np.cumsum(nb) - nb, na)] = a * 3 + last_a
+    code[np.arange(len(b)) + np.repeat(np.cumsum(na), nb)] = b * 3 + 2 * last_b
+    parts, ends = _signed_ids(), (at_a + at_b).tolist()
+    known = code.tolist()
+    return [hashlib.sha256("".join(map(parts.__getitem__, known[i:j]))[:-1].encode()).hexdigest() for i, j in zip(ends, ends[1:])]
+
+
+@cache
+def _signed_ids() -> list[str]:
+    """Each 16-bit id with each of the signs that follow one."""
+    return [f"{i}{c}" for i in range(1 << 16) for c in ",|;"]
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, pattern: str) -> tuple[DataFrame, DataFrame]:
