@@ -22,11 +22,15 @@ from pyspark.sql import functions as F
 from .boosting import BoostedTrees
 from .common import SLICE_BYTES, slices, text_buffer
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>?", re.S)
-#: A tag whose quotes don't pair up, which ends at its first bracket.
-_PLAIN_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|<[!?/][^>]*>?", re.S)
+#: Attributes: a quote opens a value only after the sign, and one that never closes belongs to a value without quotes.
+_NAME, _VALUE = r"(?:=[^\s/>=]*+|[^\s/>=]++)", r"(?:\"[^\"]*\"|'[^']*'|[^\s>]*+)"
+_COMMENT = r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+_TAG = re.compile(rf"{_COMMENT}|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_NAME}(?:\s*+=\s*+{_VALUE})?+)*+)>|<[!?/][^>]*>?", re.S)
+#: A tag that would hold all the rest of the page ends at its first bracket.
+_PLAIN_TAG = re.compile(rf"{_COMMENT}|<(/?)([A-Za-z][^\s/>]*+)([^>]*)>|<[!?/][^>]*>?", re.S)
 _OPEN = re.compile(r"<(?:/?[A-Za-z]|[!?/])")
-_ATTR = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_ATTR = re.compile(rf"[\s/]*+({_NAME})(?:\s*+=\s*+({_VALUE}))?+")
+_MARKS = {"class", "id", "role"}
 _TOKEN = re.compile(r"[a-z]+")
 _RAW = {k: re.compile(rf"</{k}\b[^>]*>?", re.I) for k in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "select", "canvas")}
 BLOCKS = set(
@@ -64,7 +68,7 @@ class Page:
             if first and (first.start() <= last or source[first.end() - 1] in "!?/"):
                 m = _TAG.match(source, first.start()) if paired else None
                 if m is None:
-                    # a quote that is open till the page's end: from here on tags end at their first bracket
+                    # the page ends within this tag: from here on tags end at their first bracket
                     paired, m = False, _PLAIN_TAG.match(source, first.start())
             piece = source[at : m.start()] if m else source[at:]
             if piece:
@@ -102,7 +106,7 @@ class Page:
                         if name == "body" or (self.tag[stack[-1]] == "head" and name not in ("head", "hr")):
                             while len(stack) > 1 and self.tag[stack[-1]] == "head":
                                 stack.pop()
-                        tokens = {t for x in _ATTR.findall(m[3]) for t in _TOKEN.findall("".join(x).lower())} if m[3] else ()
+                        tokens = {t for k, v in _ATTR.findall(m[3]) if k.lower() in _MARKS for t in _TOKEN.findall(v.lower())} if m[3] else ()
                         stack.append(self._add(name, stack[-1], sum(t in GOOD for t in tokens), sum(t in BAD for t in tokens), "", 0))
         flush()
 
