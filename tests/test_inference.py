@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from trialmill.functions import distributions as dist
-from trialmill.operators import clusters, labels, results, stats, trials
+from trialmill.operators import clusters, decoding, labels, results, stats, trials
 
 RNG = np.random.default_rng(9)
 INF = math.inf
@@ -142,7 +142,7 @@ def test_label_arrays_are_the_shuffled_rows(spark, group):
     shuffled = stats.shuffled_labels(df, ["g"], "id", "label", perms)
     plain = {(r.g, r.perm, r.label): r.d for r in stats.category_d_prime(shuffled, ["g", "perm"], "label", "v").collect()}
     for r in labels.d_prime_arrays(sums, ["g"]).collect():
-        assert all((plain[r.g, p, r.label] is None and math.isnan(d)) or d == pytest.approx(plain[r.g, p, r.label]) for p, d in enumerate(r.d))
+        assert all((plain[r.g, p, r.label] is None and (d is None or math.isnan(d))) or d == pytest.approx(plain[r.g, p, r.label]) for p, d in enumerate(r.d))
     z = F.corr("v", F.when(F.col("label") == 0, 1.0).otherwise(0.0)) - F.corr("v", F.when(F.col("label") == 1, 1.0).otherwise(0.0))
     plain = {(r.g, r.perm): r.z for r in shuffled.where("g <> 'c'").groupBy("g", "perm").agg(z.alias("z")).collect()}
     for r in labels.correlation_difference(sums, ["g"], {0: (1.0, 0.0), 1: (0.0, 1.0), 2: (0.0, 0.0)}).where("g <> 'c'").collect():
@@ -190,3 +190,16 @@ def test_sustained_significance(spark):
     rows = spark.createDataFrame([("a", t, v, min(1.0, v * 8), 1.0) for t, v in enumerate(p)] + [("b", t, 0.001, 0.001, -1.0) for t in range(3)] + [("c", 0, None, None, 1.0)], "c string, t int, p double, p_fdr double, side double")
     got = {r.c: (r.onset, r.onset_fdr) for r in stats.sustained_significant(rows, ["c"], "t", F.col("side") > 0, 0.05, 2).collect()}
     assert got == {"a": (3, 5)}
+
+
+def test_permuted_centroids_equal_repeated_rows(spark):
+    x = RNG.normal(size=(30, 3)) + (np.arange(30) % 2)[:, None]
+    x[7] = x[9]
+    rows = [(k, "ab"[k % 2], k % 3, [float(v) for v in x[k]]) for k in range(30)]
+    items = spark.createDataFrame([*rows, (90, None, 0, [1.0] * 3), (91, "a", 0, None), (92, "a", 1, [1.0, None, 1.0])], "id int, label string, run int, x array<double>")
+    got = labels.permuted_centroids(items, ["run"], "run", 15).first()
+    kept = items.where("id < 90")
+    long = kept.select("id", "label", "run", F.posexplode("x").alias("f", "v"))
+    want = {r.perm: r.accuracy for r in decoding.permuted(kept, long, ["run"], "run", 15).collect()}
+    assert got.n == 30 and got.accuracy == pytest.approx([want[p] for p in range(16)])
+    assert labels.permuted_centroids(items.limit(0), ["run"], "run", 15).count() == 0

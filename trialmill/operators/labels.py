@@ -131,3 +131,73 @@ def correlation_difference(sums: DataFrame, keys: Sequence[str], theories: Mappi
         return pd.DataFrame({"z": [rho[0] - rho[1]]})
 
     return _by_group(sums, keys, make, "z array<double>")
+
+
+def permuted_centroids(items: DataFrame, within: Sequence[str], fold: str, count: int, key: str = "id", label: str = "label", x: str = "x", most: int = 1 << 28) -> DataFrame:
+    """(n, accuracy): accuracy of nearest centroids with one fold left out, an array over perms of labels shuffled within groups.
+
+    An item is one row with its labels of all perms. Sums of vectors by fold, label and perm are products with the labels'
+    indicators; the centroids of all folds and perms, folds x labels x perms x d numbers (more than `most` bytes are an
+    error), are broadcast, and tasks count the hits of their items. Distances are compared to 9 digits, ties go to the
+    smaller label. Items without a label or a vector, and vectors with null components, take no part.
+    """
+    there = F.col(label).isNotNull() & F.col(x).isNotNull() & ~F.exists(F.col(x), lambda v: v.isNull())
+    rows = items.where(there).select(*dict.fromkeys([*within, key, label, fold]), F.col(x).cast("array<double>").alias("x_"))
+    rows = with_label_arrays(rows, within, key, label, count).select(F.col(fold).alias("fold_"), F.col("labels").alias("l_"), "x_")
+    kinds = dict(rows.dtypes)
+    element = kinds["l_"].removeprefix("array<").removesuffix(">")
+    schema = f"fold_ {kinds['fold_']}, label {element}, part int, n array<double>, s array<double>"
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        part, held = TaskContext.get().partitionId() % 32, {}
+        for whole in batches:
+            for f, pdf in whole.groupby("fold_", dropna=False):
+                for at in range(0, len(pdf), _STEP):
+                    v, own = (np.stack(pdf[c].iloc[at : at + _STEP].to_list()) for c in ("x_", "l_"))
+                    for c in np.unique(own):
+                        on = (own == c).astype(float)
+                        n, s = held.get((f, c), (0.0, 0.0))
+                        held[f, c] = n + on.sum(axis=0), s + on.T @ v
+        yield pd.DataFrame([(*k, part, n, s.ravel()) for k, (n, s) in held.items()], columns=["fold_", "label", "part", "n", "s"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[:1].copy()
+        one["n"], one["s"] = [np.sum(pdf["n"].to_list(), axis=0)], [np.sum(pdf["s"].to_list(), axis=0)]
+        return one
+
+    found = rows.mapInPandas(sums, schema).groupBy("fold_", "label", "part").applyInPandas(merge, schema).groupBy("fold_", "label").applyInPandas(merge, schema)
+    size = found.agg(F.sum(8 * F.size("s"))).first()[0] or 0
+    if size > most:
+        raise ValueError(f"centroids of all folds and perms take {size} bytes")
+    table = found.toPandas()
+    known = np.sort(table["label"].unique()) if len(table) else np.zeros(0)
+    folds, perms = list(table["fold_"].unique()), count + 1
+    d = len(table["s"].iloc[0]) // perms if len(table) else 0
+    n, s = np.zeros((len(folds), len(known), perms)), np.zeros((len(folds), len(known), perms, d))
+    for f, c, own_n, own_s in zip(table["fold_"], table["label"], table["n"], table["s"]):
+        at = folds.index(f), int(np.searchsorted(known, c))
+        n[at], s[at] = own_n, np.asarray(own_s).reshape(perms, d)
+    n, s = n.sum(axis=0) - n, s.sum(axis=0) - s
+    centres = items.sparkSession.sparkContext.broadcast((folds, known, n > 0, s / np.maximum(n, 1)[..., None]))
+
+    def hits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        folds, known, there, mean = centres.value
+        total, right = 0, np.zeros(perms, np.int64)
+        for whole in batches:
+            for f, pdf in whole.groupby("fold_", dropna=False):
+                at = folds.index(f)
+                square = np.where(there[at], (mean[at] ** 2).sum(axis=2), np.inf)
+                for i in range(0, len(pdf), 64):
+                    v, own = (np.stack(pdf[c].iloc[i : i + 64].to_list()) for c in ("x_", "l_"))
+                    far = np.round((v * v).sum(axis=1)[:, None, None] + square - 2 * np.einsum("id,lpd->ilp", v, mean[at], optimize=True), 9)
+                    judged = there[at].any(axis=0)
+                    right += ((known[far.argmin(axis=1)] == own) & judged).sum(axis=0)
+                    total += len(v)
+        yield pd.DataFrame({"n": [total], "right": [right]})
+
+    parts = rows.mapInPandas(hits, "n long, right array<long>").where("n > 0")
+    each = parts.select("n", F.posexplode("right").alias("perm", "right")).groupBy("perm").agg(F.sum("n").alias("n"), (F.sum("right") / F.sum("n")).alias("accuracy"))  # a row for each task and perm
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("perm", "accuracy"))), lambda v: v["accuracy"])
+    return each.agg(F.max("n").alias("n"), ordered.alias("accuracy")).where("n IS NOT NULL")

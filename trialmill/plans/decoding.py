@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decoding as ops
-from ..operators import clusters, isotonic, stats
+from ..operators import clusters, isotonic, labels, stats
 from .results import matrices
 from .standins import features, query, signal, table
 
@@ -52,9 +52,7 @@ _PERMUTED = f"(SELECT p.perm, l.id, p.label, l.run, l.v, l.f FROM {_LONG} l JOIN
 
 @query("u30_permuted_decoding", f"SELECT r(max(accuracy) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN accuracy >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN accuracy END) OVER () AS o FROM (SELECT perm, sum(accuracy * n) / sum(n) AS accuracy FROM {_folds_sql(_PERMUTED, 'perm')} GROUP BY 1))")
 def u30(s: SparkSession, d: str) -> DataFrame:
-    accuracy = ops.permuted(features(s, d), long(s, d), ["run"], "run", PERMS)
-    # one row for each perm
-    return stats.histogram_p(accuracy.withColumn("problem", F.lit("label")), ["problem"], "accuracy", 1).drop("problem")
+    return clusters.array_p(labels.permuted_centroids(features(s, d), ["run"], "run", PERMS), [], "accuracy", 1)
 
 
 def curves(s: SparkSession, d: str) -> DataFrame:
