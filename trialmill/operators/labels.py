@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Mapping, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,22 @@ GROUP = 1 << 14
 _STEP = 256
 
 
+@lru_cache(1 << 12)
+def _digests(name: str, first: int, last: int) -> np.ndarray:
+    """The leading 64 bits of md5(perm:name) of some perms; ids recur in many groups."""
+    return np.frombuffer(b"".join(hashlib.md5(f"{perm}:{name}".encode()).digest()[:8] for perm in range(first, last)), ">u8").astype(np.uint64)
+
+
+def _places(names: list[str], first: int, last: int) -> np.ndarray:
+    """For each of some perms (columns) the order of names by md5(perm:name)."""
+    lead = np.stack([_digests(n, first, last) for n in names])
+    order = np.argsort(lead, axis=0, kind="stable")
+    found = np.take_along_axis(lead, order, axis=0)
+    for k in np.flatnonzero((found[1:] == found[:-1]).any(axis=0)).tolist():  # equal leads are told apart by all digits
+        order[:, k] = sorted(range(len(names)), key=lambda i: hashlib.md5(f"{first + k}:{names[i]}".encode()).digest())
+    return order
+
+
 def with_label_arrays(df: DataFrame, within: Sequence[str], key: str, label: str, count: int, group: int = GROUP) -> DataFrame:
     """df with labels: its label under each perm, the observed one first, from the labels of its group.
 
@@ -32,11 +49,13 @@ def with_label_arrays(df: DataFrame, within: Sequence[str], key: str, label: str
         names = pdf["key_"].astype(str)
         pdf = pdf.assign(_o=names.str.rjust(20, "0").str.slice(0, 20)).sort_values("_o")
         labels, names = pdf["label_"].to_numpy(), pdf["key_"].astype(str).to_list()
-        out = np.empty((count + 1, len(pdf)), labels.dtype)
-        out[0] = labels
-        for perm in range(1, count + 1):
-            out[perm] = labels[np.argsort([hashlib.md5(f"{perm}:{n}".encode()).digest() for n in names])]
-        return pdf[[*within, "key_"]].assign(labels=list(out.T))
+        out = np.empty((len(pdf), count + 1), labels.dtype)
+        out[:, 0] = labels
+        step = max(1, (1 << 20) // len(names))
+        for at in range(1, count + 1, step):
+            perms = slice(at, min(at + step, count + 1))
+            out[:, perms] = labels[_places(names, perms.start, perms.stop)]
+        return pdf[[*within, "key_"]].assign(labels=list(out))
 
     by = list(within) or [F.lit(0).alias("_all")]
     sizes = rows.groupBy(*within).agg(F.count(F.lit(1)).alias("n_"))
@@ -54,21 +73,34 @@ def label_sums(df: DataFrame, keys: Sequence[str], key: str, labels: str, value:
     """
     kinds = dict(df.dtypes)
     element = kinds[labels].removeprefix("array<").removesuffix(">")
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"label {element}, n array<long>, s array<double>, q array<double>"])
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"label {element}, n array<long>, s array<double>, q array<double>, edge_ boolean"])
+    columns = [*keys, "label", "n", "s", "q", "edge_"]
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name, held, first, out = None, {}, True, []  # the group that may go on in the next rows
+
+        def send(edge: bool) -> None:
+            out.extend((*name, c, *sums, edge) for c, sums in held.items())
+
         for whole in batches:
-            out: dict[tuple, list[np.ndarray]] = {}
-            groups = whole.groupby(list(keys), sort=False, dropna=False) if keys else [((), whole)]
-            for name, pdf in groups:
+            for own_name, pdf in whole.groupby(list(keys), sort=False, dropna=False) if keys else [((), whole)]:
+                # null keys are NaN, of which none equals another
+                if name is not None and not all(a == b or (a != a and b != b) for a, b in zip(name, own_name)):
+                    send(first)
+                    held, first = {}, False
+                name = own_name
                 for at in range(0, len(pdf), _STEP):
                     x, own = pdf["x_"].to_numpy(float)[at : at + _STEP], np.stack(pdf["l_"].iloc[at : at + _STEP].to_list())
                     for c in np.unique(own):
                         on = (own == c).astype(float)
                         sums = [on.sum(axis=0).astype(np.int64), x @ on, (x * x) @ on]
-                        before = out.setdefault((*name, c), [0, 0.0, 0.0])
-                        out[(*name, c)] = [a + b for a, b in zip(before, sums)]
-            yield pd.DataFrame([(*k, *v) for k, v in out.items()], columns=[*keys, "label", "n", "s", "q"])
+                        held[c] = [a + b for a, b in zip(held[c], sums)] if c in held else sums
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+                out.clear()
+        if name is not None:
+            send(True)
+            yield pd.DataFrame(out, columns=columns)
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[:1].copy()
@@ -78,7 +110,9 @@ def label_sums(df: DataFrame, keys: Sequence[str], key: str, labels: str, value:
 
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(key).alias("key_"), F.col(labels).alias("l_"), F.col(value).cast("double").alias("x_"))
     rows = rows.repartitionByRange(*keys, "key_").sortWithinPartitions(*keys, "key_").drop("key_")
-    return rows.mapInPandas(each, schema).groupBy(*keys, "label").applyInPandas(merge, schema)
+    parts = rows.mapInPandas(each, schema)
+    edges = parts.where("edge_").groupBy(*keys, "label").applyInPandas(merge, schema)  # groups at a task's ends only
+    return parts.where("not edge_").unionByName(edges).drop("edge_")
 
 
 def _by_group(sums: DataFrame, keys: Sequence[str], make, schema: str) -> DataFrame:
