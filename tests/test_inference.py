@@ -203,3 +203,18 @@ def test_permuted_centroids_equal_repeated_rows(spark):
     want = {r.perm: r.accuracy for r in decoding.permuted(kept, long, ["run"], "run", 15).collect()}
     assert got.n == 30 and got.accuracy == pytest.approx([want[p] for p in range(16)])
     assert labels.permuted_centroids(items.limit(0), ["run"], "run", 15).count() == 0
+
+
+def test_theories_by_rank_correlation(spark):
+    v = RNG.integers(0, 6, (4, 5, 5)).astype(float)
+    cells = spark.createDataFrame([(k, x, y, float(v[k, x, y])) for k in range(4) for x in range(5) for y in range(5)], "subject int, x int, y int, v double")
+    p = np.zeros((5, 5))
+    p[1:3, 1:3] = 1
+    predicted = spark.createDataFrame([("a", x, y, float(p[x, y])) for x in range(5) for y in range(5)], "theory string, x int, y int, predicted double")
+    tau = []
+    for k in range(4):
+        a, b = np.sign(np.subtract.outer(v[k].ravel(), v[k].ravel())), np.sign(np.subtract.outer(p.ravel(), p.ravel()))
+        tau.append((a * b).sum() / math.sqrt(abs(a).sum() * abs(b).sum()))
+    got = decoding.theory_rank_correlation(cells, predicted, "subject").first()
+    assert got.n == 4 and got["mean"] == pytest.approx(np.mean(tau)) and got.t == pytest.approx(np.mean(tau) / np.std(tau, ddof=1) * 2)
+    assert decoding.theory_rank_correlation(cells.limit(0), predicted, "subject").count() == 0

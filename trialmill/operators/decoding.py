@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .stats import grid_clusters, one_sample_t, shuffled_labels
+from .stats import grid_clusters, kendall_by_runs, one_sample_t, shuffled_labels
 
 
 def _nearest(long: DataFrame, centres: DataFrame, on: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -107,6 +107,15 @@ def theory_correlation(cells: DataFrame, predicted: DataFrame, subject: str, x:
     return one_sample_t(each, ["theory"], F.col("rho"))
 
 
+def theory_rank_correlation(cells: DataFrame, predicted: DataFrame, subject: str, x: str = "x", y: str = "y", value: str = "v") -> DataFrame:
+    """(theory, mean, sd, n, t, df): as theory_correlation, by Kendall's tau-b of each subject's matrix with the predicted one.
+
+    A subject's cells of one theory meet in one task, in order, without a join of their pairs.
+    """
+    each = kendall_by_runs(cells.join(predicted, [x, y]), ["theory", subject], value, "predicted")
+    return one_sample_t(each, ["theory"], F.col("tau"))
+
+
 def smoothed(signal: DataFrame, keys: Sequence[str], t: str, value: str, width: int = 5) -> DataFrame:
     """value as the mean of the points around it, fewer at the ends, as decoding problems begin."""
     w = Window.partitionBy(*keys).orderBy(t).rowsBetween(-(width // 2), width // 2)

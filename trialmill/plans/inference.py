@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..operators import results as tables, signals, stats as ops, trials as log
+from ..operators import decoding, results as tables, stats as ops, trials as log
+from .decoding import _CELLS
+from .results import matrices
 from .similarity import _RES, results
 from .standins import events, query, signal, table, trials
 from .stats import _EP, _KT, curves, u1_rows
@@ -132,6 +134,20 @@ def u29(s: SparkSession, d: str) -> DataFrame:
     return ops.model_contrasts(model_rows(s, d), ["flag"], "subject", "value", ["late", "size"], cells)
 
 
+#: Spans of times of three theories: each on with itself, and the third's two spans with each other as well.
+THEORIES = [("early", [(2, 8, 2, 8)]), ("late", [(9, 12, 9, 12)]), ("again", [(2, 8, 2, 8), (9, 12, 9, 12), (2, 8, 9, 12), (9, 12, 2, 8)])]
+_INSIDE = "CASE theory " + " ".join(f"WHEN '{name}' THEN CASE WHEN " + " OR ".join(f"(x BETWEEN {a} AND {b} AND y BETWEEN {c} AND {e})" for a, b, c, e in blocks) + " THEN 1 ELSE 0 END" for name, blocks in THEORIES) + " END"
+
+
+@query("u35_theory_rank_correlation", f"WITH cells AS MATERIALIZED (SELECT channel, x, y, round(v, 6) AS v FROM {_CELLS}), rows AS MATERIALIZED (SELECT theory, channel, x * 100 + y AS i, v, {_INSIDE} AS p FROM cells, (SELECT unnest({[t for t, _ in THEORIES]!r}) AS theory)), taus AS (SELECT a.theory, a.channel, sum(sign(a.v - b.v) * sign(a.p - b.p)) / nullif(sqrt(CAST(sum(abs(sign(a.v - b.v))) AS DOUBLE) * sum(abs(sign(a.p - b.p)))), 0) AS tau FROM rows a JOIN rows b ON a.theory = b.theory AND a.channel = b.channel AND a.i < b.i GROUP BY 1, 2) SELECT theory, r(avg(tau)) AS mean, r(stddev_samp(tau)) AS sd, count(tau) AS n, r(avg(tau) / nullif(stddev_samp(tau) / sqrt(count(tau)), 0)) AS t, count(tau) - 1 AS df FROM taus GROUP BY 1")
+def u35(s: SparkSession, d: str) -> DataFrame:
+    cells = matrices(s, d).withColumn("v", F.round("v", 6))
+    spans = F.array(*[F.struct(F.lit(name).alias("theory"), F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("abce", block)]) for block in blocks]).alias("blocks")) for name, blocks in THEORIES])
+    grid = cells.select("x", "y").distinct().select("x", "y", F.explode(spans).alias("s"))
+    inside = F.exists("s.blocks", lambda z: F.col("x").between(z["a"], z["b"]) & F.col("y").between(z["c"], z["e"]))
+    return decoding.theory_rank_correlation(cells, grid.select("s.theory", "x", "y", inside.cast("double").alias("predicted")), "channel")
+
+
 _TRIGGERS = "(SELECT id, t * 1.00001 + 3 AS trigger FROM {ev} WHERE kind <> 'purchase')"
 
 
