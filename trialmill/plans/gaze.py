@@ -133,6 +133,19 @@ def d12(s: SparkSession, d: str) -> DataFrame:
     return ops.histogram(rows, ["all"], F.col("angle"), -180, 180, 8).drop("all")
 
 
+@query("d11_histogram_closed_at_the_end", "SELECT kind, bin, coalesce(n, 0) AS n, r(coalesce(n, 0) / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY kind), 0)) AS share FROM (SELECT DISTINCT kind FROM {ev}) CROSS JOIN (SELECT unnest(range(1, 13)) AS bin) LEFT JOIN (SELECT kind, CAST(CASE WHEN v = 60 THEN 12 ELSE floor((v + 60) / 10) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT kind, floor(value) - 100 AS v FROM {ev}) WHERE v BETWEEN -60 AND 60 GROUP BY 1, 2) USING (kind, bin)")
+def d11_edge(s: SparkSession, d: str) -> DataFrame:
+    """Whole distances, of which some lie on the last bin's end: that bin holds them."""
+    return ops.histogram(events(s, d), ["kind"], F.floor("value") - 100, -60, 60, 12)
+
+
+@query("d12_directions_closed_at_the_end", "SELECT bin, coalesce(n, 0) AS n, r(coalesce(n, 0) / sum(coalesce(n, 0)) OVER ()) AS share FROM (SELECT unnest(range(1, 9)) AS bin) LEFT JOIN (SELECT CAST(CASE WHEN a = 180 THEN 8 ELSE floor((a + 180) / 45) + 1 END AS BIGINT) AS bin, count(*) AS n FROM (SELECT degrees(atan2(50.0 - k, value - 100)) AS a FROM {ev}) GROUP BY 1) USING (bin)")
+def d12_edge(s: SparkSession, d: str) -> DataFrame:
+    """All directions; those to the left are at 180 degrees, the last bin's end."""
+    rows = samples(s, d).withColumns({"all": F.lit(1), "angle": F.degrees(F.atan2(F.lit(50.0) - F.col("y"), F.col("x") - 100))})
+    return ops.histogram(rows, ["all"], F.col("angle"), -180, 180, 8).drop("all")
+
+
 @query("d13_time_course", f"SELECT kind, win, r(avg(m)) AS mean, r(stddev_samp(m) / sqrt(count(m))) AS se, count(m) AS subjects FROM (SELECT subject, kind, {_DAY} % 5 AS win, avg(value) AS m FROM {{ev}} GROUP BY 1, 2, 3) GROUP BY 1, 2")
 def d13(s: SparkSession, d: str) -> DataFrame:
     rows = events(s, d).withColumn("win", F.floor(F.col("t") / 86400) % 5)

@@ -148,6 +148,13 @@ def u35(s: SparkSession, d: str) -> DataFrame:
     return decoding.theory_rank_correlation(cells, grid.select("s.theory", "x", "y", inside.cast("double").alias("predicted")), "channel")
 
 
+@query("u20_groups_out_of_distances", f"SELECT channel, x, y, r(v - CASE WHEN x % 2 = y % 2 THEN avg(CASE WHEN x % 2 = y % 2 THEN v END) OVER (PARTITION BY channel) ELSE 0 END) AS residual FROM {_CELLS}")
+def u20(s: SparkSession, d: str) -> DataFrame:
+    """Distances without what pairs of one group (times of one parity) share."""
+    same = F.when(F.col("x") % 2 == F.col("y") % 2, 1.0).otherwise(0.0)
+    return ops.without_regressor(matrices(s, d), ["channel"], "v", same).select("channel", "x", "y", "residual")
+
+
 _TRIGGERS = "(SELECT id, t * 1.00001 + 3 AS trigger FROM {ev} WHERE kind <> 'purchase')"
 
 
