@@ -10,7 +10,8 @@ from ..operators import clusters, isotonic, labels, stats
 from .results import matrices
 from .standins import features, query, signal, table
 
-PERMS = 50
+#: Perms of the maps, and of decoding.
+PERMS, DECODING_PERMS = 50, 200
 
 _LONG = "(SELECT id, label, run, unnest(x) AS v, generate_subscripts(x, 1) AS f FROM {ft})"
 
@@ -46,13 +47,13 @@ def u25(s: SparkSession, d: str) -> DataFrame:
 
 
 _ORDER = "lpad(CAST(id AS VARCHAR), 20, '0')"
-_SHUFFLED = f"(SELECT a.perm, a.id, b.label FROM (SELECT perm, run, id, row_number() OVER (PARTITION BY perm, run ORDER BY {_ORDER}) AS i FROM {{ft}}, (SELECT unnest(range({PERMS + 1})) AS perm)) a JOIN (SELECT perm, run, label, row_number() OVER (PARTITION BY perm, run ORDER BY CASE WHEN perm = 0 THEN {_ORDER} ELSE md5(perm || ':' || id) END) AS i FROM {{ft}}, (SELECT unnest(range({PERMS + 1})) AS perm)) b USING (perm, run, i))"
+_SHUFFLED = f"(SELECT a.perm, a.id, b.label FROM (SELECT perm, run, id, row_number() OVER (PARTITION BY perm, run ORDER BY {_ORDER}) AS i FROM {{ft}}, (SELECT unnest(range({DECODING_PERMS + 1})) AS perm)) a JOIN (SELECT perm, run, label, row_number() OVER (PARTITION BY perm, run ORDER BY CASE WHEN perm = 0 THEN {_ORDER} ELSE md5(perm || ':' || id) END) AS i FROM {{ft}}, (SELECT unnest(range({DECODING_PERMS + 1})) AS perm)) b USING (perm, run, i))"
 _PERMUTED = f"(SELECT p.perm, l.id, p.label, l.run, l.v, l.f FROM {_LONG} l JOIN {_SHUFFLED} p USING (id))"
 
 
 @query("u30_permuted_decoding", f"SELECT r(max(accuracy) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN accuracy >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN accuracy END) OVER () AS o FROM (SELECT perm, sum(accuracy * n) / sum(n) AS accuracy FROM {_folds_sql(_PERMUTED, 'perm')} GROUP BY 1))")
 def u30(s: SparkSession, d: str) -> DataFrame:
-    return clusters.array_p(labels.permuted_centroids(features(s, d), ["run"], "run", PERMS), [], "accuracy", 1)
+    return clusters.array_p(labels.permuted_centroids(features(s, d), ["run"], "run", DECODING_PERMS), [], "accuracy", 1)
 
 
 def curves(s: SparkSession, d: str) -> DataFrame:
