@@ -64,3 +64,22 @@ def anova_f(values: DataFrame, feature: str, label: str, value: str) -> DataFram
     t = g.groupBy(feature).agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"), F.sum("s").alias("S"), F.sum("q").alias("Q"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("B"))
     between, within = F.col("B") - F.col("S") ** 2 / F.col("N"), F.col("Q") - F.col("B")
     return t.select(feature, ((between / (F.col("k") - 1)) / (within / (F.col("N") - F.col("k")))).alias("f"))
+
+
+def super_subject(rows: DataFrame, subject: str, label: str, tie: str, seed: int = 0) -> DataFrame:
+    """Rows of the labels that every subject has, as many of each label from each subject as the subject with least has.
+
+    rank (from 1) is a row's place among those of its subject and label, in order of the md5 of seed and tie: rows of one
+    label and rank make one trial of all subjects' channels. Rows without a subject or a label take no part.
+    """
+    known = rows.where(F.col(subject).isNotNull() & F.col(label).isNotNull())
+    counts = known.groupBy(subject, label).agg(F.count(F.lit(1)).alias("_n"))
+    all_subjects = counts.agg(F.count_distinct(subject).alias("_all"))  # one row
+    common = counts.groupBy(label).agg(F.count(F.lit(1)).alias("_subjects"), F.min("_n").alias("_least")).crossJoin(F.broadcast(all_subjects)).where("_subjects = _all")
+    rank = F.row_number().over(Window.partitionBy(subject, label).orderBy(F.md5(F.concat_ws(":", F.lit(seed), tie)), tie))
+    return known.join(common.select(label, "_least"), label).withColumn("rank", rank.cast("long")).where("rank <= _least").drop("_least")
+
+
+def enough_repeats(rows: DataFrame, labels: Sequence[str], least: int) -> DataFrame:
+    """Rows whose labels, nulls as a label like others, occur at least so many times."""
+    return rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*labels))).where(F.col("_n") >= least).drop("_n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -159,3 +159,58 @@ def spikes(envelope: DataFrame, keys: Sequence[str], span: int, step: int, k: fl
     new = F.when(F.col(t) - F.lag(t).over(w) <= apart, 0).otherwise(1)
     tops = tops.withColumn("_n", new).withColumn("group", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return tops.groupBy(*keys, "group").agg(F.max_by(t, F.struct(value, t)).alias("at"), F.max(value).alias("height"))
+
+
+def _inside(t: str, spans: Sequence[tuple[float, float]]) -> Column:
+    """Whether t lies in one of a few spans (lo, hi), both ends included; a null t lies in none."""
+    found = F.lit(False)
+    for lo, hi in spans:
+        found = found | F.col(t).between(lo, hi)
+    return F.coalesce(found, F.lit(False))
+
+
+def without_spans(signal: DataFrame, keys: Sequence[str], condition: Column, spans: Mapping[object, Sequence[tuple[float, float]]], t: str = "t") -> DataFrame:
+    """signal without the spans of its condition, and i: the place (from 1) of what is left in order of t.
+
+    Conditions that spans doesn't name, null ones too, stay whole.
+    """
+    cut = F.lit(False)
+    for c, own in spans.items():
+        cut = cut | (F.coalesce(condition == F.lit(c), F.lit(False)) & _inside(t, own))
+    return signal.where(~cut).withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(t)).cast("long"))
+
+
+def filled_with_minimum(signal: DataFrame, keys: Sequence[str], spans: Sequence[tuple[float, float]], t: str = "t", value: str = "value") -> DataFrame:
+    """signal with the group's least value wherever t lies in a span of noise; the least is taken over all rows, those of noise included."""
+    return signal.withColumn(value, F.when(_inside(t, spans), F.min(value).over(Window.partitionBy(*keys))).otherwise(F.col(value)))
+
+
+def window_differences(signal: DataFrame, keys: Sequence[str], first: Column, second: Column, t: str = "t", value: str = "value") -> DataFrame:
+    """(keys, i, difference): of the i-th samples of two windows, in order of t, the second less the first; the longer window is cut.
+
+    A sample may lie in both windows. A null value counts as a sample and gives a null difference.
+    """
+    sides = F.array_compact(F.array(F.when(first, 1), F.when(second, 2)))
+    rows = signal.select(*keys, t, value, F.explode(sides).alias("_side"))
+    rows = rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "_side").orderBy(t, value)).cast("long"))
+    of = [F.max(F.when(F.col("_side") == k, F.col(value))).alias(f"_{k}") for k in (1, 2)]
+    both = rows.groupBy(*keys, "i").agg(*of, F.count(F.lit(1)).alias("_n")).where("_n = 2")
+    return both.select(*keys, "i", (F.col("_2") - F.col("_1")).alias("difference"))
+
+
+def roi_averages(signal: DataFrame, roi: Column, channels: DataFrame, channel: str = "channel", t: str = "t", value: str = "value") -> DataFrame:
+    """(roi, t, value): means over the wanted channels of each channel's mean, so that a channel counts once whatever its epochs."""
+    rows = signal.join(channels.select(channel).distinct(), channel, "left_semi")
+    per = rows.groupBy(roi.alias("roi"), channel, t).agg(F.avg(value).alias("_m"))
+    return per.groupBy("roi", t).agg(F.avg("_m").alias(value))
+
+
+def rising_edges(signal: DataFrame, keys: Sequence[str], threshold: float, apart: float, t: str = "t", value: str = "value") -> DataFrame:
+    """(keys, t): where a value is above the threshold and the one before isn't, apart or more after the edge before, kept or not.
+
+    The first sample is no edge, and none is where this sample or the one before is null.
+    """
+    w = Window.partitionBy(*keys).orderBy(t)
+    edges = signal.withColumn("_before", F.lag(value).over(w)).where((F.col(value) > threshold) & (F.col("_before") <= threshold))
+    gap = F.col(t) - F.lag(t).over(w)
+    return edges.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= apart)).select(*keys, t)

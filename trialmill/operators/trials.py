@@ -151,3 +151,35 @@ def trigger_bursts(triggers: DataFrame, keys: Sequence[str], order: Sequence[str
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "burst"))
     kind = F.coalesce(*[F.when(F.col("size") == n, F.lit(name)) for n, name in classes.items()], F.lit("single"))
     return rows.withColumn("size", size).withColumn("class", kind)
+
+
+def missing_triggers(log: DataFrame, triggers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The keys of log rows that no trigger has, once each; a key with a null has no trigger."""
+    return log.select(*keys).distinct().join(triggers.select(*keys), list(keys), "left_anti")
+
+
+def response_by_event(rows: DataFrame, keys: Sequence[str], target: Column, response: Column) -> DataFrame:
+    """(keys, response): hit, miss, falseAlarm or correctRejection of each trial, by whether one of its rows is a response.
+
+    target is an expression of the keys; a null one is no target. A null response is none.
+    """
+    there = rows.groupBy(*keys).agg(F.bool_or(F.coalesce(response, F.lit(False))).alias("_there"))
+    label = F.when(target & F.col("_there"), "hit").when(target, "miss").when(F.col("_there"), "falseAlarm").otherwise("correctRejection")
+    return there.select(*keys, label.alias("response"))
+
+
+def duration_errors(log: DataFrame, keys: Sequence[str], order: Sequence[str], t: str, planned: Column, limit: float, by: Sequence[str]) -> DataFrame:
+    """(by, n, share): events with a next one in their group, and the share whose time until then misses the planned one by more than limit.
+
+    Events without a planned time count in n, not in the share.
+    """
+    measured = F.lead(t).over(Window.partitionBy(*keys).orderBy(*order)) - F.col(t)
+    rows = log.withColumn("_measured", measured).where("_measured is not null")
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col("_measured") - planned) > limit).cast("int")).alias("share"))
+
+
+def time_in_trial(samples: DataFrame, onsets: DataFrame, keys: Sequence[str], t: str, onset: str, longest: float) -> DataFrame:
+    """Samples of the trials with since: time since the trial's onset, from 0 to longest; others go. Of several onsets the least counts."""
+    starts = onsets.groupBy(*keys).agg(F.min(onset).alias("_onset"))
+    rows = samples.join(starts, list(keys)).withColumn("since", F.col(t) - F.col("_onset")).drop("_onset")
+    return rows.where((F.col("since") >= 0) & (F.col("since") <= longest))

@@ -153,7 +153,7 @@ def c2(s: SparkSession, d: str) -> DataFrame:
 @query("c3_missing_triggers", "SELECT DISTINCT subject, k FROM {ev} WHERE kind = 'view' AND (subject, k) NOT IN (SELECT subject, k FROM {ev} WHERE kind = 'click')")
 def c3(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d)
-    return e.where("kind = 'view'").select("subject", "k").distinct().join(e.where("kind = 'click'").select("subject", "k"), ["subject", "k"], "left_anti")
+    return ops.missing_triggers(e.where("kind = 'view'"), e.where("kind = 'click'"), ["subject", "k"])
 
 
 @query("c4_copy_trial_times", "SELECT a.id, r(b.t) AS onset FROM {ev} a LEFT JOIN (SELECT subject, k, min(t) AS t FROM {ev} WHERE kind = 'view' GROUP BY 1, 2) b USING (subject, k)", digits=3)
@@ -171,12 +171,7 @@ def c13(s: SparkSession, d: str) -> DataFrame:
 
 @query("c14_response_by_event", "SELECT subject, k, CASE WHEN k % 2 = 0 AND click > 0 THEN 'hit' WHEN k % 2 = 0 THEN 'miss' WHEN click > 0 THEN 'falseAlarm' ELSE 'correctRejection' END AS response FROM (SELECT subject, k, count(*) FILTER (WHERE kind = 'click') AS click FROM {ev} GROUP BY 1, 2)")
 def c14(s: SparkSession, d: str) -> DataFrame:
-    e = events(s, d)
-    keys = e.select("subject", "k").distinct()
-    clicks = e.where("kind = 'click'").select("subject", "k").distinct().withColumn("responded", F.lit(True))
-    there, target = F.col("responded").isNotNull(), F.col("k") % 2 == 0
-    label = F.when(target & there, "hit").when(target, "miss").when(there, "falseAlarm").otherwise("correctRejection")
-    return keys.join(clicks, ["subject", "k"], "left").select("subject", "k", label.alias("response"))
+    return ops.response_by_event(events(s, d), ["subject", "k"], F.col("k") % 2 == 0, F.col("kind") == "click")
 
 
 @query("c15_align_triggers", "SELECT subject, n, r(a.gap - b.gap) AS gap_difference FROM (SELECT subject, row_number() OVER w AS n, t - lag(t) OVER w AS gap FROM {ev} WHERE kind = 'view' WINDOW w AS (PARTITION BY subject ORDER BY t, id)) a FULL OUTER JOIN (SELECT subject, row_number() OVER w AS n, t - lag(t) OVER w AS gap FROM {ev} WHERE kind = 'click' WINDOW w AS (PARTITION BY subject ORDER BY t, id)) b USING (subject, n)", digits=3)
@@ -286,16 +281,14 @@ def e6(s: SparkSession, d: str) -> DataFrame:
 
 @query("e7_duration_errors", "SELECT kind, count(*) AS n, r(avg(CASE WHEN abs(d - value * 60) > 3600 THEN 1 ELSE 0 END)) AS share FROM (SELECT kind, value, lead(t) OVER (PARTITION BY subject ORDER BY t, id) - t AS d FROM {ev}) WHERE d IS NOT NULL GROUP BY kind")
 def e7(s: SparkSession, d: str) -> DataFrame:
-    gap = F.lead("t").over(Window.partitionBy("subject").orderBy("t", "id")) - F.col("t")
-    rows = events(s, d).withColumn("measured", gap).where("measured is not null")
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.avg((F.abs(F.col("measured") - F.col("value") * 60) > 3600).cast("int")).alias("share"))
+    return ops.duration_errors(events(s, d), ["subject"], ["t", "id"], "t", F.col("value") * 60, 3600, ["kind"])
 
 
 @query("e21_time_in_trial", "SELECT id, r(t - onset) AS since FROM (SELECT e.id, e.t, o.onset FROM {ev} e JOIN (SELECT subject, k, min(t) AS onset FROM {ev} WHERE kind = 'view' GROUP BY 1, 2) o USING (subject, k)) WHERE t >= onset AND t - onset <= 86400 * 7", digits=3)
 def e21(s: SparkSession, d: str) -> DataFrame:
     e = events(s, d)
-    onset = e.where("kind = 'view'").groupBy("subject", "k").agg(F.min("t").alias("onset"))
-    return e.join(onset, ["subject", "k"]).withColumn("since", F.col("t") - F.col("onset")).where("since between 0 and 86400 * 7").select("id", "since")
+    onsets = e.where("kind = 'view'").select("subject", "k", F.col("t").alias("onset"))
+    return ops.time_in_trial(e, onsets, ["subject", "k"], "t", "onset", 86400 * 7).select("id", "since")
 
 
 @query("e29_trigger_bursts", "SELECT id, size, CASE size WHEN 4 THEN 'block start' WHEN 3 THEN 'experiment' WHEN 2 THEN 'block end' ELSE 'single' END AS class FROM (SELECT id, count(*) OVER (PARTITION BY subject, burst) AS size FROM (SELECT id, subject, sum(n) OVER (PARTITION BY subject ORDER BY t, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS burst FROM (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY subject ORDER BY t, id) <= 5000 THEN 0 ELSE 1 END AS n FROM {ev})))")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators import channels as tagged
 from ..operators import maps as ops
 from .standins import events, features, query, regions, table, trials, voxels
 
@@ -90,16 +91,13 @@ def f6(s: SparkSession, d: str) -> DataFrame:
 
 @query("f7_super_subject", "SELECT k, rank, n, r(m) AS m FROM (SELECT k, rank, count(*) AS n, avg(value) AS m FROM (SELECT *, row_number() OVER (PARTITION BY g, k ORDER BY md5('3:' || id), id) AS rank FROM (SELECT *, subject % 4 AS g FROM {ev}) WHERE k IN (SELECT k FROM {ev} GROUP BY k HAVING count(DISTINCT subject % 4) = 4)) JOIN (SELECT k, min(n) AS least FROM (SELECT k, subject % 4 AS g, count(*) AS n FROM {ev} GROUP BY ALL) GROUP BY 1) USING (k) WHERE rank <= least GROUP BY ALL)")
 def f7(s: SparkSession, d: str) -> DataFrame:
-    e = events(s, d).withColumn("g", F.col("subject") % 4)
-    common = e.groupBy("g", "k").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.min("n").alias("least")).where("groups = 4").select("k", "least")
-    rank = F.row_number().over(Window.partitionBy("g", "k").orderBy(F.md5(F.concat_ws(":", F.lit(3), "id")), "id"))
-    rows = e.join(common, "k").withColumn("rank", rank.cast("long")).where("rank <= least")
+    rows = ops.super_subject(events(s, d).withColumn("g", F.col("subject") % 4), "g", "k", "id", 3)
     return rows.groupBy("k", "rank").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"))
 
 
 @query("f8_enough_repeats", "SELECT id FROM (SELECT id, count(*) OVER (PARTITION BY subject, k) AS n FROM {ev}) WHERE n >= 2")
 def f8(s: SparkSession, d: str) -> DataFrame:
-    return events(s, d).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("subject", "k"))).where("n >= 2").select("id")
+    return ops.enough_repeats(events(s, d), ["subject", "k"], 2).select("id")
 
 
 @query("g2_labels_in_every_subject", "SELECT k FROM {ev} GROUP BY k HAVING count(DISTINCT subject % 10) = 10")
@@ -148,25 +146,22 @@ def channels(s: SparkSession, d: str) -> DataFrame:
 
 @query("b11_event_columns", f"SELECT channel, split_part(label, '/', 1) AS nation, split_part(label, '/', 2) AS region FROM {_CH}")
 def b11(s: SparkSession, d: str) -> DataFrame:
-    parts = channels(s, d).withColumn("p", F.split("label", "/"))
-    ok = F.assert_true(F.size("p") == 2, F.lit("an event has another number of columns"))
-    return parts.select("channel", ok.alias("ok"), F.col("p")[0].alias("nation"), F.col("p")[1].alias("region")).where("ok is null").drop("ok")
+    return tagged.event_columns(channels(s, d), "label", ["nation", "region"]).select("channel", "nation", "region")
 
 
 @query("b12_tags", f"SELECT channel, array_to_string(list_filter(labels, lambda v: v <> 'ASIA'), '/') AS removed, CASE WHEN list_contains(labels, 'bad') THEN label ELSE label || '/bad' END AS added FROM {_CH}")
 def b12(s: SparkSession, d: str) -> DataFrame:
-    tags = F.split("label", "/")
-    return channels(s, d).select("channel", F.array_join(F.array_remove(tags, "ASIA"), "/").alias("removed"), F.array_join(F.array_union(tags, F.array(F.lit("bad"))), "/").alias("added"))
+    return channels(s, d).select("channel", tagged.without_tag("label", "ASIA").alias("removed"), tagged.with_tag("label", "bad").alias("added"))
 
 
 @query("b13_channels_without_tags", f"SELECT channel FROM {_CH} WHERE NOT list_has_any(labels, ['ASIA', 'AFRICA'])")
 def b13(s: SparkSession, d: str) -> DataFrame:
-    return channels(s, d).where(~F.arrays_overlap("labels", F.array(F.lit("ASIA"), F.lit("AFRICA")))).select("channel")
+    return tagged.without_tagged(channels(s, d), "labels", ["ASIA", "AFRICA"]).select("channel")
 
 
 @query("b18_channels_in_roi", f"SELECT channel FROM {_CH} WHERE list_has_any(labels, ['EUROPE', 'CHINA'])")
 def b18(s: SparkSession, d: str) -> DataFrame:
-    return channels(s, d).where(F.arrays_overlap("labels", F.array(F.lit("EUROPE"), F.lit("CHINA")))).select("channel")
+    return tagged.in_regions(channels(s, d), "labels", ["EUROPE", "CHINA"]).select("channel")
 
 
 @query("b34_clean_atlas_labels", "SELECT channel, coalesce(list_filter(string_split(regexp_replace(raw, '(ctx_lh_|ctx_rh_)', '', 'g'), '/'), lambda v: v NOT IN ('Unknown', 'White-Matter'))[1], string_split(regexp_replace(raw, '(ctx_lh_|ctx_rh_)', '', 'g'), '/')[1]) AS roi FROM (SELECT s_suppkey AS channel, CASE s_suppkey % 3 WHEN 0 THEN 'Unknown/ctx_lh_' || n_name WHEN 1 THEN 'ctx_rh_' || n_name || '/Unknown' ELSE 'Unknown/White-Matter' END AS raw FROM supplier JOIN nation ON s_nationkey = n_nationkey)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import signals as ops
+from ..operators import channels, signals as ops
 from .standins import features, query, signal, table
 
 KEY = ["channel", "epoch"]
@@ -33,9 +33,7 @@ def d22(s: SparkSession, d: str) -> DataFrame:
 
 @query("d23_window_differences", "SELECT channel, epoch, i, r(b.value - a.value) AS difference FROM (SELECT *, row_number() OVER (PARTITION BY channel, epoch ORDER BY t) AS i FROM {sg} WHERE t <= 14) a JOIN (SELECT *, row_number() OVER (PARTITION BY channel, epoch ORDER BY t) AS i FROM {sg} WHERE t > 14) b USING (channel, epoch, i)")
 def d23(s: SparkSession, d: str) -> DataFrame:
-    i = F.row_number().over(Window.partitionBy(*KEY).orderBy("t")).cast("long").alias("i")
-    a, b = signal(s, d).where("t <= 14").select(*KEY, i, F.col("value").alias("a")), signal(s, d).where("t > 14").select(*KEY, i, F.col("value").alias("b"))
-    return a.join(b, [*KEY, "i"]).select(*KEY, "i", (F.col("b") - F.col("a")).alias("difference"))
+    return ops.window_differences(signal(s, d), KEY, F.col("t") <= 14, F.col("t") > 14)
 
 
 @query("d24_binned", "SELECT channel, epoch, bin, r(avg(value)) AS value FROM (SELECT *, (row_number() OVER (PARTITION BY channel, epoch ORDER BY t) - 1) // 3 AS bin FROM {sg}) GROUP BY ALL HAVING count(*) = 3")
@@ -69,8 +67,7 @@ def d29(s: SparkSession, d: str) -> DataFrame:
 def d30(s: SparkSession, d: str) -> DataFrame:
     x = signal(s, d)
     responsive = x.groupBy("channel").agg(F.avg("value").alias("m")).where("m > 50")
-    per = x.join(responsive, "channel", "left_semi").groupBy((F.col("channel") % 4).alias("roi"), "channel", "t").agg(F.avg("value").alias("m"))
-    return per.groupBy("roi", "t").agg(F.avg("m").alias("value"))
+    return ops.roi_averages(x, F.col("channel") % 4, responsive)
 
 
 _MODES = {
@@ -202,24 +199,26 @@ def a15(s: SparkSession, d: str) -> DataFrame:
 
 @query("b28_cut_time_span", "SELECT channel, epoch, row_number() OVER (PARTITION BY channel, epoch ORDER BY t) AS i, r(value) AS value FROM {sg} WHERE NOT (epoch % 3 = 0 AND t BETWEEN 8 AND 14) AND NOT (epoch % 3 = 1 AND t BETWEEN 15 AND 16)")
 def b28(s: SparkSession, d: str) -> DataFrame:
-    cuts = s.createDataFrame([(0, 8, 14), (1, 15, 16)], "cond int, lo int, hi int")
-    x = signal(s, d).join(F.broadcast(cuts), (F.col("epoch") % 3 == F.col("cond")) & F.col("t").between(F.col("lo"), F.col("hi")), "left_anti")
-    return x.select(*KEY, F.row_number().over(Window.partitionBy(*KEY).orderBy("t")).cast("long").alias("i"), "value")
+    cuts = {0: [(8, 14)], 1: [(15, 16)]}
+    return ops.without_spans(signal(s, d), KEY, F.col("epoch") % 3, cuts).select(*KEY, "i", "value")
 
 
 @query("b33_noise_to_minimum", "SELECT channel, epoch, t, r(CASE WHEN t BETWEEN 3 AND 5 OR t BETWEEN 20 AND 21 THEN min(value) OVER (PARTITION BY channel) ELSE value END) AS value FROM {sg}")
 def b33(s: SparkSession, d: str) -> DataFrame:
-    spans = s.createDataFrame([(3, 5), (20, 21)], "lo int, hi int")
-    x = signal(s, d).join(F.broadcast(spans), F.col("t").between(F.col("lo"), F.col("hi")), "left")
-    return x.select(*KEY, "t", F.when(F.col("lo").isNotNull(), F.min("value").over(Window.partitionBy("channel"))).otherwise(F.col("value")).alias("value"))
+    return ops.filled_with_minimum(signal(s, d), ["channel"], [(3, 5), (20, 21)]).select(*KEY, "t", "value")
 
 
 @query("b27_rotated_vectors", "SELECT vec_id AS id, r(x[6]) AS first, r(x[5]) AS last FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings)")
 def b27(s: SparkSession, d: str) -> DataFrame:
-    x = features(s, d).withColumn("y", F.concat(F.slice("x", 6, F.size("x")), F.slice("x", 1, 5)))
+    x = features(s, d).withColumn("y", channels.rotated("x", 5))
     return x.select("id", F.element_at("y", 1).alias("first"), F.element_at("y", -1).alias("last"))
 
 
+@query("b27_rotated_elements", "SELECT id, CAST((i + 58) % 64 AS INT) AS i, r(v) AS value FROM (SELECT vec_id AS id, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE len(embedding) = 64)")
+def b27_all(s: SparkSession, d: str) -> DataFrame:
+    return features(s, d).where(F.size("x") == 64).select("id", F.posexplode(channels.rotated("x", 5)).alias("i", "value"))
+
+
 @query("d48_time_bins_of_vectors", "SELECT id, label, bin, r(avg(v)) AS value FROM (SELECT vec_id AS id, label, (i - 1) // 22 AS bin, v FROM (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings)) GROUP BY ALL")
 def d48(s: SparkSession, d: str) -> DataFrame:
     x = features(s, d).select("id", "label", F.posexplode("x").alias("i", "v"))
@@ -241,6 +240,4 @@ def b26(s: SparkSession, d: str) -> DataFrame:
 
 @query("e8_rising_edges", "SELECT channel, epoch, t FROM (SELECT *, t - lag(t) OVER (PARTITION BY channel, epoch ORDER BY t) AS gap FROM (SELECT *, lag(value) OVER (PARTITION BY channel, epoch ORDER BY t) AS before FROM {sg}) WHERE value > 60 AND before <= 60) WHERE gap IS NULL OR gap >= 4")
 def e8(s: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy(*KEY).orderBy("t")
-    edges = signal(s, d).withColumn("before", F.lag("value").over(w)).where("value > 60 and before <= 60")
-    return edges.withColumn("gap", F.col("t") - F.lag("t").over(w)).where("gap is null or gap >= 4").select(*KEY, "t")
+    return ops.rising_edges(signal(s, d), KEY, 60, 4)
