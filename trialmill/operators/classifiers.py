@@ -264,3 +264,38 @@ def margin_fits(items: DataFrame, fold: str, label: str = "label", x: str = "x",
 def margin_accuracy(items: DataFrame, fold: str, label: str = "label", x: str = "x", kind: str = "svc", c: float = 1.0, rounds: int = 50) -> DataFrame:
     """(fold, accuracy, n) of a linear margin model with one fold left out at a time."""
     return accuracy(linear_guesses(items, margin_fits(items, fold, label, x, kind, c, rounds), [fold], label, x), [fold], label)
+
+
+def forest_guesses(items: DataFrame, fold: str, label: str = "label", x: str = "x", trees: int = 100, depth: int = 5, seed: int = 0) -> DataFrame:
+    """items that have a label and a vector, with guess: the label by a random forest over all other folds, by pyspark.ml.
+
+    Features of a split are a root of their number. A fold whose other folds hold a single label gets that label; one
+    without other folds gets null. Rows are put in partitions by a hash of all columns before each fit, so that trees
+    don't depend on how items are stored. The driver sees the folds' labels only; a forest is at most trees * 2^(depth + 1) nodes.
+    """
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.storagelevel import StorageLevel
+
+    kind = dict(items.dtypes)[label]
+    rows = _usable(items, label, x).withColumn("_features", array_to_vector(F.col(x).cast("array<double>"))).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = [(r[0], r[1]) for r in rows.groupBy(fold, label).count().collect()]
+    out = rows.where("false").drop("_features").withColumn("guess", F.lit(None).cast(kind))
+    for f in sorted({f for f, _ in counts}):
+        known = sorted({c for other, c in counts if other != f})
+        test = rows.where(F.col(fold) == F.lit(f))
+        names = F.array(*map(F.lit, known)).cast(f"array<{kind}>")
+        if len(known) < 2:
+            found = test.withColumn("guess", F.lit(known[0] if known else None).cast(kind))
+        else:
+            train = rows.where(F.col(fold) != F.lit(f)).select("_features", (F.array_position(names, F.col(label)) - 1).cast("double").alias("_target"))
+            train = train.repartition("_features", "_target").sortWithinPartitions(F.xxhash64(F.col("_features").cast("string")), "_target")
+            forest = RandomForestClassifier(featuresCol="_features", labelCol="_target", predictionCol="_at", probabilityCol="", rawPredictionCol="", numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed)
+            found = forest.fit(train).transform(test).withColumn("guess", F.element_at(names, F.col("_at").cast("int") + 1))
+        out = out.unionByName(found.select(*out.columns))
+    return out
+
+
+def forest_accuracy(items: DataFrame, fold: str, label: str = "label", x: str = "x", trees: int = 100, depth: int = 5, seed: int = 0) -> DataFrame:
+    """(fold, accuracy, n) of a random forest with one fold left out at a time."""
+    return accuracy(forest_guesses(items, fold, label, x, trees, depth, seed), [fold], label)

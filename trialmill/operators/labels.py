@@ -148,8 +148,8 @@ def d_prime_arrays(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     return _by_group(sums, keys, make, f"label {dict(sums.dtypes)['label']}, d array<double>")
 
 
-def correlation_difference(sums: DataFrame, keys: Sequence[str], theories: Mapping[object, tuple[float, float]]) -> DataFrame:
-    """(keys, z): per perm the correlation of values with a first prediction by label less that with a second; NaN without spread.
+def theory_correlations(sums: DataFrame, keys: Sequence[str], theories: Mapping[object, tuple[float, float]]) -> DataFrame:
+    """(keys, first, second, z): per perm the correlations of values with two predictions by label, and the first less the second; NaN without spread.
 
     theories gives both predictions for a label.
     """
@@ -162,9 +162,39 @@ def correlation_difference(sums: DataFrame, keys: Sequence[str], theories: Mappi
             sy, syy, sxy = (n * y).sum(axis=0), (n * y * y).sum(axis=0), (s * y).sum(axis=0)
             left = (total * sxx - sx * sx) * (total * syy - sy * sy)
             rho.append(np.where(left > 0, (total * sxy - sx * sy) / np.sqrt(left), np.nan))
-        return pd.DataFrame({"z": [rho[0] - rho[1]]})
+        return pd.DataFrame({"first": [rho[0]], "second": [rho[1]], "z": [rho[0] - rho[1]]})
+
+    return _by_group(sums, keys, make, "first array<double>, second array<double>, z array<double>")
+
+
+def correlation_difference(sums: DataFrame, keys: Sequence[str], theories: Mapping[object, tuple[float, float]]) -> DataFrame:
+    """(keys, z): of theory_correlations, the difference only."""
+    return theory_correlations(sums, keys, theories).select(*keys, "z")
+
 
-    return _by_group(sums, keys, make, "z array<double>")
+def gated_theory_test(sums: DataFrame, keys: Sequence[str], theories: Mapping[object, tuple[float, float]], alpha: float = 0.05) -> DataFrame:
+    """(keys, p_first, p_second, observed, p): the difference of two theories' correlations against shuffles, where one of them is significant by itself.
+
+    All p are upper tails with the observed labels among the perms. Groups without a theory of p <= alpha have no row.
+    """
+    rho = theory_correlations(sums, keys, theories)
+    kinds = dict(rho.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "p_first double, p_second double, observed double, p double"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if len(pdf):
+                p = {}
+                for c in ("first", "second", "z"):
+                    v = np.stack(pdf[c].to_list())
+                    there = ~np.isnan(v)
+                    share = ((v >= v[:, :1] - 1e-9) & there).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
+                    p[c], seen = np.where(there[:, 0], share, np.nan), v[:, 0]
+                yield pdf[list(keys)].assign(p_first=p["first"], p_second=p["second"], observed=seen, p=p["z"])
+
+    made = ("p_first", "p_second", "observed", "p")
+    found = rho.mapInPandas(run, schema).withColumns({c: F.nanvl(c, F.lit(None)) for c in made})
+    return found.where(F.least("p_first", "p_second") <= alpha)
 
 
 def permuted_centroids(items: DataFrame, within: Sequence[str], fold: str, count: int, key: str = "id", label: str = "label", x: str = "x", most: int = 1 << 28) -> DataFrame:

@@ -35,6 +35,15 @@ def u23_logistic(s: SparkSession, d: str) -> DataFrame:
     return ops.margin_accuracy(ops.stratified_folds(features(s, d), [], 4), "fold", kind="logistic", rounds=ROUNDS)
 
 
+#: Trees of a forest.
+TREES = 30
+
+
+@query("u23_random_forest")
+def u23_forest(s: SparkSession, d: str) -> DataFrame:
+    return ops.forest_accuracy(ops.stratified_folds(features(s, d), [], 4), "fold", trees=TREES)
+
+
 _FOLDS = f"(SELECT l.label, q.run, l.f - 1 AS f, sum(v) AS s, sum(v * v) AS q, count(*) AS n FROM {_LONG} l JOIN (SELECT DISTINCT run FROM {{ft}}) q ON l.run <> q.run GROUP BY ALL)"
 _F = f"(SELECT run, f, (m - s * s / n) / (k - 1) / nullif((q - m) / (n - k), 0) AS score FROM (SELECT run, f, count(*) AS k, sum(n) AS n, sum(s) AS s, sum(q) AS q, sum(s * s / n) AS m FROM {_FOLDS} GROUP BY 1, 2))"
 
