@@ -172,10 +172,10 @@ def correlation_difference(sums: DataFrame, keys: Sequence[str], theories: Mappi
     return theory_correlations(sums, keys, theories).select(*keys, "z")
 
 
-def gated_theory_test(sums: DataFrame, keys: Sequence[str], theories: Mapping[object, tuple[float, float]], alpha: float = 0.05) -> DataFrame:
-    """(keys, p_first, p_second, observed, p): the difference of two theories' correlations against shuffles, where one of them is significant by itself.
+def theory_tests(sums: DataFrame, keys: Sequence[str], theories: Mapping[object, tuple[float, float]]) -> DataFrame:
+    """(keys, p_first, p_second, observed, p): two theories' correlations and their difference against shuffles.
 
-    All p are upper tails with the observed labels among the perms. Groups without a theory of p <= alpha have no row.
+    All p are upper tails with the observed labels among the perms; null without spread.
     """
     rho = theory_correlations(sums, keys, theories)
     kinds = dict(rho.dtypes)
@@ -193,8 +193,12 @@ def gated_theory_test(sums: DataFrame, keys: Sequence[str], theories: Mapping[ob
                 yield pdf[list(keys)].assign(p_first=p["first"], p_second=p["second"], observed=seen, p=p["z"])
 
     made = ("p_first", "p_second", "observed", "p")
-    found = rho.mapInPandas(run, schema).withColumns({c: F.nanvl(c, F.lit(None)) for c in made})
-    return found.where(F.least("p_first", "p_second") <= alpha)
+    return rho.mapInPandas(run, schema).withColumns({c: F.nanvl(c, F.lit(None)) for c in made})
+
+
+def gated_theory_test(sums: DataFrame, keys: Sequence[str], theories: Mapping[object, tuple[float, float]], alpha: float = 0.05) -> DataFrame:
+    """theory_tests of the groups where one theory is significant by itself; groups without a theory of p <= alpha have no row."""
+    return theory_tests(sums, keys, theories).where(F.least("p_first", "p_second") <= alpha)
 
 
 def permuted_centroids(items: DataFrame, within: Sequence[str], fold: str, count: int, key: str = "id", label: str = "label", x: str = "x", most: int = 1 << 28) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
-from ..operators import decoding, results as tables, stats as ops, trials as log
+from ..operators import decoding, labels, results as tables, stats as ops, trials as log
 from .decoding import _CELLS
+from .maps import channels as places_of
 from .results import matrices
 from .similarity import _RES, results
 from .standins import events, query, signal, table, trials
-from .stats import _EP, _KT, curves, u1_rows
+from .stats import _EP, _KT, _TESTS, PREDICTED, curves, shuffled, u1_rows
 
 
 def _nodes(count: int) -> str:
@@ -189,3 +190,28 @@ def c23(s: SparkSession, d: str) -> DataFrame:
     r = results(s, d)
     anova = r.select("channel", "cond", "effect", F.try_divide("effect", "sd").alias("f"), "reject")
     return tables.best_with(r.where("sd is not null").select("channel", "cond", "sd"), anova, ["channel"], "cond", "sd")
+
+
+_TOP = f"(SELECT channel, max(cond) FILTER (WHERE i = 1) AS best, max(cond) FILTER (WHERE j = 1) AS model, max(effect) FILTER (WHERE cond = 0) AS effect FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY round(effect, 9) DESC, cond) AS i, row_number() OVER (PARTITION BY channel ORDER BY round(sd, 9) NULLS LAST, cond) AS j FROM {_RES}) GROUP BY 1)"
+_CHANNELS = f"(SELECT n_name AS fine, r_name AS coarse, CAST(s_suppkey % 7 AS VARCHAR) AS subject, best, model, effect, onset FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey LEFT JOIN {_TOP} t ON t.channel = s_suppkey LEFT JOIN {_SOURCES['latency']} l ON l.channel = s_suppkey)"
+_COUNTED = "count(*) AS n, count(*) FILTER (WHERE effect > 2) AS n_activated, count(*) FILTER (WHERE effect < -2) AS n_deactivated, " + ", ".join(f"count(*) FILTER (WHERE {c} = {k}) AS n_{name}_{k}" for name, c in (("selective", "best"), ("model", "model")) for k in range(4))
+
+
+@query("d51_label_summary", "SELECT atlas, label, " + _COUNTED + f", r(avg(onset)) AS mean_onset, r(stddev_pop(onset)) AS sd_onset FROM (SELECT 'fine' AS atlas, fine AS label, * FROM {_CHANNELS} UNION ALL SELECT 'coarse', coarse, * FROM {_CHANNELS} UNION ALL SELECT 'subject', subject, * FROM {_CHANNELS}) GROUP BY 1, 2")
+def d51(s: SparkSession, d: str) -> DataFrame:
+    """Labels of two atlases and subjects: channels activated, deactivated, selective for a condition and best told by a model, and onsets."""
+    r = results(s, d)
+    top = r.groupBy("channel").agg(
+        F.max_by("cond", F.struct(F.round("effect", 9), -F.col("cond"))).alias("best"), F.min_by("cond", F.struct(F.col("sd").isNull(), F.round("sd", 9), "cond")).alias("model"), F.max(F.when(F.col("cond") == 0, F.col("effect"))).alias("effect")
+    )
+    onset = signal(s, d).where("value > 60").groupBy("channel").agg(F.min("t").alias("onset"))
+    places = places_of(s, d).select("channel", F.col("labels")[0].alias("fine"), F.col("labels")[1].alias("coarse"), (F.col("channel") % 7).alias("subject"))
+    flags = {"activated": F.col("effect") > 2, "deactivated": F.col("effect") < -2} | {f"{name}_{k}": F.col(c) == k for name, c in (("selective", "best"), ("model", "model")) for k in range(4)}
+    return tables.label_summary(places.join(top, "channel", "left").join(onset, "channel", "left"), ["fine", "coarse", "subject"], flags, ["onset"])
+
+
+@query("d34_validated_theories", f"SELECT channel, roi, r(p_first) AS p_first, r(p_second) AS p_second, r(observed) AS observed, r(p) AS p, coalesce(CASE WHEN roi = 'region of the first' THEN observed > 0 ELSE observed < 0 END AND p < 0.05, false) AS validated FROM (SELECT channel, CASE channel % 3 WHEN 0 THEN 'region of the first' WHEN 1 THEN 'region of the second' ELSE 'another' END AS roi, p_first, p_second, observed, p FROM {_TESTS}) WHERE roi <> 'another'")
+def d34(s: SparkSession, d: str) -> DataFrame:
+    tests = labels.theory_tests(shuffled(s, d), ["channel"], PREDICTED)
+    roi = F.when(F.col("channel") % 3 == 0, "region of the first").when(F.col("channel") % 3 == 1, "region of the second").otherwise("another")
+    return tables.validated(tests.withColumn("roi", roi), "roi", {"first": 1, "second": -1}, "observed", "p")

@@ -157,9 +157,14 @@ _TH = f"(SELECT channel, perm, corr(value, CASE WHEN label < 2 THEN 1.0 ELSE 0 E
 _REACH = "avg(CASE WHEN {x} >= {o} - 1e-9 THEN 1.0 ELSE 0 END)"
 
 
-@query("u16_gated_theory_test", f"SELECT channel, r(pa) AS p_first, r(pb) AS p_second, r(oa - ob) AS observed, r(p) AS p FROM (SELECT channel, oa, ob, {_REACH.format(x='a', o='oa')} AS pa, {_REACH.format(x='b', o='ob')} AS pb, {_REACH.format(x='a - b', o='(oa - ob)')} AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN a END) OVER (PARTITION BY channel) AS oa, max(CASE WHEN perm = 0 THEN b END) OVER (PARTITION BY channel) AS ob FROM {_TH}) GROUP BY 1, 2, 3) WHERE least(pa, pb) <= 0.05")
+_TESTS = f"(SELECT channel, {_REACH.format(x='a', o='oa')} AS p_first, {_REACH.format(x='b', o='ob')} AS p_second, oa - ob AS observed, {_REACH.format(x='a - b', o='(oa - ob)')} AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN a END) OVER (PARTITION BY channel) AS oa, max(CASE WHEN perm = 0 THEN b END) OVER (PARTITION BY channel) AS ob FROM {_TH}) GROUP BY channel, oa, ob)"
+#: What two theories predict for a label.
+PREDICTED = {0: (1.0, 1.0), 1: (1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, 0.0)}
+
+
+@query("u16_gated_theory_test", f"SELECT channel, r(p_first) AS p_first, r(p_second) AS p_second, r(observed) AS observed, r(p) AS p FROM {_TESTS} WHERE least(p_first, p_second) <= 0.05")
 def u16_gated(s: SparkSession, d: str) -> DataFrame:
-    return labels.gated_theory_test(shuffled(s, d), ["channel"], {0: (1.0, 1.0), 1: (1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, 0.0)})
+    return labels.gated_theory_test(shuffled(s, d), ["channel"], PREDICTED)
 
 
 _PV = "(SELECT channel, t, 1 / (1 + abs(avg(value - 50))) AS p FROM {sg} GROUP BY 1, 2)"
