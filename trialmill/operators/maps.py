@@ -54,7 +54,7 @@ def equal_label_counts(df: DataFrame, label: str, tie: str, seed: int = 0, withi
     counts = df.groupBy(*within, label).agg(F.count(F.lit(1)).alias("_c"))
     least = counts.groupBy(*within).agg(F.min("_c").alias("_least")) if within else counts.agg(F.min("_c").alias("_least"))
     rows = df.withColumn("_n", F.row_number().over(w.orderBy(order, tie)))
-    rows = rows.join(F.broadcast(least), list(within)) if within else rows.crossJoin(F.broadcast(least))
+    rows = rows.join(least, list(within)) if within else rows.crossJoin(F.broadcast(least))
     return rows.where(F.col("_n") <= F.col("_least")).withColumn("rank", F.col("_n").cast("long")).drop("_n", "_least")
 
 

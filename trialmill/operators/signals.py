@@ -53,7 +53,7 @@ def neighbours(channels: DataFrame, prefix: Column, number: Column) -> DataFrame
 
 def without_bad(refs: DataFrame, bad: DataFrame) -> DataFrame:
     """References without bad channels; ok is false where none is left."""
-    flags = F.broadcast(bad.select("channel").distinct())
+    flags = bad.select("channel").distinct()
     rows = refs.join(flags.withColumnRenamed("channel", "b1"), F.col("ref1") == F.col("b1"), "left").join(flags.withColumnRenamed("channel", "b2"), F.col("ref2") == F.col("b2"), "left")
     rows = rows.select("channel", F.when(F.col("b1").isNull(), F.col("ref1")).alias("ref1"), F.when(F.col("b2").isNull(), F.col("ref2")).alias("ref2"))
     return rows.withColumn("ok", F.col("ref1").isNotNull() | F.col("ref2").isNotNull())
@@ -61,7 +61,7 @@ def without_bad(refs: DataFrame, bad: DataFrame) -> DataFrame:
 
 def laplacian(signal: DataFrame, refs: DataFrame, at: Sequence[str], value: str = "value") -> DataFrame:
     """value less the mean of the references at the same place, nulls left out; null if both are."""
-    x = signal.join(F.broadcast(refs), "channel")
+    x = signal.join(refs, "channel")
     for r in ("ref1", "ref2"):
         other = signal.select(F.col("channel").alias(r), *at, F.col(value).alias(f"_{r}"))
         x = x.join(other, [r, *at], "left")

@@ -49,7 +49,7 @@ def subject_quality(trials: DataFrame) -> DataFrame:
 
 def validity(quality: DataFrame, bounds: DataFrame, key: str) -> DataFrame:
     """Quality rows with hits_ok, fas_ok and valid, by bounds (key, min_hits, max_fas)."""
-    rows = quality.join(F.broadcast(bounds), key, "left")
+    rows = quality.join(bounds, key, "left")
     return rows.withColumns({"hits_ok": F.col("hit_rate") >= F.col("min_hits"), "fas_ok": F.col("fa_rate") <= F.col("max_fas")}).withColumn("valid", F.col("hits_ok") & F.col("fas_ok"))
 
 

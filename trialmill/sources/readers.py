@@ -25,7 +25,7 @@ def run_logs(spark: SparkSession, path: str, schema: str, time: str = "time") ->
     w = Window.partitionBy("subject", "run")
     files = files.withColumn("regular", F.count_if(F.col("kind") == "regular").over(w)).withColumn("n", F.row_number().over(w.orderBy(F.desc("latest"), "file")))
     checked = files.where("n = 1").withColumn("ok", F.assert_true(F.col("regular") <= 1, F.concat(F.lit("two regular files of run "), F.col("run").cast("string")))).where("ok is null")
-    return rows.join(F.broadcast(checked.select("subject", "run", "file")), ["subject", "run", "file"], "left_semi")
+    return rows.join(checked.select("subject", "run", "file"), ["subject", "run", "file"], "left_semi")
 
 
 def is_subject(column: str) -> F.Column:
@@ -57,7 +57,7 @@ def tracker_log(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     pattern, _ = TRACKER["sample"]
     ends = lines.where(F.col("value").rlike(pattern)).groupBy("file").agg(F.max(F.regexp_extract("value", "^([0-9]+)", 1).cast("long")).alias("last"))
     before = F.coalesce(F.sum("last").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = lines.join(F.broadcast(ends.select("file", before.alias("shift"))), "file", "left")
+    lines = lines.join(ends.select("file", before.alias("shift")), "file", "left")
     out = {}
     for kind, (pattern, columns) in TRACKER.items():
         rows = lines.where(F.col("value").rlike(pattern))
