@@ -218,3 +218,11 @@ def test_theories_by_rank_correlation(spark):
     got = decoding.theory_rank_correlation(cells, predicted, "subject").first()
     assert got.n == 4 and got["mean"] == pytest.approx(np.mean(tau)) and got.t == pytest.approx(np.mean(tau) / np.std(tau, ddof=1) * 2)
     assert decoding.theory_rank_correlation(cells.limit(0), predicted, "subject").count() == 0
+
+
+def test_binomial_factors_as_columns(spark):
+    """The whole formula runs in tasks, also after the driver has used it: 8 of 10, and 1 of 1."""
+    dist.log_beta(np.array([2.0]), np.array([3.0]))
+    got = spark.createDataFrame([(8, 10), (1, 1)], "k long, n long").select(dist.beta_binomial_bf("k", "n").alias("bf"), dist.binomial_p("k", "n").alias("p")).collect()
+    assert got[0].bf == pytest.approx(1 / 11 / math.comb(10, 8) * 2**10) and got[0].p == pytest.approx(56 / 1024)
+    assert got[1].bf == pytest.approx(1.0) and got[1].p == pytest.approx(0.5)

@@ -9,7 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """Log gamma of each number; made anew in each call, as a vectorised function that tasks hold can't be pickled."""
+    return np.vectorize(math.lgamma, otypes=[float])(x)
 
 
 def beta_inc(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
