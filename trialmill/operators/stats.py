@@ -37,6 +37,18 @@ def average_ranks(df: DataFrame, keys: Sequence[str], value: str, into: str = "r
     return df.withColumn(into, first + (ties - 1) / 2)
 
 
+def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """(keys, rho): correlation of the ranks of x and y among a group's rows that have both; null without spread.
+
+    Values are ranked to 9 digits, so that those that differ by rounding alone are ties.
+    """
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    rows = df.select(*keys, both.alias("_b"), F.when(both, F.round(x, 9)).alias("_x"), F.when(both, F.round(y, 9)).alias("_y"))
+    ranked = average_ranks(average_ranks(rows, [*keys, "_b"], "_x", "_rx"), [*keys, "_b"], "_y", "_ry")
+    rx, ry = F.when(F.col("_b"), F.col("_rx")), F.when(F.col("_b"), F.col("_ry"))
+    return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop(rx, ry), F.stddev_pop(rx) * F.stddev_pop(ry)).alias("rho"))
+
+
 def signed_rank(df: DataFrame, keys: Sequence[str], difference: Column) -> DataFrame:
     """Wilcoxon's signed-rank sum of positive differences and its normal z; zero differences are left out."""
     rows = df.withColumn("_d", difference).where("_d <> 0").withColumn("_a", F.abs("_d"))

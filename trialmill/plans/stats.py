@@ -141,10 +141,14 @@ def u15(s: SparkSession, d: str) -> DataFrame:
     return ops.partial_correlation(curves(s, d), ["channel"], "x", "y", "t")
 
 
-@query("u15_spearman", f"SELECT channel, r(corr(rx, ry)) AS rho FROM (SELECT channel, rank() OVER (PARTITION BY channel ORDER BY x) + (count(*) OVER (PARTITION BY channel, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY channel ORDER BY y) + (count(*) OVER (PARTITION BY channel, y) - 1) / 2 AS ry FROM {_KT}) GROUP BY 1")
+#: Ranks among the times that have both means, to 9 digits: what differs by rounding alone is a tie.
+_PAIRED = f"(SELECT channel, t, CASE WHEN both_ THEN round(x, 9) END AS x, CASE WHEN both_ THEN round(y, 9) END AS y, both_ FROM (SELECT *, x IS NOT NULL AND y IS NOT NULL AS both_ FROM {_KT}))"
+_SR = "CASE WHEN both_ THEN rank() OVER (PARTITION BY channel, both_ ORDER BY {v}) + (count(*) OVER (PARTITION BY channel, both_, {v}) - 1) / 2 END"
+
+
+@query("u15_spearman", f"SELECT channel, r(covar_pop(rx, ry) / nullif(stddev_pop(rx) * stddev_pop(ry), 0)) AS rho FROM (SELECT channel, {_SR.replace('{v}', 'x')} AS rx, {_SR.replace('{v}', 'y')} AS ry FROM {_PAIRED}) GROUP BY 1")
 def u15b(s: SparkSession, d: str) -> DataFrame:
-    ranked = ops.average_ranks(ops.average_ranks(curves(s, d), ["channel"], "x", "rx"), ["channel"], "y", "ry")
-    return ranked.groupBy("channel").agg(F.corr("rx", "ry").alias("rho"))
+    return ops.spearman(curves(s, d), ["channel"], "x", "y")
 
 
 @query("u16_theory_difference_shuffles", f"SELECT channel, r(max(z) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN z >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN z END) OVER (PARTITION BY channel) AS o FROM (SELECT channel, perm, corr(value, CASE WHEN label < 2 THEN 1.0 ELSE 0 END) - corr(value, CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0 END) AS z FROM {_SHUF} GROUP BY 1, 2)) GROUP BY 1")
