@@ -82,11 +82,12 @@ def d54(s: SparkSession, d: str) -> DataFrame:
     return matrices(s, d).where("x <> y").join(F.broadcast(seeds), "x").groupBy(F.col("x").alias("seed")).agg(F.avg("v").alias("mean"))
 
 
-@query("d55_z_against_repeats", f"SELECT x, y, r((max(v) FILTER (WHERE channel = 0) - avg(v) FILTER (WHERE channel > 0)) / nullif(stddev_pop(v) FILTER (WHERE channel > 0), 0)) AS z FROM {_RDM} GROUP BY 1, 2")
+@query("d55_z_against_repeats", f"SELECT x, y, r(CASE WHEN sd > 1e-9 THEN (o - m) / sd END) AS z FROM (SELECT x, y, max(v) FILTER (WHERE channel = 0) AS o, avg(v) FILTER (WHERE channel > 0) AS m, stddev_pop(v) FILTER (WHERE channel > 0) AS sd FROM {_RDM} GROUP BY 1, 2)")
 def d55(s: SparkSession, d: str) -> DataFrame:
+    """Null where the repeats have no spread beyond rounding, as on the diagonal."""
     null = F.when(F.col("channel") > 0, F.col("v"))
     g = matrices(s, d).groupBy("x", "y").agg(F.max(F.when(F.col("channel") == 0, F.col("v"))).alias("o"), F.avg(null).alias("m"), F.stddev_pop(null).alias("sd"))
-    return g.select("x", "y", F.try_divide(F.col("o") - F.col("m"), "sd").alias("z"))
+    return g.select("x", "y", F.when(F.col("sd") > 1e-9, (F.col("o") - F.col("m")) / F.col("sd")).alias("z"))
 
 
 @query("u26_selected_trials", "SELECT subject, trial, line, flag || '_' || status AS label, CAST(trial % 8 AS INT) AS run, count(*) AS n FROM {tr} WHERE flag IN ('A', 'R') AND quantity > 40 GROUP BY ALL")
