@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import stats
+from ..operators import blocks, stats
 from .maps import channels
-from .similarity import _CEN, _LONG, _RES, pairs, results
+from .similarity import _CEN, _LONG, _RES, results
 from .standins import events, features, query, signal, table, trials
 
 
@@ -98,10 +98,11 @@ def u26(s: SparkSession, d: str) -> DataFrame:
 
 @query("u31_random_subsets", "SELECT rep, r(avg(CASE WHEN NOT same THEN distance END) - avg(CASE WHEN same THEN distance END)) AS score FROM (SELECT rep, p.same, p.distance FROM (SELECT a.run, a.id AS a, b.id AS b, a.label = b.label AS same, sqrt(list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM {ft} a JOIN {ft} b ON a.run = b.run AND a.id < b.id) p, (SELECT unnest([1, 2, 3]) AS rep) WHERE substr(md5(concat_ws(':', rep, a)), 1, 1) < '8' AND substr(md5(concat_ws(':', rep, b)), 1, 1) < '8') GROUP BY 1")
 def u31(s: SparkSession, d: str) -> DataFrame:
-    rows = pairs(s, d).withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
-    chosen = lambda c: F.substring(F.md5(F.concat_ws(":", "rep", c)), 1, 1) < "8"
-    across, own = F.avg(F.when(~F.col("same"), F.col("distance"))), F.avg(F.when(F.col("same"), F.col("distance")))
-    return rows.where(chosen("a") & chosen("b")).groupBy("rep").agg((across - own).alias("score"))
+    """Items are drawn before they are paired: a pair is in a subset when both its items are."""
+    items = features(s, d).withColumn("rep", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    sums = blocks.label_distances(items.where(F.substring(F.md5(F.concat_ws(":", "rep", "id")), 1, 1) < "8"), ["rep", "run"])
+    mean = lambda kind: F.try_divide(F.sum(f"s_{kind}"), F.sum(f"n_{kind}"))
+    return sums.where("n_within + n_between > 0").groupBy("rep").agg((mean("between") - mean("within")).alias("score"))
 
 
 @query("a17_group_table", "SELECT s_nationkey AS nation, count(*) AS n, r(avg(s_acctbal)) AS mean FROM supplier GROUP BY 1 UNION ALL SELECT c_nationkey, count(*), r(avg(c_acctbal)) FROM customer GROUP BY 1")
