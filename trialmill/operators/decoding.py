@@ -101,9 +101,9 @@ def grid_cluster_test(scores: DataFrame, keys: Sequence[str], x: str, y: str, th
 def theory_correlation(cells: DataFrame, predicted: DataFrame, subject: str, x: str = "x", y: str = "y", value: str = "v") -> DataFrame:
     """(theory, mean, sd, n, t, df): each subject's correlation with each theory's predicted matrix, then t over subjects.
 
-    predicted has (theory, x, y, predicted), a row for each cell of a theory.
+    predicted has (theory, x, y, predicted), a row for each cell of a theory; it is as small as a few matrices and is broadcast.
     """
-    each = cells.join(predicted, [x, y]).groupBy("theory", subject).agg(F.corr(value, "predicted").alias("rho"))
+    each = cells.join(F.broadcast(predicted), [x, y]).groupBy("theory", subject).agg(F.corr(value, "predicted").alias("rho"))
     return one_sample_t(each, ["theory"], F.col("rho"))
 
 
@@ -112,7 +112,7 @@ def theory_rank_correlation(cells: DataFrame, predicted: DataFrame, subject: str
 
     A subject's cells of one theory meet in one task, in order, without a join of their pairs.
     """
-    each = kendall_by_runs(cells.join(predicted, [x, y]), ["theory", subject], value, "predicted")
+    each = kendall_by_runs(cells.join(F.broadcast(predicted), [x, y]), ["theory", subject], value, "predicted")
     return one_sample_t(each, ["theory"], F.col("tau"))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -214,3 +216,58 @@ def rising_edges(signal: DataFrame, keys: Sequence[str], threshold: float, apart
     edges = signal.withColumn("_before", F.lag(value).over(w)).where((F.col(value) > threshold) & (F.col("_before") <= threshold))
     gap = F.col(t) - F.lag(t).over(w)
     return edges.withColumn("_gap", gap).where(F.col("_gap").isNull() | (F.col("_gap") >= apart)).select(*keys, t)
+
+
+def difference_matrices(df: DataFrame, keys: Sequence[str], unit: str, axis: str, value: str) -> DataFrame:
+    """(keys, x, y, v): the mean absolute difference between two points of an axis, over the units of a group that have both.
+
+    df has one row for each unit and point. Pairs of points that no unit has are left out; v is null where values are. Rows
+    without a key, a unit or a point take no part. A group's rows meet in one task in order of their unit, and its matrix is
+    formed there, so that pairs of rows are neither joined nor grouped.
+    """
+    kinds = dict(df.dtypes)
+    keys = list(keys)
+
+    def matrices(pdf: pd.DataFrame, first: np.ndarray) -> pd.DataFrame:
+        group = np.cumsum(first) - 1
+        new = first.copy()
+        new[1:] |= pdf["unit_"].to_numpy()[1:] != pdf["unit_"].to_numpy()[:-1]
+        at = np.cumsum(new) - 1
+        at -= at[first][group]  # units are numbered within their group
+        points, place = np.unique(pdf["at_"].to_numpy(), return_inverse=True)
+        cells = np.full((group[-1] + 1, at.max() + 1, len(points)), np.nan)
+        cells[group, at, place] = pdf["v_"].to_numpy(float)
+        seen = np.zeros(cells.shape)
+        seen[group, at, place] = 1.0
+        both = lambda there: there.transpose(0, 2, 1) @ there
+        total = np.zeros((len(cells), len(points), len(points)))
+        for u in range(cells.shape[1]):
+            d = np.abs(cells[:, u, :, None] - cells[:, u, None, :])
+            total += np.where(np.isnan(d), 0.0, d)
+        n = both((~np.isnan(cells)).astype(float))
+        g, x, y = np.nonzero(both(seen))
+        out = pdf.loc[first, keys].iloc[g].reset_index(drop=True)
+        with np.errstate(invalid="ignore"):
+            return out.assign(x=points[x], y=points[y], v=(total / n)[g, x, y])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None  # rows of the group that may go on in the next batch
+        for pdf in batches:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            if not len(pdf):
+                continue
+            first = np.ones(len(pdf), bool)
+            first[1:] = (pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(axis=1)
+            last = int(np.flatnonzero(first)[-1])
+            held = pdf.iloc[last:]
+            if last:
+                yield matrices(pdf.iloc[:last], first[:last])
+        if held is not None:
+            yield matrices(held, np.arange(len(held)) == 0)
+
+    there = F.col(unit).isNotNull() & F.col(axis).isNotNull()
+    for k in keys:
+        there &= F.col(k).isNotNull()
+    rows = df.where(there).select(*keys, F.col(unit).alias("unit_"), F.col(axis).alias("at_"), F.col(value).cast("double").alias("v_"))
+    rows = (rows.repartition(*keys) if keys else rows.repartition(1)).sortWithinPartitions(*keys, "unit_")
+    return rows.mapInPandas(run, ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"x {kinds[axis]}, y {kinds[axis]}, v double"]))

@@ -103,12 +103,18 @@ _CELLS = "(SELECT a.channel, a.t AS x, b.t AS y, avg(abs(a.value - b.value)) AS
 _THEORIES = "(SELECT * FROM (VALUES ('early', 2, 8), ('late', 9, 12)) AS w(theory, lo, hi))"
 
 
+def times_by_times(s: SparkSession, d: str) -> DataFrame:
+    """(x, y): all pairs of times, without a look at the matrices."""
+    t = signal(s, d).select("t").distinct()
+    return t.select(F.col("t").alias("x")).crossJoin(F.broadcast(t.select(F.col("t").alias("y"))))
+
+
 @query("u35_theory_correlation", f"SELECT theory, r(avg(rho)) AS mean, r(stddev_samp(rho)) AS sd, count(rho) AS n, r(avg(rho) / nullif(stddev_samp(rho) / sqrt(count(rho)), 0)) AS t, count(rho) - 1 AS df FROM (SELECT theory, channel, corr(v, CASE WHEN x BETWEEN lo AND hi AND y BETWEEN lo AND hi THEN 1.0 ELSE 0 END) AS rho FROM {_CELLS} CROSS JOIN {_THEORIES} GROUP BY 1, 2) GROUP BY 1")
 def u35(s: SparkSession, d: str) -> DataFrame:
     spans = F.explode(F.array(*[F.struct(F.lit(name).alias("theory"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for name, lo, hi in (("early", 2, 8), ("late", 9, 12))])).alias("w")
     cells = matrices(s, d)
     inside = F.col("x").between(F.col("w.lo"), F.col("w.hi")) & F.col("y").between(F.col("w.lo"), F.col("w.hi"))
-    predicted = cells.select("x", "y").distinct().select("x", "y", spans).select("w.theory", "x", "y", inside.cast("double").alias("predicted"))
+    predicted = times_by_times(s, d).select("x", "y", spans).select("w.theory", "x", "y", inside.cast("double").alias("predicted"))
     return ops.theory_correlation(cells, predicted, "channel")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import distributions as dist
 from ..operators import decoding, labels, results as tables, stats as ops, trials as log
-from .decoding import _CELLS
+from .decoding import _CELLS, times_by_times
 from .maps import channels as places_of
 from .results import matrices
 from .similarity import _RES, results
@@ -144,7 +144,7 @@ _INSIDE = "CASE theory " + " ".join(f"WHEN '{name}' THEN CASE WHEN " + " OR ".jo
 def u35(s: SparkSession, d: str) -> DataFrame:
     cells = matrices(s, d).withColumn("v", F.round("v", 6))
     spans = F.array(*[F.struct(F.lit(name).alias("theory"), F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip("abce", block)]) for block in blocks]).alias("blocks")) for name, blocks in THEORIES])
-    grid = cells.select("x", "y").distinct().select("x", "y", F.explode(spans).alias("s"))
+    grid = times_by_times(s, d).select("x", "y", F.explode(spans).alias("s"))
     inside = F.exists("s.blocks", lambda z: F.col("x").between(z["a"], z["b"]) & F.col("y").between(z["c"], z["e"]))
     return decoding.theory_rank_correlation(cells, grid.select("s.theory", "x", "y", inside.cast("double").alias("predicted")), "channel")
 

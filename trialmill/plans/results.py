@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import blocks, stats
+from ..operators import blocks, signals, stats
 from .maps import channels
 from .similarity import _CEN, _LONG, _RES, results
 from .standins import events, features, query, signal, table, trials
@@ -23,17 +23,15 @@ _RDM = "(SELECT a.channel, a.t AS x, b.t AS y, avg(abs(a.value - b.value)) AS v
 
 
 def matrices(s: SparkSession, d: str) -> DataFrame:
-    x = signal(s, d)
-    a, b = x.select("channel", "epoch", F.col("t").alias("x"), F.col("value").alias("p")), x.select("channel", "epoch", F.col("t").alias("y"), F.col("value").alias("q"))
-    return a.join(b, ["channel", "epoch"]).groupBy("channel", "x", "y").agg(F.avg(F.abs(F.col("p") - F.col("q"))).alias("v"))
+    return signals.difference_matrices(signal(s, d), ["channel"], "epoch", "t", "value")
 
 
 @query("b30_sub_sampled_matrix", f"SELECT channel, dense_rank() OVER (PARTITION BY channel ORDER BY x) AS x, dense_rank() OVER (PARTITION BY channel ORDER BY y) AS y, r(v) AS v FROM {_RDM} WHERE (x BETWEEN 2 AND 5 OR x BETWEEN 9 AND 12) AND (y BETWEEN 2 AND 5 OR y BETWEEN 9 AND 12)")
 def b30(s: SparkSession, d: str) -> DataFrame:
+    """Times outside the spans have no cell in the sub-matrix: they are left out before it is formed."""
     spans = s.createDataFrame([(2, 5), (9, 12)], "lo int, hi int")
-    m = matrices(s, d)
-    for axis in ("x", "y"):
-        m = m.join(F.broadcast(spans), F.col(axis).between(F.col("lo"), F.col("hi")), "left_semi")
+    kept = signal(s, d).join(F.broadcast(spans), F.col("t").between(F.col("lo"), F.col("hi")), "left_semi")
+    m = signals.difference_matrices(kept, ["channel"], "epoch", "t", "value")
     rank = lambda c: F.dense_rank().over(Window.partitionBy("channel").orderBy(c)).cast("long")
     return m.select("channel", rank("x").alias("x"), rank("y").alias("y"), "v")
 
