@@ -140,3 +140,21 @@ def test_sums_stay_whole_over_tasks_and_steps(spark):
     for r in got:
         n, q, t = want[r.g]
         assert r.n == n and math.isclose(r.q, q) and np.allclose(r.s, t)
+
+
+def test_tests_that_meet_equal_spread_ones(spark):
+    """Sums, t and clusters in one task give what shuffled arrays give, with nulls, points that lack subjects, and one and two axes."""
+    rng = np.random.default_rng(12)
+    rows = [(g, s, "a" if s < 4 else "b", r, t, None if rng.random() < 0.03 else float(rng.normal() + 1.2 * (t > 2) + (s < 4))) for g in range(5) for s in range(9) for r in range(2) for t in range(6) if rng.random() < 0.98]
+    df = spark.createDataFrame(rows, "g long, s int, side string, r int, t int, v double")
+    key = lambda r: tuple(round(v, 9) if isinstance(v, float) else str(v) for v in r)
+    for axes in (["t"], ["r", "t"]):
+        one = df if len(axes) == 2 else df.where("r = 0")
+        for make in (
+            lambda spread: clusters.one_sample_clusters(one, ["g"], axes, "s", "v", 49, 1.5, tail=0, step_down=0.05, spread=spread),
+            lambda spread: clusters.two_sample_clusters(one, ["g"], axes, "s", "side", "v", 49, "a", 1.0, spread=spread),
+        ):
+            near, far = (sorted(map(key, make(spread).collect())) for spread in (False, True))
+            assert near == far and near
+    plan = clusters.one_sample_clusters(df, ["g"], ["r", "t"], "s", "v", 9, 1.5)._jdf.queryExecution().toString()
+    assert "Union" not in plan and "rangepartitioning" not in plan

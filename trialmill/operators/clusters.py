@@ -59,14 +59,8 @@ def swaps(groups: dict[str, bool], count: int) -> Callable[[str | None], np.ndar
     return of
 
 
-def permuted_sums(df: DataFrame, keys: Sequence[str], subject: str, value: str, weights: Callable[[str | None], np.ndarray], width: int) -> DataFrame:
-    """(keys, n, q, s): of each group the number of values, their sum of squares, and an array of their sums weighted by subject.
-
-    weights gives a subject's (as string) array of that width. No row is repeated for its perms: rows lie by range of
-    (keys, subject), so that a group of any size is spread over tasks, and a task sums the rows of a group by products. Only
-    groups that may go on in another task are merged afterwards. Null values take no part; a group with no other has n = 0.
-    """
-    keys = list(keys)
+def _summing(keys: Sequence[str], weights: Callable[[str | None], np.ndarray], width: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches of rows (keys, _s, _x) in order of their keys to batches of sums (keys, n, q, s, edge_), see permuted_sums."""
     names = [*keys, "n", "q", "s", "edge_"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +110,19 @@ def permuted_sums(df: DataFrame, keys: Sequence[str], subject: str, value: str,
         if kept is not None:
             yield out([kept], np.array([True]))
 
+    return run
+
+
+def permuted_sums(df: DataFrame, keys: Sequence[str], subject: str, value: str, weights: Callable[[str | None], np.ndarray], width: int) -> DataFrame:
+    """(keys, n, q, s): of each group the number of values, their sum of squares, and an array of their sums weighted by subject.
+
+    weights gives a subject's (as string) array of that width. No row is repeated for its perms: rows lie by range of
+    (keys, subject), so that a group of any size is spread over tasks, and a task sums the rows of a group by products. Only
+    groups that may go on in another task are merged afterwards. Null values take no part; a group with no other has n = 0.
+    """
+    keys = list(keys)
+    run = _summing(keys, weights, width)
+
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         one = pdf.iloc[:1].copy()
         one["n"], one["q"], one["s"] = pdf["n"].sum(), pdf["q"].sum(), [np.sum(pdf["s"].to_list(), axis=0)]
@@ -130,6 +137,22 @@ def permuted_sums(df: DataFrame, keys: Sequence[str], subject: str, value: str,
     return parts.where("not edge_").unionByName(edges).drop("edge_")
 
 
+def _t(n: np.ndarray, q: np.ndarray, s: np.ndarray, first: int | None, total: np.ndarray | None, missing: float) -> np.ndarray:
+    """t of sums over perms, of one sample or, with the first group's size and all values' sum, of two."""
+    n, q = n[:, None], q[:, None]
+    with np.errstate(divide="ignore", invalid="ignore"):
+        if first is None:
+            left = q - s * s / n
+            fine = (n > 1) & ~(left <= 1e-12 * q)
+            t = (s / n) / np.sqrt(left / (n - 1) / n)
+        else:
+            rest, total = n - first, total[:, None]
+            left = q - s * s / first - (total - s) ** 2 / rest
+            fine = (rest > 0) & (n > 2) & ~(left <= 1e-12 * q)
+            t = (s / first - (total - s) / rest) / np.sqrt(left / (n - 2) * (1 / first + 1 / rest))
+    return np.where(fine, t, missing)
+
+
 def t_arrays(sums: DataFrame, keys: Sequence[str], first: int | None = None, missing: float = 0.0) -> DataFrame:
     """(keys, n, stat): the t of each perm from permuted_sums; `missing` where values have no spread.
 
@@ -143,19 +166,10 @@ def t_arrays(sums: DataFrame, keys: Sequence[str], first: int | None = None, mis
         for pdf in batches:
             if not len(pdf):
                 continue
-            n, q, s = pdf["n"].to_numpy(float)[:, None], pdf["q"].to_numpy(float)[:, None], np.stack(pdf["s"].to_list())
-            with np.errstate(divide="ignore", invalid="ignore"):
-                if first is None:
-                    left = q - s * s / n
-                    fine = (n > 1) & ~(left <= 1e-12 * q)
-                    t = (s / n) / np.sqrt(left / (n - 1) / n)
-                else:
-                    rest, total = n - first, pdf["total"].to_numpy(float)[:, None]
-                    left = q - s * s / first - (total - s) ** 2 / rest
-                    fine = (rest > 0) & (n > 2) & ~(left <= 1e-12 * q)
-                    t = (s / first - (total - s) / rest) / np.sqrt(left / (n - 2) * (1 / first + 1 / rest))
+            total = None if first is None else pdf["total"].to_numpy(float)
+            t = _t(pdf["n"].to_numpy(float), pdf["q"].to_numpy(float), np.stack(pdf["s"].to_list()), first, total, missing)
             out = pdf[[*keys, "n"]].copy()
-            out["stat"] = list(np.where(fine, t, missing))
+            out["stat"] = list(t)
             yield out
 
     return sums.mapInPandas(run, schema)
@@ -258,17 +272,9 @@ def find_clusters(values: np.ndarray, threshold: float, tail: int = 1, step_down
         gone, include = int(out.sum()), there & ~np.any([m for (m, _), o in zip(seen, out) if o], axis=0)
 
 
-def array_cluster_test(rows: DataFrame, keys: Sequence[str], axes: Sequence[str], values: str, threshold: float, tail: int = 1, step_down: float | None = None) -> DataFrame:
-    """Clusters of each test along one axis (keys, lo, hi, cells, mass, p), or on two (keys, cluster, cells, mass, p).
-
-    rows has a row for each point or cell of a test, with an array of values over perms (the observed one first). Along one
-    axis, neighbours follow each other in its order. On two axes (whole numbers), neighbours differ by one in one of them, and
-    cluster is the least (x, y) of its cells, in that order, as an array. See find_clusters for tails and step-down.
-    """
-    kinds = dict(rows.dtypes)
+def _tester(keys: Sequence[str], axes: Sequence[str], values: str, threshold: float, tail: int, step_down: float | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """What makes rows of clusters of the rows of one test, see array_cluster_test."""
     grid = len(axes) == 2
-    at = "cluster array<long>" if grid else f"lo {kinds[axes[0]]}, hi {kinds[axes[0]]}"
-    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"{at}, cells long, mass double, p double"])
     columns = [*keys, *(["cluster"] if grid else ["lo", "hi"]), "cells", "mass", "p"]
 
     def test(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -289,22 +295,90 @@ def array_cluster_test(rows: DataFrame, keys: Sequence[str], axes: Sequence[str]
                 out.append((*head, points[mask][0], points[mask][-1], int(mask.sum()), mass, p))
         return pd.DataFrame(out, columns=columns)
 
+    return test
+
+
+def array_cluster_test(rows: DataFrame, keys: Sequence[str], axes: Sequence[str], values: str, threshold: float, tail: int = 1, step_down: float | None = None) -> DataFrame:
+    """Clusters of each test along one axis (keys, lo, hi, cells, mass, p), or on two (keys, cluster, cells, mass, p).
+
+    rows has a row for each point or cell of a test, with an array of values over perms (the observed one first). Along one
+    axis, neighbours follow each other in its order. On two axes (whole numbers), neighbours differ by one in one of them, and
+    cluster is the least (x, y) of its cells, in that order, as an array. See find_clusters for tails and step-down.
+    """
+    kinds = dict(rows.dtypes)
+    grid = len(axes) == 2
+    at = "cluster array<long>" if grid else f"lo {kinds[axes[0]]}, hi {kinds[axes[0]]}"
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"{at}, cells long, mass double, p double"])
+    test = _tester(keys, axes, values, threshold, tail, step_down)
     by = list(keys) or [F.lit(0).alias("_all")]
     return rows.select(*keys, *axes, values).groupBy(*by).applyInPandas(test, schema)
 
 
-def one_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str], subject: str, value: str, count: int, threshold: float | None = None, subjects: int | None = None, alpha: float = 0.05, tail: int = 0, step_down: float | None = None) -> DataFrame:
+def _met_clusters(rows: DataFrame, keys: Sequence[str], axes: Sequence[str], subject: str, value: str, weights: Callable[[str | None], np.ndarray], width: int, threshold: float, tail: int, step_down: float | None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """Cluster tests whose rows meet in one task, in order: sums, t and clusters are formed there, arrays over perms never leave it.
+
+    Rows are summed as they come; a task holds the arrays of one test's points. With sizes, those of the first group and of
+    both, t is that of two samples, and points of another number of values are left out.
+    """
+    keys, axes, kinds = list(keys), list(axes), dict(rows.dtypes)
+    by, grid = [*keys, *axes], len(axes) == 2
+    two = sizes is not None
+    own = (lambda name: np.append(weights(name), 1)) if two else weights  # two samples: the last sum is that of all values
+    summing, test = _summing(by, own, width + two), _tester(keys, axes, "stat", threshold, tail, step_down)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held, kind = None, [], None
+
+        def send() -> Iterator[pa.RecordBatch]:
+            found = test(pd.concat(held, ignore_index=True))
+            if len(found):
+                yield pa.RecordBatch.from_pandas(found, schema=kind, preserve_index=False)
+
+        for batch in summing(batches):
+            if kind is None:
+                own_kinds = [(k, batch.schema.field(k).type) for k in keys]
+                ends = [("cluster", pa.list_(pa.int64()))] if grid else [(c, batch.schema.field(axes[0]).type) for c in ("lo", "hi")]
+                kind = pa.schema([*own_kinds, *ends, ("cells", pa.int64()), ("mass", pa.float64()), ("p", pa.float64())])
+            n, q = (batch.column(c).to_numpy().astype(float) for c in ("n", "q"))
+            s = batch.column("s").flatten().to_numpy().reshape(len(n), -1)
+            t = _t(n, q, s[:, :width], sizes[0] if two else None, s[:, -1] if two else None, 0.0)
+            points = batch.select(by).to_pandas().assign(stat=list(t))
+            names = list(zip(*(batch.column(k).to_pylist() for k in keys))) if keys else [()] * len(n)
+            kept = n == sizes[1] if two else np.ones(len(n), bool)
+            starts = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            for at, end in zip(starts, starts[1:]):
+                if held and names[at] != name:
+                    yield from send()
+                    held.clear()
+                name = names[at]
+                part = points.iloc[at:end][kept[at:end]]
+                if len(part):
+                    held.append(part)
+        if held:
+            yield from send()
+
+    at = "cluster array<long>" if grid else f"lo {kinds[axes[0]]}, hi {kinds[axes[0]]}"
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], f"{at}, cells long, mass double, p double"])
+    rows = rows.select(*by, F.col(subject).cast("string").alias("_s"), F.col(value).cast("double").alias("_x"))
+    return rows.repartition(*keys).sortWithinPartitions(*by, "_s").mapInArrow(run, schema)
+
+
+def one_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str], subject: str, value: str, count: int, threshold: float | None = None, subjects: int | None = None, alpha: float = 0.05, tail: int = 0, step_down: float | None = None, spread: bool = False) -> DataFrame:
     """Cluster test of subjects' values against 0 by sign flips, along one or two axes.
 
+    A test's rows meet in one task. spread (and a test without keys) sums them in many tasks first, for few tests of very many
+    subjects; then arrays over perms are shuffled.
     The threshold is given, or is the t that alpha leaves outside (on both sides for tail 0) at subjects - 1 degrees of freedom.
     """
     if threshold is None:
         threshold = t_quantile(1 - alpha / (2 if tail == 0 else 1), subjects - 1)
+    if keys and not spread:
+        return _met_clusters(df, keys, axes, subject, value, signs(count), count + 1, threshold, tail, step_down)
     sums = permuted_sums(df, [*keys, *axes], subject, value, signs(count), count + 1)
     return array_cluster_test(t_arrays(sums, [*keys, *axes]), keys, axes, "stat", threshold, tail, step_down)
 
 
-def two_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str], subject: str, group: str, value: str, count: int, first: str, threshold: float | None = None, alpha: float = 0.05, tail: int = 0, step_down: float | None = None, most: int = 10_000) -> DataFrame:
+def two_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str], subject: str, group: str, value: str, count: int, first: str, threshold: float | None = None, alpha: float = 0.05, tail: int = 0, step_down: float | None = None, most: int = 10_000, spread: bool = False) -> DataFrame:
     """Cluster test of two groups of subjects by swaps of whole subjects, along one or two axes; see one_sample_clusters.
 
     df has one row (keys, axes, subject, group, value) for each subject and point; t is that of equal variances. Subjects
@@ -322,6 +396,8 @@ def two_sample_clusters(df: DataFrame, keys: Sequence[str], axes: Sequence[str],
     if threshold is None:
         threshold = t_quantile(1 - alpha / (2 if tail == 0 else 1), max(total - 2, 1))
     by = [*keys, *axes]
+    if keys and not spread:
+        return _met_clusters(rows, keys, axes, subject, value, swaps(groups, count), count + 1, threshold, tail, step_down, (one, total))
     sums = permuted_sums(rows, by, subject, value, swaps(groups, count), count + 1).where(F.col("n") == total)
     sums = sums.join(rows.groupBy(*by).agg(F.sum(value).alias("total")), by) if by else sums
     return array_cluster_test(t_arrays(sums, by, first=one), keys, axes, "stat", threshold, tail, step_down)
