@@ -24,3 +24,12 @@ def test_flipped_sums_equal_repeated_rows(spark):
     whole = stats.flipped_sums(df, [], "subject", "v", PERMS).where("perm = 0").first()
     assert whole.n == len(rows) - 1
     assert stats.flipped_sums(df.limit(0), ["g"], "subject", "v", PERMS).count() == 0
+
+
+def test_groups_that_meet_equal_spread_ones(spark):
+    """A null, a group without spread, one of a single row and one of nulls alone."""
+    rows = [(g, s, float((s * 7 + g * 3) % 11) - 4.0) for g in range(4) for s in range(6)] + [(0, 9, None), (5, 1, 2.0), (6, 1, None), (7, 1, 0.0), (7, 2, 0.0)]
+    df = spark.createDataFrame(rows, "g long, s int, v double")
+    near, far = ({r.g: (r.t, r.p) for r in stats.sign_flip_test(df, ["g"], "s", "v", 99, spread=spread).collect()} for spread in (False, True))
+    assert near == far and len(near) == 7 and near[5] == near[6] == near[7] == (None, None)
+    assert "Union" not in stats.sign_flip_test(df, ["g"], "s", "v", 9)._jdf.queryExecution().toString()

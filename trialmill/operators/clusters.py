@@ -196,6 +196,24 @@ def array_p(rows: DataFrame, keys: Sequence[str], values: str, tail: int = 0) ->
     return out.withColumns({c: F.nanvl(c, F.lit(None)) for c in ("observed", "p")})
 
 
+def met_flip_p(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
+    """(keys, observed, p): array_p of the one-sample t under sign flips, of groups whose rows meet in one task; arrays over perms never leave it."""
+    keys, kinds, width = list(keys), dict(df.dtypes), count + 1
+    summing = _summing(keys, signs(count), width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in summing(batches):
+            n, q = (batch.column(c).to_numpy().astype(float) for c in ("n", "q"))
+            t = _t(n, q, batch.column("s").flatten().to_numpy().reshape(-1, width), None, None, np.nan)
+            p = (np.abs(t) >= np.abs(t[:, :1]) - 1e-9).sum(axis=1) / np.maximum((~np.isnan(t)).sum(axis=1), 1)
+            none = np.isnan(t[:, 0])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), pa.array(t[:, 0], mask=none), pa.array(p, mask=none)], names=[*keys, "observed", "p"])
+
+    rows = df.select(*keys, F.col(subject).cast("string").alias("_s"), F.col(value).cast("double").alias("_x"))
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "observed double, p double"])
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "_s").mapInArrow(run, schema)
+
+
 def _labels_1d(on: np.ndarray) -> np.ndarray:
     """For each row the number of the stretch that a point lies in, 0 outside."""
     fresh = on.copy()

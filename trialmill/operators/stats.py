@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.distributions import bayes_factor_t, chi2_p_value, empirical_null_bf
-from .clusters import array_p, permuted_sums, signs, t_arrays
+from .clusters import array_p, met_flip_p, permuted_sums, signs, t_arrays
 from .intervals import mark_runs
 from .signals import sustained
 
@@ -92,8 +92,13 @@ def flipped_t(df: DataFrame, keys: Sequence[str], subject: str, value: str, coun
     return flipped_sums(df, keys, subject, value, count).select(*keys, "perm", F.try_divide(s / n, F.sqrt(var / n)).alias("t"))
 
 
-def sign_flip_test(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int) -> DataFrame:
-    """One-sample permutation t per group: share of sign flips whose absolute t reaches the observed one, which counts as one of them."""
+def sign_flip_test(df: DataFrame, keys: Sequence[str], subject: str, value: str, count: int, spread: bool = False) -> DataFrame:
+    """One-sample permutation t per group: share of sign flips whose absolute t reaches the observed one, which counts as one of them.
+
+    A group's rows meet in one task; spread (and no keys) sums them in many tasks first, for few groups of very many rows.
+    """
+    if keys and not spread:
+        return met_flip_p(df, keys, subject, value, count).withColumnRenamed("observed", "t")
     t = t_arrays(permuted_sums(df, keys, subject, value, signs(count), count + 1), keys, missing=float("nan"))
     return array_p(t, keys, "stat").withColumnRenamed("observed", "t")
 
