@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .stats import shuffled_labels
 
 #: Items of a group that are shuffled in one task; larger groups are shuffled by Spark's windows, with the same result.
 GROUP = 1 << 14
-#: Rows whose labels are compared together.
-_STEP = 256
+#: Rows whose labels are compared together, and places (items x perms) of a group that are formed together.
+_STEP, _PLACES = 256, 1 << 20
 
 
 @lru_cache(1 << 12)
@@ -35,6 +36,32 @@ def _places(names: list[str], first: int, last: int) -> np.ndarray:
     return order
 
 
+@lru_cache(64)
+def _kept_places(names: tuple[str, ...], count: int) -> np.ndarray:
+    """_places of all perms, as groups of the same few ids come again and again."""
+    return _places(list(names), 1, count + 1).astype(np.int32)
+
+
+def _sums_of(names: list[str], code: np.ndarray, x: np.ndarray, kinds: int, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(labels x perms) numbers, sums and sums of squares of a group's values under shuffled labels, given as codes; its ids are in order."""
+    n, s, q = (np.zeros((kinds, count + 1)) for _ in range(3))
+    there = ~np.isnan(x)
+    step = max(1, _PLACES // len(names))
+    for at in range(0, count + 1, step):
+        perms = slice(at, min(at + step, count + 1))
+        first = max(at, 1)
+        if len(names) * count <= _PLACES // 8:
+            places = _kept_places(tuple(names), count)[:, first - 1 : perms.stop - 1]
+        else:
+            places = _places(names, first, perms.stop) if perms.stop > first else np.zeros((len(names), 0), int)
+        own = code[places] if at else np.concatenate([code[:, None], code[places]], axis=1)
+        own, v = own[there], x[there]
+        for c in range(kinds):
+            on = (own == c).astype(float)
+            n[c, perms], s[c, perms], q[c, perms] = on.sum(axis=0), v @ on, (v * v) @ on
+    return n, s, q
+
+
 def with_label_arrays(df: DataFrame, within: Sequence[str], key: str, label: str, count: int, group: int = GROUP) -> DataFrame:
     """df with labels: its label under each perm, the observed one first, from the labels of its group.
 
@@ -132,18 +159,39 @@ def _by_group(sums: DataFrame, keys: Sequence[str], make, schema: str) -> DataFr
     return sums.groupBy(*by).applyInPandas(lambda pdf: run(pdf)[names], ", ".join([*heads, schema]))
 
 
+def _d_prime(n: np.ndarray, s: np.ndarray, q: np.ndarray) -> np.ndarray:
+    there = n > 0
+    m = np.where(there, s / n, 0.0)
+    v = np.where(there, np.maximum(q / n - m * m, 0.0), 0.0)
+    k = there.sum(axis=0)
+    others_m, others_v = (m.sum(axis=0) - m) / (k - 1), (v.sum(axis=0) - v) / (k - 1)
+    spread = np.sqrt((v + others_v) / 2)
+    return np.where(there & (spread > 0), (m - others_m) / spread, np.nan)
+
+
+def _theory_rho(labels: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray, theories: Mapping[object, tuple[float, float]]) -> list[np.ndarray]:
+    total, sx, sxx = n.sum(axis=0), s.sum(axis=0), q.sum(axis=0)
+    rho = []
+    for i in range(2):
+        y = np.array([theories[c][i] for c in labels.tolist()])[:, None]
+        sy, syy, sxy = (n * y).sum(axis=0), (n * y * y).sum(axis=0), (s * y).sum(axis=0)
+        left = (total * sxx - sx * sx) * (total * syy - sy * sy)
+        rho.append(np.where(left > 0, (total * sxy - sx * sy) / np.sqrt(left), np.nan))
+    return rho
+
+
+def _upper(v: np.ndarray) -> np.ndarray:
+    """Of each row, the share of numbers that reach its first, itself included; NaN takes no part."""
+    there = ~np.isnan(v)
+    share = ((v >= v[:, :1] - 1e-9) & there).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
+    return np.where(there[:, 0], share, np.nan)
+
+
 def d_prime_arrays(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(keys, label, d): per label and perm its mean less the mean of the others' means, over the root of the mean of variances; NaN without spread."""
 
     def make(labels: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-        there = n > 0
-        m = np.where(there, s / n, 0.0)
-        v = np.where(there, np.maximum(q / n - m * m, 0.0), 0.0)
-        k = there.sum(axis=0)
-        others_m, others_v = (m.sum(axis=0) - m) / (k - 1), (v.sum(axis=0) - v) / (k - 1)
-        spread = np.sqrt((v + others_v) / 2)
-        d = np.where(there & (spread > 0), (m - others_m) / spread, np.nan)
-        return pd.DataFrame({"label": labels, "d": list(d)})
+        return pd.DataFrame({"label": labels, "d": list(_d_prime(n, s, q))})
 
     return _by_group(sums, keys, make, f"label {dict(sums.dtypes)['label']}, d array<double>")
 
@@ -155,13 +203,7 @@ def theory_correlations(sums: DataFrame, keys: Sequence[str], theories: Mapping[
     """
 
     def make(labels: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-        total, sx, sxx = n.sum(axis=0), s.sum(axis=0), q.sum(axis=0)
-        rho = []
-        for i in range(2):
-            y = np.array([theories[c][i] for c in labels.tolist()])[:, None]
-            sy, syy, sxy = (n * y).sum(axis=0), (n * y * y).sum(axis=0), (s * y).sum(axis=0)
-            left = (total * sxx - sx * sx) * (total * syy - sy * sy)
-            rho.append(np.where(left > 0, (total * sxy - sx * sy) / np.sqrt(left), np.nan))
+        rho = _theory_rho(labels, n, s, q, theories)
         return pd.DataFrame({"first": [rho[0]], "second": [rho[1]], "z": [rho[0] - rho[1]]})
 
     return _by_group(sums, keys, make, "first array<double>, second array<double>, z array<double>")
@@ -184,13 +226,8 @@ def theory_tests(sums: DataFrame, keys: Sequence[str], theories: Mapping[object,
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                p = {}
-                for c in ("first", "second", "z"):
-                    v = np.stack(pdf[c].to_list())
-                    there = ~np.isnan(v)
-                    share = ((v >= v[:, :1] - 1e-9) & there).sum(axis=1) / np.maximum(there.sum(axis=1), 1)
-                    p[c], seen = np.where(there[:, 0], share, np.nan), v[:, 0]
-                yield pdf[list(keys)].assign(p_first=p["first"], p_second=p["second"], observed=seen, p=p["z"])
+                first, second, z = (np.stack(pdf[c].to_list()) for c in ("first", "second", "z"))
+                yield pdf[list(keys)].assign(p_first=_upper(first), p_second=_upper(second), observed=z[:, 0], p=_upper(z))
 
     made = ("p_first", "p_second", "observed", "p")
     return rho.mapInPandas(run, schema).withColumns({c: F.nanvl(c, F.lit(None)) for c in made})
@@ -201,6 +238,102 @@ def gated_theory_test(sums: DataFrame, keys: Sequence[str], theories: Mapping[ob
     return theory_tests(sums, keys, theories).where(F.least("p_first", "p_second") <= alpha)
 
 
+def _met_labels(df: DataFrame, keys: Sequence[str], key: str, label: str, value: str, count: int, test: Callable[..., pd.DataFrame], made: Sequence[str], labelled: bool, group: int) -> DataFrame:
+    """(keys, label if labelled, made): the numbers that test gives of a group's labels and sums under shuffled labels; NaN is null.
+
+    A group's rows meet in one task, in order, and are shuffled, summed and tested there, so that arrays over perms never leave
+    it. Groups of more than `group` items, and a table without keys, are shuffled by Spark's windows and summed in many tasks.
+    """
+    keys, kinds = list(keys), dict(df.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], *([f"label {kinds[label]}"] if labelled else []), *(f"{c} double" for c in made)])
+    names = [*keys, *(["label"] if labelled else []), *made]
+
+    def spread(rows: DataFrame) -> DataFrame:
+        sums = label_sums(with_label_arrays(rows, keys, key, label, count, group), keys, key, "labels", value)
+        return _by_group(sums, keys, test, schema.split(", ", len(keys))[len(keys)]).select(*names)
+
+    def finish(rows: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        ids, x = rows.column("name_").to_pylist(), rows.column("x_").to_numpy()
+        coded = rows.column("label_").combine_chunks().dictionary_encode()
+        known, code = coded.dictionary, coded.indices.fill_null(-1).to_numpy()
+        order = np.argsort(np.array(known.to_pylist())) if len(known) else np.zeros(0, int)
+        of, labels, found = [], [], []
+        for at, end in zip(starts.tolist(), [*starts[1:].tolist(), rows.num_rows]):
+            own = order[np.isin(order, code[at:end])]
+            place = np.full(len(known) + 1, -1)  # without a label an item has a place, but is in no sum
+            place[own] = np.arange(len(own))
+            n, s, q = _sums_of(ids[at:end], place[code[at:end]], x[at:end], len(own), count)
+            some = n.any(axis=1)
+            if some.any():
+                values = np.array(known.take(pa.array(own[some])).to_pylist())
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out = test(values, n[some], s[some], q[some])
+                of += [at] * len(out)
+                labels += own[some].tolist() if labelled else []
+                found.append(out[list(made)].to_numpy(float))
+        heads = rows.select(keys).take(pa.array(of, pa.int64()))
+        v = np.concatenate(found) if found else np.zeros((0, len(made)))
+        columns = [*(heads.column(k).combine_chunks() for k in keys), *([known.take(pa.array(labels, pa.int64()))] if labelled else [])]
+        return pa.RecordBatch.from_arrays([*columns, *(pa.array(v[:, i], mask=np.isnan(v[:, i])) for i in range(len(made)))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []  # rows of the group that may go on in the next rows
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rows = pa.Table.from_batches([*held, b]).combine_chunks()
+            new = np.zeros(rows.num_rows, bool)
+            new[0] = True
+            for k in keys:
+                own = rows.column(k).combine_chunks().dictionary_encode().indices.to_numpy()
+                new[1:] |= own[1:] != own[:-1]
+            starts = np.flatnonzero(new)
+            if len(starts) > 1:
+                yield finish(rows.slice(0, starts[-1]), starts[:-1])
+            held = rows.slice(starts[-1]).to_batches()
+        if held:
+            yield finish(pa.Table.from_batches(held), np.zeros(1, int))
+
+    if not keys:
+        return spread(df)
+    there = F.col(key).isNotNull()
+    for k in keys:
+        there &= F.col(k).isNotNull()
+    name = F.col(key).cast("string")
+    rows = df.where(there).select(*dict.fromkeys([*keys, key, label, value]), name.alias("name_"), F.lpad(name, 20, "0").alias("order_"))
+    whole = Window.partitionBy(*keys).orderBy("order_").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("n_", F.count(F.lit(1)).over(whole))
+    met = rows.where(F.col("n_") <= group).sortWithinPartitions(*keys, "order_")
+    met = met.select(*keys, "name_", F.col(label).alias("label_"), F.col(value).cast("double").alias("x_")).mapInArrow(run, schema)
+    return met.unionByName(spread(rows.where(F.col("n_") > group).select(*dict.fromkeys([*keys, key, label, value]))))
+
+
+def d_prime_test(df: DataFrame, keys: Sequence[str], key: str, label: str, value: str, count: int, group: int = GROUP) -> DataFrame:
+    """(keys, label, observed, p): d_prime_arrays of labels shuffled in a group, and the upper p of the observed one; null without spread."""
+
+    def test(labels: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+        d = _d_prime(n, s, q)
+        return pd.DataFrame({"label": labels, "observed": d[:, 0], "p": _upper(d)})
+
+    return _nulls(_met_labels(df, keys, key, label, value, count, test, ["observed", "p"], True, group), ["observed", "p"])
+
+
+def theory_shuffle_tests(df: DataFrame, keys: Sequence[str], key: str, label: str, value: str, theories: Mapping[object, tuple[float, float]], count: int, group: int = GROUP) -> DataFrame:
+    """(keys, p_first, p_second, observed, p): theory_tests of labels shuffled in a group."""
+    made = ["p_first", "p_second", "observed", "p"]
+
+    def test(labels: np.ndarray, n: np.ndarray, s: np.ndarray, q: np.ndarray) -> pd.DataFrame:
+        first, second = _theory_rho(labels, n, s, q, theories)
+        p = _upper(np.stack([first, second, first - second]))
+        return pd.DataFrame([(p[0], p[1], first[0] - second[0], p[2])], columns=made)
+
+    return _nulls(_met_labels(df, keys, key, label, value, count, test, made, False, group), made)
+
+
+def _nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.withColumns({c: F.nanvl(c, F.lit(None)) for c in columns})
+
+
 def permuted_centroids(items: DataFrame, within: Sequence[str], fold: str, count: int, key: str = "id", label: str = "label", x: str = "x", most: int = 1 << 28) -> DataFrame:
     """(n, accuracy): accuracy of nearest centroids with one fold left out, an array over perms of labels shuffled within groups.
 

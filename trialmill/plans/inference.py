@@ -13,7 +13,7 @@ from .maps import channels as places_of
 from .results import matrices
 from .similarity import _RES, results
 from .standins import events, query, signal, table, trials
-from .stats import _EP, _KT, _TESTS, PREDICTED, curves, shuffled, u1_rows
+from .stats import _EP, _KT, _TESTS, PERMS, PREDICTED, curves, labelled, u1_rows
 
 
 def _nodes(count: int) -> str:
@@ -212,6 +212,6 @@ def d51(s: SparkSession, d: str) -> DataFrame:
 
 @query("d34_validated_theories", f"SELECT channel, roi, r(p_first) AS p_first, r(p_second) AS p_second, r(observed) AS observed, r(p) AS p, coalesce(CASE WHEN roi = 'region of the first' THEN observed > 0 ELSE observed < 0 END AND p < 0.05, false) AS validated FROM (SELECT channel, CASE channel % 3 WHEN 0 THEN 'region of the first' WHEN 1 THEN 'region of the second' ELSE 'another' END AS roi, p_first, p_second, observed, p FROM {_TESTS}) WHERE roi <> 'another'")
 def d34(s: SparkSession, d: str) -> DataFrame:
-    tests = labels.theory_tests(shuffled(s, d), ["channel"], PREDICTED)
+    tests = labels.theory_shuffle_tests(labelled(s, d), ["channel"], "epoch", "label", "value", PREDICTED, PERMS)
     roi = F.when(F.col("channel") % 3 == 0, "region of the first").when(F.col("channel") % 3 == 1, "region of the second").otherwise("another")
     return tables.validated(tests.withColumn("roi", roi), "roi", {"first": 1, "second": -1}, "observed", "p")

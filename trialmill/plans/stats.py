@@ -68,14 +68,12 @@ def d26(s: SparkSession, d: str) -> DataFrame:
 
 @query("u6_label_shuffle_null", f"SELECT channel, label, r(max(d) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN d >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN d END) OVER (PARTITION BY channel, label) AS o FROM {_DPR.replace('{x}', _SHUF)}) GROUP BY 1, 2")
 def u6(s: SparkSession, d: str) -> DataFrame:
-    sums = shuffled(s, d)
+    sums = labels.label_sums(labels.with_label_arrays(labelled(s, d), ["channel"], "epoch", "label", PERMS), ["channel"], "epoch", "labels", "value")
     return clusters.array_p(labels.d_prime_arrays(sums, ["channel"]), ["channel", "label"], "d", 1)
 
 
-def shuffled(s: SparkSession, d: str) -> DataFrame:
-    """Sums by label of the epochs' values under shuffled labels, a row for each channel and label."""
-    rows = epochs(s, d).withColumn("label", F.col("epoch") % 4)
-    return labels.label_sums(labels.with_label_arrays(rows, ["channel"], "epoch", "label", PERMS), ["channel"], "epoch", "labels", "value")
+def labelled(s: SparkSession, d: str) -> DataFrame:
+    return epochs(s, d).withColumn("label", F.col("epoch") % 4)
 
 
 @query("u7_histogram_p_two_sided", f"SELECT channel, r(max(m) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN abs(m) >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN abs(m) END) OVER (PARTITION BY channel) AS o FROM (SELECT channel, perm, avg(diff * {_MD.replace('{k}', 'epoch')}) AS m FROM {_EP}, {_P} GROUP BY 1, 2)) GROUP BY 1")
@@ -153,8 +151,7 @@ def u15b(s: SparkSession, d: str) -> DataFrame:
 
 @query("u16_theory_difference_shuffles", f"SELECT channel, r(max(z) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN z >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN z END) OVER (PARTITION BY channel) AS o FROM (SELECT channel, perm, corr(value, CASE WHEN label < 2 THEN 1.0 ELSE 0 END) - corr(value, CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0 END) AS z FROM {_SHUF} GROUP BY 1, 2)) GROUP BY 1")
 def u16(s: SparkSession, d: str) -> DataFrame:
-    theories = {0: (1.0, 1.0), 1: (1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, 0.0)}
-    return clusters.array_p(labels.correlation_difference(shuffled(s, d), ["channel"], theories), ["channel"], "z", 1)
+    return labels.theory_shuffle_tests(labelled(s, d), ["channel"], "epoch", "label", "value", PREDICTED, PERMS).select("channel", "observed", "p")
 
 
 _TH = f"(SELECT channel, perm, corr(value, CASE WHEN label < 2 THEN 1.0 ELSE 0 END) AS a, corr(value, CASE WHEN label % 2 = 0 THEN 1.0 ELSE 0 END) AS b FROM {_SHUF} GROUP BY 1, 2)"
@@ -168,7 +165,8 @@ PREDICTED = {0: (1.0, 1.0), 1: (1.0, 0.0), 2: (0.0, 1.0), 3: (0.0, 0.0)}
 
 @query("u16_gated_theory_test", f"SELECT channel, r(p_first) AS p_first, r(p_second) AS p_second, r(observed) AS observed, r(p) AS p FROM {_TESTS} WHERE least(p_first, p_second) <= 0.05")
 def u16_gated(s: SparkSession, d: str) -> DataFrame:
-    return labels.gated_theory_test(shuffled(s, d), ["channel"], PREDICTED)
+    tests = labels.theory_shuffle_tests(labelled(s, d), ["channel"], "epoch", "label", "value", PREDICTED, PERMS)
+    return tests.where(F.least("p_first", "p_second") <= 0.05)
 
 
 _PV = "(SELECT channel, t, 1 / (1 + abs(avg(value - 50))) AS p FROM {sg} GROUP BY 1, 2)"
