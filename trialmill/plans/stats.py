@@ -68,8 +68,7 @@ def d26(s: SparkSession, d: str) -> DataFrame:
 
 @query("u6_label_shuffle_null", f"SELECT channel, label, r(max(d) FILTER (WHERE perm = 0)) AS observed, r(avg(CASE WHEN d >= o - 1e-9 THEN 1.0 ELSE 0 END)) AS p FROM (SELECT *, max(CASE WHEN perm = 0 THEN d END) OVER (PARTITION BY channel, label) AS o FROM {_DPR.replace('{x}', _SHUF)}) GROUP BY 1, 2")
 def u6(s: SparkSession, d: str) -> DataFrame:
-    sums = labels.label_sums(labels.with_label_arrays(labelled(s, d), ["channel"], "epoch", "label", PERMS), ["channel"], "epoch", "labels", "value")
-    return clusters.array_p(labels.d_prime_arrays(sums, ["channel"]), ["channel", "label"], "d", 1)
+    return labels.d_prime_test(labelled(s, d), ["channel"], "epoch", "label", "value", PERMS)
 
 
 def labelled(s: SparkSession, d: str) -> DataFrame:
