@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from math import erfc, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,32 +149,117 @@ def _checkpoint_folder(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared or "file:///tmp/checkpoints")
 
 
-def connected_cells(cells: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """cells with label, the least cell that links reach within a group of keys; links are rows (keys, cell, to), given in both directions.
+def _stretches(keys: Sequence[str], size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links (keys, cell, to) in order to rows (keys, cell, label, to): each cell with the least cell that links of its stretch reach (to null), and links that may leave the stretch.
 
-    Links that leave the cells are passed over; a cell without links is its own label. Labels spread to neighbours and then
-    to the label of their label, each round written out, until none changes.
+    A stretch is whole groups of keys, or a part of one group of at most `size` links and a batch.
     """
-    _checkpoint_folder(cells.sparkSession)
-    on = cells.withColumn("label", F.col("cell")).checkpoint()
-    ends = on.select(*keys, F.col("cell").alias("to"))
-    links = links.select(*keys, "cell", "to").join(ends, [*keys, "to"], "left_semi").checkpoint()
+    names = [*keys, "cell", "label", "to"]
+
+    def changes(rows: pa.Table, columns: Sequence[str]) -> np.ndarray:
+        new = np.zeros(rows.num_rows, bool)
+        new[0] = True
+        for k in columns:
+            own = rows.column(k).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy()
+            new[1:] |= own[1:] != own[:-1]
+        return new
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        cell, to = (rows.column(c).to_numpy() for c in ("cell", "to"))
+        fresh = changes(rows, keys)
+        group = np.cumsum(fresh) - 1
+        fresh[1:] |= cell[1:] != cell[:-1]
+        first, source = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+        known = np.unique(cell)
+        code = group[first] * len(known) + np.searchsorted(known, cell[first])  # ascends with the nodes
+        at = np.minimum(np.searchsorted(known, to), len(known) - 1)
+        near = np.minimum(np.searchsorted(code, group * len(known) + at), len(code) - 1)
+        inside = (known[at] == to) & (code[near] == group * len(known) + at)
+        x, y, label = source[inside], near[inside], np.arange(len(first))
+        while True:
+            new = label.copy()
+            np.minimum.at(new, label[x], label[y])
+            while not np.array_equal(new[new], new):
+                new = new[new]
+            if np.array_equal(new, label):
+                break
+            label = new
+        # of a group that ends within the stretch all cells are here; the first and the last may go on
+        beyond = np.flatnonzero(~inside & ((group == 0) & (to < cell[0]) | (group == group[-1]) & (to > cell[-1])))
+        rows_at = np.concatenate([first, beyond])
+        labels = cell[first][label]
+        ends = pa.array(np.concatenate([np.zeros(len(first), np.int64), to[beyond]]), mask=np.arange(len(rows_at)) < len(first))
+        heads = rows.select([*keys, "cell"]).take(pa.array(rows_at)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in heads.columns), pa.array(np.concatenate([labels, labels[source[beyond]]])), ends], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            if sum(x.num_rows for x in held) < size:
+                continue
+            rows = pa.Table.from_batches(held)
+            cut = int(np.flatnonzero(changes(rows, keys))[-1]) or int(np.flatnonzero(changes(rows, [*keys, "cell"]))[-1])
+            if cut:
+                yield solve(rows.slice(0, cut))
+                held = rows.slice(cut).to_batches()
+        if held:
+            yield solve(pa.Table.from_batches(held))
+
+    return run
+
+
+def _spread_labels(on: DataFrame, links: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """on (keys, cell) with label; links lead from cells of on to cells of on, in both directions.
+
+    Labels spread to neighbours and then to the label of their label, each round written out, until none changes.
+    """
+    columns = on.columns
+    on = on.withColumn("label", F.col("cell")).checkpoint()
     before = None
     while True:
         least = links.join(on.select(*keys, F.col("cell").alias("to"), "label"), [*keys, "to"]).groupBy(*keys, "cell").agg(F.min("label").alias("_l"))
         new = on.join(least, [*keys, "cell"], "left").withColumn("label", F.least("label", F.coalesce("_l", "label"))).drop("_l").checkpoint()
         jump = new.select(*keys, F.col("cell").alias("label"), F.col("label").alias("_j"))
-        on = new.join(jump, [*keys, "label"]).withColumn("label", F.least("label", "_j")).select(*cells.columns, "label").checkpoint()
+        on = new.join(jump, [*keys, "label"]).withColumn("label", F.least("label", "_j")).select(*columns, "label").checkpoint()
         total = on.agg(F.sum(F.col("label") - F.col("cell")).cast("string")).first()[0]  # labels only ever get smaller
         if total == before:
             return on
         before = total
 
 
+def connected_cells(cells: DataFrame, links: DataFrame, keys: Sequence[str], size: int = 1 << 18) -> DataFrame:
+    """cells with label, the least cell that links reach within a group of keys; links are rows (keys, cell, to) from cells, in both directions.
+
+    Links that leave the cells are passed over; a cell without links is its own label. Links lie by range of (keys, cell), and
+    each stretch of them is solved where it lies; only labels that links join across stretches spread in rounds.
+    """
+    _checkpoint_folder(cells.sparkSession)
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*[f"`{k}` {kinds[k]}" for k in keys], "cell long, label long, to long"])
+    for k in keys:
+        cells = cells.where(F.col(k).isNotNull())
+    rows = links.select(*keys, F.col("cell").cast("long"), F.col("to").cast("long")).where("to IS NOT NULL")
+    parts = rows.repartitionByRange(*keys, "cell").sortWithinPartitions(*keys, "cell").mapInArrow(_stretches(keys, size), schema).checkpoint()
+    own = parts.where("to IS NULL").drop("to")
+    far = own.select(*keys, F.col("cell").alias("to"), F.col("label").alias("far_"))
+    across = parts.where("to IS NOT NULL").select(*keys, F.col("label").alias("cell"), "to").join(far, [*keys, "to"])
+    across = across.select(*keys, "cell", F.col("far_").alias("to")).distinct().checkpoint()
+    if not across.isEmpty():
+        tops = _spread_labels(across.select(*keys, "cell").distinct(), across, keys)
+        tops = tops.select(*keys, F.col("cell").alias("label"), F.col("label").alias("top_"))
+        own = own.join(tops, [*keys, "label"], "left").select(*keys, "cell", F.coalesce("top_", "label").alias("label"))
+    label = F.coalesce("label", "cell").cast(kinds["cell"])
+    return cells.join(own, [*keys, "cell"], "left").select(*cells.columns, label.alias("label")).checkpoint()
+
+
 def grid_clusters(cells: DataFrame, keys: Sequence[str], x: str, y: str, value: str, threshold: float) -> DataFrame:
     """Connected sets of cells above a threshold on a grid (four neighbours): each cell with the least cell number of its set."""
     number = F.col(x).cast("long") * (1 << 31) + F.col(y).cast("long")
-    on = cells.where(F.col(value) > threshold).withColumn("cell", number)
+    _checkpoint_folder(cells.sparkSession)
+    on = cells.where(F.col(value) > threshold).withColumn("cell", number).checkpoint()
     near = F.explode(F.array(*[F.col("cell") + F.lit(step) for step in (1 << 31, -(1 << 31), 1, -1)]))
     return connected_cells(on, on.select(*keys, "cell", near.alias("to")), keys).drop("cell")
 
