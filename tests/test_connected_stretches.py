@@ -43,3 +43,14 @@ def test_rounds_get_links_across_stretches_only(spark, monkeypatch):
     assert {(r.k, r.cell): r.label for r in got} == _loop(cells)
     assert sum(seen) < len(cells) / 4
     assert stats.connected_cells(on.limit(0), links.limit(0), ["k"]).count() == 0
+
+
+def test_flips_stay_arrays_until_they_are_read(spark, monkeypatch):
+    def exploded(*args, **kwargs):
+        raise AssertionError("a row for each voxel and perm is written out")
+
+    monkeypatch.setattr(stats, "flipped_t", exploded)
+    values = spark.createDataFrame([("m", s, v, float(v % 3 + s / 7)) for s in range(5) for v in range(6)], "map string, subject int, voxel long, value double")
+    near = spark.createDataFrame([(v, v + s) for v in range(6) for s in (1, -1)], "voxel long, to long")
+    got = stats.cluster_size_test(values, ["map"], "subject", "voxel", "value", near, 1.5, 9).collect()
+    assert len(got) == 6 and all(r.p is not None for r in got)

@@ -273,9 +273,11 @@ def cluster_size_test(values: DataFrame, keys: Sequence[str], subject: str, voxe
     whose largest cluster reaches its cluster's size. label, size and p_size are null outside clusters, t without spread.
     """
     rows = values.where(F.col(value).isNotNull()).withColumn("cell", F.col(voxel))
-    scores = flipped_t(rows, [*keys, "cell"], subject, value, count).withColumn("t", F.round("t", 9))
     _checkpoint_folder(values.sparkSession)
-    scores = scores.checkpoint()  # flips are summed once
+    sums = permuted_sums(rows, [*keys, "cell"], subject, value, signs(count), count + 1)
+    arrays = t_arrays(sums, [*keys, "cell"], missing=float("nan")).select(*keys, "cell", F.transform("stat", lambda x: F.round(F.nanvl(x, F.lit(None)), 9)).alias("t"))
+    arrays = arrays.checkpoint()  # flips are summed once; perms become rows only where they are read
+    scores = arrays.select(*keys, "cell", F.posexplode("t").alias("perm", "t"))
     by = [*keys, "perm"]
     on = scores.where(F.col("t") > threshold)
     found = connected_cells(on, on.join(adjacency.select(F.col(voxel).alias("cell"), "to"), "cell"), by)
@@ -283,7 +285,7 @@ def cluster_size_test(values: DataFrame, keys: Sequence[str], subject: str, voxe
     top_t = scores.groupBy(*by).agg(F.max("t").alias("top_t"))
     top = top_t.join(sizes.groupBy(*by).agg(F.max("size").alias("top_size")), by, "left").fillna(0, ["top_size"])
     tops = top.groupBy(*keys).agg(F.collect_list("top_t").alias("_tt"), F.collect_list("top_size").alias("_ts"), F.count(F.lit(1)).alias("_n"))  # a number for each perm
-    seen = scores.where("perm = 0").join(found.where("perm = 0").select(*keys, "cell", "label"), [*keys, "cell"], "left").join(sizes.where("perm = 0").drop("perm"), [*keys, "label"], "left")
+    seen = arrays.withColumn("t", F.col("t")[0]).join(found.where("perm = 0").select(*keys, "cell", "label"), [*keys, "cell"], "left").join(sizes.where("perm = 0").drop("perm"), [*keys, "label"], "left")
     seen = seen.join(tops, list(keys)) if keys else seen.crossJoin(F.broadcast(tops))  # without keys one row
     share = lambda tops, own: F.size(F.filter(tops, lambda x: x >= F.col(own))) / F.col("_n")
     return seen.select(*keys, F.col("cell").alias(voxel), "t", "label", "size", F.when(F.col("t").isNotNull(), share("_tt", "t")).alias("p"), F.when(F.col("size").isNotNull(), share("_ts", "size")).alias("p_size"))
