@@ -65,9 +65,23 @@ def d_prime(trials: DataFrame, keys: Sequence[str], target: Column, responded: C
 
 
 def stats_by_combination(df: DataFrame, value: str, by: Sequence[str], fixed: Sequence[str] = ()) -> DataFrame:
-    """Mean, standard deviation and count of value for every non-empty combination of the by columns, within fixed ones."""
+    """Mean, standard deviation and count of value for every non-empty combination of the by columns, within fixed ones.
+
+    With fixed columns rows are dealt by them once and each combination is a pass over that, so that no task holds the groups
+    of all combinations together with the sorts of what df is joined from.
+    """
     sets = [[*fixed, *c] for k in range(1, len(by) + 1) for c in combinations(by, k)]
-    return df.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in (*fixed, *by)]).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"), F.grouping_id().alias("level"))
+    stats = [F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n")]
+    every = [*fixed, *by]
+    if not fixed:
+        return df.groupingSets([[F.col(c) for c in x] for x in sets], *[F.col(c) for c in every]).agg(*stats, F.grouping_id().alias("level"))
+    rows, kinds = df.select(*every, value).repartition(*fixed), dict(df.dtypes)
+    out = None
+    for x in sets:
+        level = sum(1 << (len(every) - 1 - i) for i, c in enumerate(every) if c not in x)
+        one = rows.groupBy(*x).agg(*stats).select(*[F.col(c) if c in x else F.lit(None).cast(kinds[c]).alias(c) for c in every], "mean", "sd", "n", F.lit(level).cast("long").alias("level"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
