@@ -42,3 +42,22 @@ def test_every_text_of_a_doc_id_is_judged(spark):
     assert got.columns == ["doc_id", "text", "source"]
     kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect())
     assert kept == sorted([(-1, A), (0, OTHER + " more"), (1, A), (3, ""), (3, "alone it stands")])
+
+
+@pytest.mark.parametrize("own, during", [("10000", "1024"), ("0", "1024"), ("7", "7")])
+def test_python_gets_few_rows_at_a_time(spark, monkeypatch, own, during):
+    name, seen, write = "spark.sql.execution.arrow.maxRecordsPerBatch", set(), ngram_join.materialize
+
+    def noted(df, *args, **options):
+        seen.add(spark.conf.get(name))
+        return write(df, *args, **options)
+
+    monkeypatch.setattr(ngram_join, "materialize", noted)
+    before = spark.conf.get(name)
+    spark.conf.set(name, own)
+    try:
+        got = ngram_join.similar_groups(spark.createDataFrame([(1, A), (2, B), (3, OTHER)], "doc_id long, text string"))
+        assert spark.conf.get(name) == own and seen == {during}
+        assert sorted((r.doc_id, r.component_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]
+    finally:
+        spark.conf.set(name, before)

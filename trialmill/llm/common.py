@@ -6,6 +6,7 @@ import re
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +50,23 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     return out
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is written meanwhile hands Python so many rows at a time, or fewer if the session says so; its setting comes back at the end.
+
+    Spark forms each Arrow batch outside the heap, and once more in the buffer that it sends, so that 10,000 rows of texts or
+    token arrays take an executor some hundred MB that malloc doesn't give back.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete what materialize wrote for these tables; only for tables whose readers have all been materialized."""
     for table in tables:

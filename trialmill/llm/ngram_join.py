@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, content_keys, discard, materialize, mix, shingle_sets, signed, small, words_of
+from .common import arrow_rows, batch, content_keys, discard, materialize, mix, shingle_sets, signed, small, words_of
 from .components import components
 
 WIDTH = 5
@@ -37,6 +37,8 @@ FREQUENT = 4
 MAX_FREQUENT = 1 << 22
 #: Rows that are broadcast to pick sets and texts; above, a join picks them.
 MAX_KEYS = 1 << 18
+#: Rows of texts or sets that Python gets at a time.
+BATCH_ROWS = 1024
 #: Bits of a token in the table of sets. Tokens that share them only bring more candidates.
 TOKEN_BITS = 48
 ORDER_ROUNDS, LEADER_ROUNDS = 3, 1
@@ -387,6 +389,11 @@ FITS = "least(n, m) * 5 >= greatest(n, m) * 4 and 9 * (1 + least(rest, after)) >
 
 def _groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Of docs (doc_id, text): the members, and (key, doc_id, root) of each text with words, its least doc_id and its group."""
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _grouped(docs)
+
+
+def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = _sets(docs)
     members = sets.select("doc_id", "key", "n")
     rows = _prefixes(sets, frequent_tokens(sets))
