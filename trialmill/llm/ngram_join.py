@@ -14,8 +14,9 @@ all sets use. The join uses three:
 Texts of equal words are one node from the start. A pair is only a candidate if what follows its shared token in both
 texts is long enough for the bound (the first token that two linked sets share always allows it). Within the texts that
 share a token, each is first compared with a leader only, the text with the fewest tokens that aren't frequent; texts that are
-thereby in one component need no more comparison, and the pairs that remain, of different components, are compared in
-full. Thus large groups of copies cost about as many pairs as they have members, and no link between components is lost.
+thereby in one component need no more comparison. Of those of different components, where many have most tokens from one
+leader, sets meet by pairs of blocks and are counted by products; all other pairs become rows. Thus large groups of copies
+cost about as many pairs as they have members, linked or just not, and no link between components is lost.
 """
 
 from __future__ import annotations
@@ -42,6 +43,10 @@ BATCH_ROWS = 1024
 #: Bits of a token in the table of sets. Tokens that share them only bring more candidates.
 TOKEN_BITS = 48
 ORDER_ROUNDS, LEADER_ROUNDS = 3, 1
+#: Texts that are a home together; fewer meet as pairs.
+HOME = 64
+#: Tokens and texts of a block of one home, on average, and the tokens of two blocks that are counted at once.
+BLOCK_TOKENS, BLOCK_TEXTS, COUNTED = 1 << 18, 512, 1024
 
 
 def prefix_size(n: int) -> int:
@@ -244,16 +249,21 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, docs.withColumn("_key", F.lit(None).cast("long")).schema)
 
 
+def _sets_of(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, n, toks) of each of the keys once."""
+    one = sets.where("toks is not null").select("key", "row").join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
+    one = materialize(one, "keys")
+    wanted = F.broadcast(one) if small(one, MAX_KEYS) else one
+    return sets.where("toks is not null").join(wanted, ["key", "row"], "left_semi").select("key", "n", "toks")
+
+
 def _second_prefixes(sets: DataFrame, keys: DataFrame) -> DataFrame:
     """(key, n, second, third, twice) of each of the keys: its prefixes under orders 2 and 3, as 32-bit numbers in order.
 
     twice tells that a number comes twice in a prefix, which then shows no bound.
     """
-    one = sets.where("toks is not null").select("key", "row").join(keys, "key", "left_semi").groupBy("key").agg(F.min("row").alias("row"))
-    one = materialize(one, "keys")
-    wanted = F.broadcast(one) if small(one, MAX_KEYS) else one
-    rows = sets.where("toks is not null").join(wanted, ["key", "row"], "left_semi").select("key", "n", "toks")
-    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("second", pa.list_(pa.int64())), ("third", pa.list_(pa.int64())), ("twice", pa.bool_())])
+    rows = _sets_of(sets, keys)
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int32()), ("second", pa.list_(pa.int32())), ("third", pa.list_(pa.int32())), ("twice", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -266,11 +276,11 @@ def _second_prefixes(sets: DataFrame, keys: DataFrame) -> DataFrame:
                     h = mix(o.h, seed) >> np.uint64(32)
                     h = h[np.lexsort((h, o.row))][on]
                     twice[row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])]] = True
-                    firsts.append(pa.ListArray.from_arrays(bounds, pa.array(signed(h))))
+                    firsts.append(pa.ListArray.from_arrays(bounds, pa.array(h.astype(np.uint32).view(np.int32))))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *firsts, pa.array(twice)], schema=schema)
 
     packed = {"parquet.enable.dictionary": "false", "parquet.writer.version": "PARQUET_2_0", "compression": "none"}
-    return materialize(rows.mapInArrow(run, "key long, n int, second array<long>, third array<long>, twice boolean"), "prefixes", **packed)
+    return materialize(rows.mapInArrow(run, "key long, n int, second array<int>, third array<int>, twice boolean"), "prefixes", **packed)
 
 
 def _reaches(x: pa.Array, y: pa.Array, n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -279,7 +289,7 @@ def _reaches(x: pa.Array, y: pa.Array, n: np.ndarray, m: np.ndarray) -> np.ndarr
     for side in (x, y):
         at = side.offsets.to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(side)), np.diff(at))
-        value = side.values.to_numpy()[at[0] : at[-1]]
+        value = side.values.to_numpy()[at[0] : at[-1]].view(np.uint32).astype(np.int64)
         last.append(value[at[1:] - at[0] - 1])
         tagged.append((row, value))
     known = np.minimum(*last)  # all tokens below are in both prefixes
@@ -323,7 +333,7 @@ def _texts(docs: DataFrame, members: DataFrame, keys: DataFrame) -> DataFrame:
     if again:  # rows of one doc_id and the same words
         rows = rows.dropDuplicates(["doc_id", "_key"])
     same = (rows["_key"] == one["key"]) & rows["doc_id"].eqNullSafe(one["doc_id"])
-    return rows.join(one, same).select("key", "text")
+    return rows.join(F.broadcast(one) if small(one, MAX_KEYS) else one, same).select("key", "text")
 
 
 def _verify(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -371,17 +381,76 @@ def _same(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).join(seen, ["lo", "hi"], "left_anti").select("a", "b")
 
 
+def _homed(rows: DataFrame) -> DataFrame:
+    """(key, root, home, blocks, block) of the texts of rows (tok, key, n, root, lead).
+
+    A text goes with the leader that most of its tokens have, the least of several: texts of a group of near copies share
+    most tokens, and so their leader. Where many go with one and have several roots, they are a home, which is dealt to
+    blocks; any other text is its own home, with no block. Keys are odd, a home of many has an even number.
+    """
+    votes = rows.groupBy("key", "n", "root", F.col("lead.key").alias("with")).agg(F.count(F.lit(1)).alias("votes"))
+    texts = votes.groupBy("key", "n", "root").agg(F.min(F.struct((-F.col("votes")).alias("votes"), "with"))["with"].alias("with"))
+    texts = materialize(texts, "homes")
+    blocks = F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count(F.lit(1)) / BLOCK_TEXTS)).cast("int").alias("blocks")
+    many = texts.groupBy("with").agg(F.count(F.lit(1)).alias("texts"), F.min("root").alias("lo"), F.max("root").alias("hi"), blocks)
+    texts = texts.join(many.where(F.col("texts") >= HOME).where("lo <> hi").select("with", "blocks"), "with", "left")
+    home = F.when(F.col("blocks").isNull(), F.col("key")).otherwise(F.col("with") - 1)
+    return materialize(texts.select("key", "root", home.alias("home"), "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block")), "homes")
+
+
+def _alike(t: pa.Table) -> pa.Table:
+    """(key, other): of the texts (i, j, block, key, root, n, toks) of two blocks i and j, or of one, the pairs of different roots whose sets reach the bound."""
+    t = t.combine_chunks()
+    i, j, block, key, root, n = (t.column(c).to_numpy() for c in ("i", "j", "block", "key", "root", "n"))
+    toks = t.column("toks").chunk(0)
+    at = toks.offsets.to_numpy().astype(np.int64)
+    _, tok, count = np.unique(toks.values.to_numpy()[at[0] : at[-1]], return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(key)), np.diff(at))
+    row, tok = row[count[tok] > 1], (np.cumsum(count > 1) - 1)[tok[count[tok] > 1]]
+    order = np.argsort(tok, kind="stable")
+    row, tok = row[order], tok[order]
+    a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    common = np.zeros((len(a), len(b)), np.float32)
+    for low in range(0, int(tok[-1]) + 1 if len(tok) else 0, COUNTED):
+        x, y = np.searchsorted(tok, [low, low + COUNTED])
+        held = np.bincount(row[x:y] * COUNTED + tok[x:y] - low, minlength=len(key) * COUNTED).astype(np.float32).reshape(len(key), COUNTED)
+        common += held[a] @ held[b].T
+    n = n.astype(np.int64)
+    keep = (9 * common.astype(np.int64) >= 4 * np.add.outer(n[a], n[b])) & np.not_equal.outer(root[a], root[b])
+    if i[0] == j[0]:
+        keep = np.triu(keep, 1)
+    x, y = np.nonzero(keep)
+    return pa.table({"key": key[a][x], "other": key[b][y]})
+
+
+def _within(sets: DataFrame, homes: DataFrame) -> DataFrame:
+    """(key, other): pairs of one home of many texts with different roots, whose sets reach the bound.
+
+    Sets meet by pairs of blocks, so that no pair that fails is ever a row: a set is sent once for each block of its home.
+    Tokens are those of the table of sets, so that pairs are to be verified still.
+    """
+    homes = homes.where("blocks is not null")
+    met = _sets_of(sets, homes).join(F.broadcast(homes) if small(homes, MAX_KEYS) else homes, "key")
+    met = met.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("home", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block", "key", "root", "n", "toks")
+    return met.groupBy("home", "i", "j").applyInArrow(_alike, "key long, other long")
+
+
 def _across(rows: DataFrame) -> DataFrame:
-    """(key, other): pairs of rows (tok, key, n, rest, root) of one token, with different roots and sizes that allow a link.
+    """(key, other): pairs of rows (tok, key, n, rest, root, home) of one token, with different roots and homes, and sizes that allow a link. Without a home a text is its own.
 
-    Sizes of linked sets differ by a factor of 1.25 at most, so rows meet only within a band of sizes and the next one.
-    Two texts whose tokens before this one are the same have met there already, with more of each to follow, and don't
-    meet again: texts that share a run of tokens give one pair for it.
+    Of two different homes one isn't the token's main one, so only the texts of the others meet all. Sizes of linked sets
+    differ by a factor of 1.25 at most, so rows meet only within a band of sizes and its neighbours. Two texts whose tokens
+    before this one are the same have met there already, with more of each to follow, and don't meet again: texts that
+    share a run of tokens give one pair for it.
     """
+    rows = rows if "home" in rows.columns else rows.withColumn("home", F.col("key"))
     before = F.lag("tok").over(Window.partitionBy("key").orderBy(F.desc("rest")))  # at most a text's prefix
-    x = rows.withColumns({"before": before, "band": F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")})
-    y = x.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("root").alias("to"), F.col("before").alias("first"), F.col("band").alias("of"), F.explode(F.array("band", F.col("band") - 1)).alias("band"))
-    return x.join(y, ["tok", "band"]).where("(of <> band or key < other) and root <> to and coalesce(before <> first, true)").where(FITS)
+    main = rows.groupBy("tok", "home").agg(F.count(F.lit(1)).alias("texts")).groupBy("tok")
+    main = main.agg(F.max(F.struct("texts", "home"))["home"].alias("main"), F.count(F.lit(1)).alias("homes")).where("homes > 1").select("tok", "main")
+    rows = rows.withColumns({"before": before, "band": F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")}).join(main, "tok")
+    y = rows.select("tok", F.col("key").alias("other"), F.col("n").alias("m"), F.col("rest").alias("after"), F.col("root").alias("to"), F.col("home").alias("at"), F.col("before").alias("first"), F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"))
+    return rows.where("home <> main").join(y, ["tok", "band"]).where("(at = main or key < other) and at <> home and root <> to and coalesce(before <> first, true)").where(FITS)
 
 
 FITS = "least(n, m) * 5 >= greatest(n, m) * 4 and 9 * (1 + least(rest, after)) >= 4 * (n + m)"
@@ -407,14 +476,14 @@ def _grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         left = open_rows.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
         lead = F.min(F.struct(F.xxhash64("key", F.lit(k)), "key", "n", "rest", "root")).alias("lead")
         mixed = left.groupBy("tok").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), lead).where("lo <> hi")
-        open_rows = left.join(mixed, "tok")
+        # the rows of tokens that have several components still, for all uses below
+        open_rows = materialize(left.join(mixed, "tok").select("tok", "key", "n", "rest", "root", "lead"), "open")
         if k < LEADER_ROUNDS:
-            # the rows of tokens that have several components still, for both uses below
-            open_rows = materialize(open_rows.select("tok", "key", "n", "rest", "root", "lead"), "open")
             pairs = open_rows.where("root <> lead.root").select("key", "n", "rest", F.col("lead.key").alias("other"), F.col("lead.n").alias("m"), F.col("lead.rest").alias("after")).where(FITS)
             open_rows = open_rows.select("tok", "key", "n", "rest")
         else:
-            pairs = _across(open_rows.select("tok", "key", "n", "rest", "root"))
+            homes = _homed(open_rows)
+            pairs = _across(open_rows.drop("lead").join(homes.select("key", "home"), "key")).select("key", "other").unionByName(_within(sets, homes))
         pairs = materialize(_same(_ordered(pairs, "key", "other"), tried), "pairs")
         if not pairs.isEmpty():
             found = _verify(docs, sets, pairs)
