@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import uuid
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,14 @@ def discard(*tables: DataFrame | None) -> None:
             at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system; malloc and Arrow's pool else keep it for as long as the driver runs."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every system's C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective 64-bit finaliser; different seeds give different orders of the same values."""
     h = h + np.uint64((seed * 2 + 1) * _ODD & _MASK)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, batch, mix, slices, text_buffer
+from .common import Words, batch, give_back, mix, slices, text_buffer
 
 #: Rows that the scorer is fitted on, picked by a hash of their text.
 SAMPLE = 4000
@@ -200,7 +200,7 @@ class Scorer:
         if not len(rows):
             return cls(weights, bias)
         row = np.repeat(np.arange(len(rows)), [len(x) for x, _ in rows])
-        code, value = np.concatenate([x for x, _ in rows]), np.concatenate([y for _, y in rows])
+        code, value = np.concatenate([x for x, _ in rows]).astype(np.int64), np.concatenate([y for _, y in rows])
         share = np.where(target >= 0.5, 0.5 / max((target >= 0.5).sum(), 1), 0.5 / max((target < 0.5).sum(), 1))
         m, v = np.zeros(DIMS + 1), np.zeros(DIMS + 1)
         for step in range(1, rounds + 1):
@@ -250,7 +250,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> tuple[WeakLabels, Scorer]:
     target = labels.posterior(patterns_of(rows["pattern"].to_numpy(np.int64)))
     if target.max() < 0.5 or target.min() >= 0.5:  # one class only: nothing to tell apart
         return labels, Scorer(np.zeros(DIMS), 10.0 if target.min() >= 0.5 else -10.0)
-    scorer = Scorer.fit([(np.asarray(c, np.int64), np.asarray(s)) for c, s in zip(rows["code"], rows["share"])], target)
+    features = [(np.asarray(c), np.asarray(s)) for c, s in zip(rows["code"], rows["share"])]
+    del rows
+    scorer = Scorer.fit(features, target)
+    del features
+    give_back()  # the driver's share of later steps is not to hold the sample
     # the fit takes both classes as equally frequent
     return labels, Scorer(scorer.weights, scorer.bias + float(np.log(labels.good / (1 - labels.good))))
 
